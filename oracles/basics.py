@@ -25,7 +25,7 @@ _STRENGTHS = "(VALUES (0e0), (0.25e0), (0.5e0), (0.75e0), (1e0)) s(strength)"
 
 SQL = {
     "feature_table": with_(ORDERS)
-    + f"SELECT row_id, {', '.join(f'{r6(f, 4)} AS {f}' for f in ORD)}, label, is_test FROM feat",
+    + f"SELECT row_id, {', '.join(ORD)}, label, is_test FROM feat",
     "doc_feature_table": with_(DOCS)
     + f"SELECT row_id, {', '.join(DOC)}, label, is_test FROM feat",
     "vec_feature_table": f"""

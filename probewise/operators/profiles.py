@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probewise.functions.numeric import spread
+from probewise.functions.numeric import spread  # noqa: F401
 from probewise.operators.columns import attach
 
 MOVES = 1e-9
@@ -18,9 +18,16 @@ ACTIVE = 1e-12
 FLAT = 0.05
 
 
+MAX_GRID = 8192
+
+
+def _top(n: int | str) -> int | str:
+    return n - 1 if isinstance(n, int) else f"({n} - 1)"
+
+
 def point_sql(i: str, n: str | int, lo: str = "lo", hi: str = "hi") -> str:
     """Grid value with both ends exact."""
-    last = n - 1 if isinstance(n, int) else f"({n} - 1)"
+    last = _top(n)
     return f"(CASE WHEN {i} = {last} THEN {hi} ELSE {lo} + {i} * (({hi} - {lo}) / {last}) END)"
 
 
@@ -60,9 +67,9 @@ def sweep_rows(
     return attach(narrow, stats).select(*rows.columns, F.inline(F.array(*entries)))
 
 
-def grid_points(sweeps: DataFrame, n: int | str, last: int = 0) -> DataFrame:
-    """Explode the grid index and add z. ``last`` trims points off the end (for steps)."""
-    top = F.lit(n - 1 - last) if isinstance(n, int) else F.col(n) - 1 - last
+def grid_points(sweeps: DataFrame, n: int | str) -> DataFrame:
+    """Explode the grid index (``n`` points, or a column of that name) and add z."""
+    top = F.lit(n - 1) if isinstance(n, int) else F.col(n) - 1
     indexed = sweeps.withColumn("grid_idx", F.explode(F.sequence(F.lit(0), top)))
     return indexed.withColumn("z", F.expr(point_sql("grid_idx", n)))
 
@@ -80,35 +87,47 @@ def cp_profiles(
     return scorer.score_at(points, "z", features)
 
 
-def profile_summary(points: DataFrame, keys=("row_id", "feature")) -> DataFrame:
-    return points.groupBy(*keys).agg(
-        F.min("p").alias("p_min"),
-        F.max("p").alias("p_max"),
-        (F.max("p") - F.min("p")).alias("swing"),
-        ((F.max("p") >= 0.5) & (F.min("p") < 0.5)).alias("crosses"),
-    )
+def with_next(points: DataFrame, n: int | str) -> DataFrame:
+    """Add the next grid value; the last point is its own neighbour (a step of zero)."""
+    return points.withColumn("z_next", F.expr(point_sql(f"least(grid_idx + 1, {_top(n)})", n)))
 
 
-def profile_steps(
+def profile_summary(
     sweeps: DataFrame, scorer, features: list[str], n: int | str = 200,
-    keys=("row_id", "feature"), big: float = 0.01,
+    keys=("row_id", "feature"), extra=(), big: float = 0.01,
 ) -> DataFrame:
-    """Number of steps above ``big``, the largest and the edges it runs between."""
-    points = grid_points(sweeps, n, last=1)
-    points = points.withColumn("z_next", F.expr(point_sql("(grid_idx + 1)", n)))
+    """One row per curve: swing, crossing of 0.5, number of steps above ``big``, the largest
+    step with the edges it runs between, and any ``extra`` aggregates of the points.
+
+    Rows are partitioned by ``row_id`` before the explosion, so the grouping adds no shuffle.
+    """
+    points = with_next(grid_points(sweeps, n), n)
     points = scorer.score_at(points, "z", features, "p")
     points = scorer.score_at(points, "z_next", features, "p_next")
     step = F.abs(F.col("p_next") - F.col("p"))
-    first_largest = F.max(F.struct(step.alias("step"), -F.col("grid_idx"), "z", "z_next"))
-    return points.groupBy(*keys).agg(
-        F.sum((step > big).cast("long")).alias("n_big"), first_largest.alias("w")
-    ).select(
-        *keys,
-        "n_big",
-        F.col("w.step").alias("largest"),
-        F.col("w.z").alias("step_left"),
-        F.col("w.z_next").alias("step_right"),
+    # step (to 1e-12) and position in one long: a plain max keeps the first of equal steps and
+    # stays in the hash aggregate, where a max over structs would sort the exploded rows
+    size = F.round(step * 1e12).cast("long") * MAX_GRID
+    code = size + (MAX_GRID - 1 - F.col("grid_idx"))
+    curves = points.groupBy(*keys).agg(
+        F.min("p").alias("p_min"),
+        F.max("p").alias("p_max"),
+        F.sum((step > big).cast("long")).alias("n_big"),
+        F.max(step).alias("largest"),
+        F.max(code).alias("_code"),
+        F.max("lo").alias("_lo"),
+        F.max("hi").alias("_hi"),
+        *extra,
     )
+    curves = curves.withColumn("step_idx", MAX_GRID - 1 - F.col("_code") % MAX_GRID)
+    return curves.withColumns(
+        {
+            "swing": F.col("p_max") - F.col("p_min"),
+            "crosses": (F.col("p_max") >= 0.5) & (F.col("p_min") < 0.5),
+            "step_left": F.expr(point_sql("step_idx", n, "_lo", "_hi")),
+            "step_right": F.expr(point_sql(f"least(step_idx + 1, {_top(n)})", n, "_lo", "_hi")),
+        }
+    ).drop("_code", "_lo", "_hi")
 
 
 def curve_slopes(points: DataFrame, keys=("row_id", "feature")) -> DataFrame:
@@ -121,9 +140,8 @@ def curve_slopes(points: DataFrame, keys=("row_id", "feature")) -> DataFrame:
 
 def slope_points(sweeps: DataFrame, scorer, features: list[str], n: int | str) -> DataFrame:
     """Points with p and slope, both neighbours scored from the same row."""
-    top = n - 1 if isinstance(n, int) else f"({n} - 1)"
     points = grid_points(sweeps, n)
-    left, right = "greatest(grid_idx - 1, 0)", f"least(grid_idx + 1, {top})"
+    left, right = "greatest(grid_idx - 1, 0)", f"least(grid_idx + 1, {_top(n)})"
     points = points.withColumns(
         {"z_left": F.expr(point_sql(left, n)), "z_right": F.expr(point_sql(right, n))}
     )

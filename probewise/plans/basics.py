@@ -13,7 +13,7 @@ from probewise.sources import tables as T
 
 def feature_table(spark, sf_dir):
     t = T.order_features(spark, sf_dir)
-    return t.select("row_id", *[r6(f, 4).alias(f) for f in T.ORDER_FEATURES], "label", "is_test")
+    return t.select("row_id", *T.ORDER_FEATURES, "label", "is_test")
 
 
 def doc_feature_table(spark, sf_dir):

@@ -130,14 +130,14 @@ DOC_LOGIT = ExpressionScorer(
 )
 
 
-def order_stairs_shifted(seed: str) -> ExpressionScorer:
-    """The order staircase with every edge moved by ``seed``: stands for a refit."""
+def doc_stairs_shifted(seed: str) -> ExpressionScorer:
+    """The document staircase with every edge moved by ``seed``: stands for a refit."""
     text = staircase(
-        0.40,
-        [("qty", 15.5, 19.7, 12, 0.032), ("gross", 60000.25, 81000.0, 6, -0.038)],
-        shift=f" + 0.71e0 * {seed}",
+        0.38,
+        [("n_words", 24.5, 61.0, 12, 0.03), ("n_chars", 190.5, 610.0, 8, -0.026)],
+        shift=f" + 1.71e0 * {seed}",
     )
-    return ExpressionScorer(text, ["qty", "gross"])
+    return ExpressionScorer(text, ["n_words", "n_chars"])
 
 
 def interaction_scorer(strength: str) -> ExpressionScorer:
