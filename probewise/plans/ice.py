@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probewise.functions.numeric import r6, share, tally
+from probewise.functions.numeric import r6, share, spread, tally
 from probewise.functions.ranks import exact_median, exact_quantiles, t_statistic
 from probewise.operators import columns as C
 from probewise.operators import profiles as P
@@ -214,7 +214,7 @@ def ice_grid_robustness(spark, sf_dir):
                            for n in (40, 120, 400)])))
     trimmed = trimmed_bounds(t, stats, "qty").withColumn("n", F.lit(120))
     grids = full.unionByName(trimmed).agg(F.collect_list(F.struct("*")).alias("grids"))
-    rows = C.attach(P.spread(t, "row_id"), grids, "g").select(*t.columns, F.inline("g.grids"))
+    rows = C.attach(spread(t, "row_id"), grids, "g").select(*t.columns, F.inline("g.grids"))
     points = P.slope_points(rows, ORDER_STAIRS, ["qty"], "n")
     b = P.bundle_summary(points, ["grid_name"])
     ranges = points.groupBy("row_id", "grid_name").agg((F.max("p") - F.min("p")).alias("range"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.functions.numeric import r6, share, spread, tally
+from probewise.functions.materialise import materialise
+from probewise.functions.numeric import r6, share, tally
 from probewise.functions.ranks import exact_median, exact_quantiles, spearman
 from probewise.operators import columns as C
 from probewise.operators import distance as D
@@ -90,7 +91,7 @@ def envelope_all_features(spark, sf_dir):
 
 
 def envelope_rank_corr(spark, sf_dir):
-    e = D.materialise(_all_features(spark, sf_dir, T.ORDER_FEATURES, 2.5))
+    e = materialise(_all_features(spark, sf_dir, T.ORDER_FEATURES, 2.5))
     x = F.array(
         F.struct(F.lit("abs_r").alias("against"), F.round("abs_r", 9).alias("x")),
         F.struct(F.lit("band").alias("against"), F.round("band", 6).alias("x")))
@@ -113,8 +114,8 @@ def ice_envelope(spark, sf_dir):
     points = points.withColumn("out", E.outside(
         F.col("z"), F.col("list_value"), F.col("band.qty_lo"), F.col("band.qty_hi")))
     by_point = points.groupBy("grid_idx").agg(tally(F.col("out")).alias("k"), F.count("out").alias("n"))
-    pooled = by_point.select(F.lit("pooled").alias("level"), F.lit(-1).alias("grid_idx"),
-                             (F.sum("k").over(_all()) / F.sum("n").over(_all())).alias("s")).limit(1)
+    pooled = by_point.agg(F.lit("pooled").alias("level"), F.lit(-1).alias("grid_idx"),
+                          (F.sum("k") / F.sum("n")).alias("s"))
     grid = by_point.select(F.lit("grid").alias("level"), "grid_idx", (F.col("k") / F.col("n")).alias("s"))
     majority = points.groupBy("row_id").agg(share(F.col("out")).alias("s")).agg(
         F.lit("rows_over_half").alias("level"), F.lit(-1).alias("grid_idx"),
@@ -123,12 +124,6 @@ def ice_envelope(spark, sf_dir):
         "level", "grid_idx", r6("s").alias("impossible"))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def ice_envelope_local(spark, sf_dir):
     s = _share_per_row(spark, sf_dir, lambda t: E.ratio_bounds(t, [("qty", "list_value")]))
     pooled = s.agg(F.avg("impossible").alias("pooled"), F.count(F.lit(1)).alias("n"))
@@ -179,7 +174,7 @@ def _doc_sweep(spark, sf_dir):
     probes = C.zscored(points, stats, DOC_DIMS).select(
         "row_id", "grid_idx", "z_n_chars", "z_n_words", "impossible",
         (F.abs(F.col("z") - F.col("x0")) / F.col("x_std")).alias("moved"))
-    return D.materialise(probes), D.materialise(real), ["z_n_chars", "z_n_words"]
+    return materialise(probes), materialise(real), ["z_n_chars", "z_n_words"]
 
 
 def _cutoffs(real, dims) -> DataFrame:
