@@ -101,7 +101,7 @@ def kernel(self_in):
         feat, st, draws(scorer.features, scorer, first=1 if self_in else 0), zr,
         f"pw AS (SELECT row_id, p, x1, x2, x3, sqrt({_D2}) AS d, {_W} AS w, y AS f FROM zr, draws{own})",
         """ks0 AS (SELECT row_id, any_value(p) AS p, any_value(sqrt(x1 * x1 + x2 * x2 + x3 * x3)) AS centroid,
-          median(d) AS md, median(w) AS mw, avg(w) AS aw, max(w) AS xw, min(w) AS nw,
+          median(d) AS md, median(w) AS mw, avg(w) AS aw, max(w) AS xw, min(w) AS nw, max(d) AS xd, min(d) AS nd,
           sum(w) * sum(w) / sum(w * w) AS ess, sum(w * f) / sum(w) AS m FROM pw GROUP BY row_id)""",
         """ks AS (SELECT ks0.*, v.wvar FROM ks0 JOIN (SELECT pw.row_id, sum(w * (f - m) * (f - m)) / sum(w) AS wvar
           FROM pw JOIN ks0 ON pw.row_id = ks0.row_id GROUP BY pw.row_id) v ON v.row_id = ks0.row_id)""",
@@ -257,8 +257,8 @@ SQL = {
       FROM fc, rho GROUP BY 1""",
     "mechanism_checks": more(
         kernel(False),
-        """ml AS (SELECT 'wvar' AS measure, p, round(wvar, 6) AS value FROM ks UNION ALL SELECT 'centroid', p, round(centroid, 6) FROM ks
-          UNION ALL SELECT 'skew', p, round(xw / nw, 6) FROM ks),
+        f"""ml AS (SELECT 'wvar' AS measure, p, round(wvar, 6) AS value FROM ks UNION ALL SELECT 'centroid', p, round(centroid, 6) FROM ks
+          UNION ALL SELECT 'log_skew', p, round((xd * xd - nd * nd) / (2e0 * {NU2!r}e0), 6) FROM ks),
         mc AS (SELECT *, round(abs(p - 0.5e0), 9) AS conf FROM ml), """ + _spearman("mc", "conf", "value", "measure")
         + f", bb AS (SELECT *, {_band('p')} AS band FROM ml)",
     )

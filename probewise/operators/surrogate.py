@@ -30,9 +30,12 @@ def _moment_columns(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(z), 1)), z, y[:, None], flat, z * y[:, None], (y * y)[:, None]])
 
 
+def _squared(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2.0 * x @ z.T, 0.0)
+
+
 def _weights(x: np.ndarray, z: np.ndarray, nu: float) -> np.ndarray:
-    d2 = (x * x).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2.0 * x @ z.T
-    return np.exp(-np.maximum(d2, 0.0) / (2.0 * nu * nu))
+    return np.exp(-_squared(x, z) / (2.0 * nu * nu))
 
 
 def _fit(m: np.ndarray, x: np.ndarray, k: int) -> dict[str, np.ndarray]:
@@ -124,25 +127,26 @@ def kernel_summary(rows: DataFrame, cloud: SharedCloud, include_self: bool = Tru
             for i in range(0, len(pdf), ROWS_PER_BLOCK):
                 part = pdf.iloc[i : i + ROWS_PER_BLOCK]
                 x, fx = part[names].to_numpy(), part["p"].to_numpy()
-                w, f = _weights(x, z, nu), np.repeat(y[None, :], len(part), axis=0)
+                d2, f = _squared(x, z), np.repeat(y[None, :], len(part), axis=0)
                 if include_self:
-                    w = np.hstack([np.ones((len(part), 1)), w])
+                    d2 = np.hstack([np.zeros((len(part), 1)), d2])
                     f = np.hstack([fx[:, None], f])
+                w = np.exp(-d2 / (2.0 * nu * nu))
                 sw = w.sum(1)
                 mean = (w * f).sum(1) / sw
-                d = nu * np.sqrt(np.maximum(-2.0 * np.log(w), 0.0))
                 yield pd.DataFrame(
                     {
                         "row_id": part["row_id"].to_numpy(), "p": fx,
-                        "median_d": np.median(d, axis=1), "median_w": np.median(w, axis=1),
+                        "median_d": np.median(np.sqrt(d2), axis=1), "median_w": np.median(w, axis=1),
                         "mean_w": w.mean(1), "max_w": w.max(1), "min_w": w.min(1),
+                        "log_skew": (d2.max(1) - d2.min(1)) / (2.0 * nu * nu),
                         "ess": sw**2 / (w * w).sum(1),
                         "wvar": (w * (f - mean[:, None]) ** 2).sum(1) / sw,
                         "centroid": np.sqrt((x * x).sum(1)),
                     }
                 )
 
-    doubles = "p median_d median_w mean_w max_w min_w ess wvar centroid".split()
+    doubles = "p median_d median_w mean_w max_w min_w log_skew ess wvar centroid".split()
     return narrow.mapInPandas(run, "row_id long, " + ", ".join(f"{n} double" for n in doubles))
 
 

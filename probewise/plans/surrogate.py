@@ -335,9 +335,9 @@ def mechanism_checks(spark, sf_dir):
     """Is the target flatter, the centre further or the kernel more skewed for confident rows?"""
     rows, shared, _, _ = setup(spark, sf_dir, False)
     k = S.kernel_summary(rows, shared, include_self=False)
-    k = materialise(k.withColumn("skew", F.col("max_w") / F.col("min_w")))
+    k = materialise(k)
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 6).alias("value"))
-                         for m in ("wvar", "centroid", "skew")])
+                         for m in ("wvar", "centroid", "log_skew")])
     conf = F.round(F.abs(F.col("p") - 0.5), 9)
     long = k.select("p", conf.alias("conf"), F.inline(measures))
     rho = spearman(long, "conf", "value", ["measure"])
