@@ -35,7 +35,7 @@ def partners(names):
 
 
 PICK = "CASE partner " + " ".join(f"WHEN '{f}' THEN {f}" for f in ORD) + " END"
-_STEP = "{'k': round(abs(p_next - p) * 1e12), 'g': -grid_idx, 's': abs(p_next - p), 'z': z, 'zn': z_next}"
+_STEP = "{'k': floor(abs(p_next - p) * 1e12 + 0.5e0), 'g': -grid_idx, 's': abs(p_next - p), 'z': z, 'zn': z_next}"
 _ORD_SWEEP = (ORDERS, stats(OF), sweep(OF), grid(200), points(ORDER_STAIRS, OF, 200))
 _BAND = "band AS (SELECT min(n_chars / n_words) AS rlo, max(n_chars / n_words) AS rhi FROM feat)"
 _LOGIT = "1e0 / (1e0 + exp(-(0.002e0 * ({w} - 390e0) - 0.5e0 * ({c} - 6.4e0))))"

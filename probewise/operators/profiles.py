@@ -107,7 +107,7 @@ def profile_summary(
     step = F.abs(F.col("p_next") - F.col("p"))
     # step (to 1e-12) and position in one long: a plain max keeps the first of equal steps and
     # stays in the hash aggregate, where a max over structs would sort the exploded rows
-    size = F.round(step * 1e12).cast("long") * MAX_GRID
+    size = F.floor(step * 1e12 + 0.5) * MAX_GRID
     code = size + (MAX_GRID - 1 - F.col("grid_idx"))
     curves = points.groupBy(*keys).agg(
         F.min("p").alias("p_min"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from probewise.functions.materialise import materialise
 from probewise.functions.numeric import r6, share, spread, tally
 from probewise.functions.ranks import exact_median, exact_quantiles, t_statistic
 from probewise.operators import columns as C
@@ -31,13 +32,14 @@ def order_bundle(spark, sf_dir, features=("qty",)) -> DataFrame:
 
 
 def order_ranges(spark, sf_dir, features=("qty",)) -> DataFrame:
-    """Per row and feature the range and net change of its curve; needs no shuffle."""
+    """Per row and feature the range of its curve and its own score, written once: the curves
+    cost far more than their ranges, and every user of the ranges reads them more than once."""
     t, stats = _orders(spark, sf_dir)
     points = P.cp_profiles(t, stats, ORDER_STAIRS, list(features), N, None)
     points = points.withColumn("own", ORDER_STAIRS.column())
-    return points.groupBy("row_id", "feature").agg(
+    return materialise(points.groupBy("row_id", "feature").agg(
         (F.max("p") - F.min("p")).alias("range"), F.max("own").alias("own")
-    )
+    ))
 
 
 def edge_change(spark, sf_dir, features=("qty",)) -> DataFrame:
@@ -217,7 +219,8 @@ def ice_grid_robustness(spark, sf_dir):
     rows = C.attach(spread(t, "row_id"), grids, "g").select(*t.columns, F.inline("g.grids"))
     points = P.slope_points(rows, ORDER_STAIRS, ["qty"], "n")
     b = P.bundle_summary(points, ["grid_name"])
-    ranges = points.groupBy("row_id", "grid_name").agg((F.max("p") - F.min("p")).alias("range"))
+    ranges = materialise(
+        points.groupBy("row_id", "grid_name").agg((F.max("p") - F.min("p")).alias("range")))
     flat = ranges.groupBy("grid_name").agg(share(F.col("range") < P.FLAT).alias("flat"))
     median = exact_median(ranges, "range", ["grid_name"])
     table = flat.join(median, "grid_name").join(P.steepest(b, ["grid_name"]), "grid_name")

@@ -186,11 +186,10 @@ def cp_feature_summary(spark, sf_dir):
     chosen = C.strongest_partners(t.where(C.train_rows()), T.ORDER_FEATURES)
     pairs = [(a, b) for a, b in E.partner_pairs(chosen) if a in names]
     rows = C.attach(t, E.ratio_bounds(t, pairs), "band")
-    sweeps = P.sweep_rows(rows, stats, names, span=2.5)
-    out = E.outside_keep_zero(
-        F.col("z"), E.partner_value(pairs),
-        E.by_feature(pairs, "band", "lo"), E.by_feature(pairs, "band", "hi"),
-    )
+    sweeps = P.sweep_rows(rows, stats, names, span=2.5).withColumns({
+        "partner_value": E.partner_value(pairs), "_rlo": E.by_feature(pairs, "band", "lo"),
+        "_rhi": E.by_feature(pairs, "band", "hi")})
+    out = E.outside_keep_zero(F.col("z"), F.col("partner_value"), F.col("_rlo"), F.col("_rhi"))
     s = P.profile_summary(sweeps, ORDER_STAIRS, names, 200, extra=[share(out).alias("impossible")])
     return s.select("row_id", "feature", r6("impossible").alias("impossible"),
                     r6("swing").alias("swing"))

@@ -38,7 +38,15 @@ class ExpressionScorer:
         return df.withColumn(out, self.column())
 
     def score_at(self, df: DataFrame, at: str, features: list[str], out: str = "p") -> DataFrame:
-        return df.withColumn(out, F.expr(self.swept_sql(at, features)))
+        swept = [f for f in features if f in self.features]
+        if len(features) == 1:
+            return df.withColumn(out, self.column({f: at for f in swept}))
+        # pick each feature's value once per point, below the many terms that read it
+        picked = {
+            f"_at_{f}": F.when(F.col("feature") == f, F.col(at)).otherwise(F.col(f)) for f in swept
+        }
+        points = df.withColumns(picked)
+        return points.withColumn(out, self.column({f: f"_at_{f}" for f in swept})).drop(*picked)
 
 
 class _RowScorer:

@@ -3,11 +3,20 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 HOTSPOT_METHOD_BYTES = "8000"
+MIN_PARTITION = "64KB"
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """A scorer with many terms can push a fused stage past the size HotSpot will compile,
-    and such a stage then runs interpreted (25 times slower here). Lowering Spark's limit to
-    HotSpot's makes it fall back to per-operator code, which is split into small methods."""
+    """Two runtime settings every probing job wants.
+
+    A scorer with many terms can push a fused stage past the size HotSpot will compile, and
+    such a stage then runs interpreted (25 times slower here); at HotSpot's own limit Spark
+    falls back to per-operator code, which is split into small methods.
+
+    Probing explodes narrow rows hundreds of times, so the work of a partition is far above
+    its bytes. Adaptive coalescing may therefore not merge partitions up to its 1 MB default
+    when that leaves cores idle.
+    """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", HOTSPOT_METHOD_BYTES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", MIN_PARTITION)
     return spark

@@ -74,11 +74,13 @@ def _all_features(spark, sf_dir, names, span) -> DataFrame:
     partners = C.strongest_partners(t.where(C.train_rows()), T.ORDER_FEATURES)
     pairs = [(a, b) for a, b in E.partner_pairs(partners) if a in names]
     rows = C.attach(t, E.ratio_bounds(t, pairs), "band")
-    points = P.grid_points(P.sweep_rows(rows, stats, names, span=span), 200 if span else 120)
-    lo, hi = E.by_feature(pairs, "band", "lo"), E.by_feature(pairs, "band", "hi")
-    points = points.withColumns({"_lo": lo, "_hi": hi})
+    # partner and band are picked once per sweep, below the explosion of the grid
+    sweeps = P.sweep_rows(rows, stats, names, span=span).withColumns({
+        "partner_value": E.partner_value(pairs), "_lo": E.by_feature(pairs, "band", "lo"),
+        "_hi": E.by_feature(pairs, "band", "hi")})
+    points = P.grid_points(sweeps, 200 if span else 120)
     # rows with a zero partner give NULL and drop out of the average; the feature stays
-    out = E.outside(F.col("z"), E.partner_value(pairs), F.col("_lo"), F.col("_hi"))
+    out = E.outside(F.col("z"), F.col("partner_value"), F.col("_lo"), F.col("_hi"))
     shares = points.groupBy("feature").agg(
         share(out).alias("impossible"), F.max("_lo").alias("lo"), F.max("_hi").alias("hi"))
     wide = F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")).otherwise(F.lit(float("inf")))
