@@ -55,12 +55,12 @@ SQL = {
     "percentiles": with_(ORDERS, f"l AS ({_melt(ORD)})")
     + "SELECT feature, "
     + ", ".join(
-        f"{r6(f'quantile_cont(value, {q})', 4)} AS p{round(q * 100)}"
+        f"{r6(f'quantile_cont(value, {q})')} AS p{round(q * 100)}"
         for q in (0.01, 0.05, 0.5, 0.75, 0.95, 0.99)
     )
     + " FROM l GROUP BY feature",
     "group_medians": with_(ORDERS, f"l AS ({_melt(ORD, 'label, ')})")
-    + f"""SELECT label, feature, count(*) AS n_rows, {r6('median(value)', 4)} AS median
+    + f"""SELECT label, feature, count(*) AS n_rows, {r6('median(value)')} AS median
       FROM l GROUP BY label, feature""",
     "reference_rows": with_(DOCS, f"l AS ({_melt(DOC, 'label, is_test, ')})")
     + f"""SELECT 'class_' || label AS reference, feature, {r6('avg(value)')} AS value

@@ -64,13 +64,13 @@ def percentiles(spark, sf_dir):
     qs = [0.01, 0.05, 0.5, 0.75, 0.95, 0.99]
     q = exact_quantiles(long, "value", qs, ["feature"])
     names = ["p1", "p5", "p50", "p75", "p95", "p99"]
-    return q.select("feature", *[r6(F.col("q")[i], 4).alias(n) for i, n in enumerate(names)])
+    return q.select("feature", *[r6(F.col("q")[i]).alias(n) for i, n in enumerate(names)])
 
 
 def group_medians(spark, sf_dir):
     long = melt(T.order_features(spark, sf_dir), T.ORDER_FEATURES, keep=["label"])
     m = exact_median(long, "value", ["label", "feature"])
-    return m.select("label", "feature", "n_rows", r6("median", 4).alias("median"))
+    return m.select("label", "feature", "n_rows", r6("median").alias("median"))
 
 
 def reference_rows(spark, sf_dir):
