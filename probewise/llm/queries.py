@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probewise.llm import store, tokens
+from probewise.llm import packing, simhash, store, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -25,5 +25,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, out, manifest)
 
 
-QUERIES = {"op1_token_files": op1_token_files}
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_spec(), end_id=2)
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op5_simhash_groups": op5_simhash_groups,
+    "op8_packing": op8_packing,
+}
 SQL: dict[str, str] = {}
