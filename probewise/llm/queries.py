@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probewise.llm import packing, simhash, store, tokens
+from probewise.llm import decontam, packing, simhash, store, tokens, winnow
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -29,13 +29,23 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_spec(), end_id=2)
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_simhash_groups": op5_simhash_groups,
+    "op7_benchmark_tiles": op7_benchmark_tiles,
     "op8_packing": op8_packing,
+    "op10_winnowing": op10_winnowing,
 }
 SQL: dict[str, str] = {}
