@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probewise.llm import decontam, packing, simhash, store, tokens, winnow
+from probewise.llm import decontam, html_text, langid, packing, quality, simhash, store, tokens, winnow
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -25,6 +25,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, out, manifest)
 
 
+def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.label(docs, langid.learn(docs)).drop("spans")
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,15 +47,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_spec(), end_id=2)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_quality_network": op2_quality_network,
+    "op4_language_spans": op4_language_spans,
     "op5_simhash_groups": op5_simhash_groups,
     "op7_benchmark_tiles": op7_benchmark_tiles,
     "op8_packing": op8_packing,
+    "op9_main_text": op9_main_text,
     "op10_winnowing": op10_winnowing,
 }
 SQL: dict[str, str] = {}
