@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probewise.llm import decontam, html_text, langid, packing, quality, simhash, store, tokens, winnow
+from probewise.llm import decontam, html_text, langid, packing, pii, quality, secret_scan, simhash, store, tokens, winnow
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.label(docs, langid.learn(docs)).drop("spans")
@@ -39,6 +43,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.learn(docs))
+
+
 def op7_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,8 +68,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_network": op2_quality_network,
+    "op3_personal_data": op3_personal_data,
     "op4_language_spans": op4_language_spans,
     "op5_simhash_groups": op5_simhash_groups,
+    "op6_secrets": op6_secrets,
     "op7_benchmark_tiles": op7_benchmark_tiles,
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
