@@ -148,9 +148,10 @@ def _matcher(shared, coverage: float, length: int):
             at, item, place, doc = at[inside], item[inside], place[inside], doc[inside]
             order = np.lexsort((item, doc))
             at, item, place, doc = at[order], item[order], place[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(at) else []
+            new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+            bounds = np.append(new, len(at))
             out: dict[str, list] = {f.split()[0]: [] for f in _FIELDS.split(", ")}
-            for a, b in zip(new, [*new[1:], len(at)], strict=True):
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 d, k = int(doc[a]), int(item[a])
                 hits = np.stack([at[a:b] - begin[d], place[a:b]], axis=1)
                 # fewer item words are under hits than the threshold asks for: no tiling can reach it
