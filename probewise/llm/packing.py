@@ -77,9 +77,10 @@ def candidates(
     cost[np.flatnonzero(ends_sentence[ids]) + 1] = costs[0]
     cost[starts] = 0.0
     known = np.flatnonzero(cost < np.inf)
-    wide = np.flatnonzero(np.diff(known) > STRIDE)
+    stride = min(STRIDE, length)
+    wide = np.flatnonzero(np.diff(known) > stride)
     for a, b in zip(known[wide].tolist(), known[wide + 1].tolist(), strict=True):
-        cost[np.arange(a + STRIDE, b, STRIDE)] = costs[1]
+        cost[np.arange(a + stride, b, stride)] = costs[1]
     at = np.flatnonzero(cost < np.inf)
     return at, cost[at]
 

@@ -130,7 +130,7 @@ def with_next(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shares = [k / buckets for k in range(1, buckets)] or [0.5]
-    edges = rows.agg(F.percentile_approx("doc_id", shares, 10 * buckets + 1000).alias("edges")).first()["edges"] or []
+    edges = rows.agg(F.percentile_approx("doc_id", shares, 10 * buckets + 1000).alias("edges")).first()["edges"] or [0]
     splits = [-float("inf"), *sorted({float(e) for e in edges}), float("inf")]
     rows = rows.withColumn("place", F.col("doc_id").cast("double")).withColumn("hash", F.xxhash64("text"))
     rows = Bucketizer(splits=splits, inputCol="place", outputCol="bin", handleInvalid="keep").transform(rows)
