@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.llm import words
+from probewise.llm import store, words
 
 TILE = 4
 COVERAGE = 0.5
@@ -128,6 +128,19 @@ def contaminated(
     return found
 
 
+def without(docs: DataFrame, benchmark: DataFrame, **choices) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text covers no benchmark item.
+
+    Rows are told apart by their place in the input, so ``docs`` must read the same each time, as a
+    stored table does."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    found = contaminated(placed, benchmark, doc_id=name, **choices).select(F.col("doc_id").alias(name)).distinct()
+    return placed.join(store.kept(found, "contaminated"), name, "left_anti").select(*docs.columns)
+
+
 _FIELDS = "doc_id long, item_id long, coverage double, n_words long, n_tiles long, longest_tile long, tiles array<struct<start:long,words:long>>"
 
 

@@ -52,17 +52,21 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(count * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of every whole text as a signed long; null texts as empty."""
+def fingerprints(
+    docs: DataFrame, words: int = SHINGLE_WORDS, doc_id: str = "doc_id", text: str = "text", row: str | None = None
+) -> DataFrame:
+    """(doc_id, row, fp): the 64-bit fingerprint of every whole text as a signed long; null texts as
+    empty. ``row`` is null unless the name of a column of longs is given."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py() or "", words) for t in batch["text"]]
             values = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], values], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], values], ["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    number = F.col(row) if row else F.lit(None).cast("long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), number.alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(scan, "doc_id long, row long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -217,6 +221,21 @@ def component_roots(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _classes(scanned: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, n_same): every distinct fingerprint's component, by the smallest id it has."""
+    distinct = store.kept(
+        scanned.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_same")), "distinct"
+    )
+    found = store.kept(links(distinct.select("fp"), distinct.count(), radius), "links")
+    roots = component_roots(found)
+    least = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.join(least, "root").select("fp", "component_id", "root")
+    classes = distinct.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id"), "n_same", F.coalesce("root", "fp").alias("root")
+    )
+    return store.kept(classes, "classes")
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -233,18 +252,24 @@ def near_duplicates(
     component's are null. An empty table gives no rows.
     """
     scanned = store.kept(fingerprints(docs, words, doc_id, text), "fingerprints")
-    distinct = store.kept(
-        scanned.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_same")), "distinct"
-    )
-    found = store.kept(links(distinct.select("fp"), distinct.count(), radius), "links")
-    roots = component_roots(found)
-    linked = distinct.select("fp", "least").join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(least, "root").select("fp", "component_id")
-    classes = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"), "n_same"
-    )
-    classes = store.kept(classes, "classes")
-    out = scanned.join(classes, "fp")
+    out = scanned.join(_classes(scanned, radius), "fp")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return out.select("doc_id", shown, "component_id", "n_same")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, less near duplicates: of each component the row with
+    the smallest id stays, a null id only where there is no other, of rows with equal ids the first read.
+
+    Rows are told apart by their place in the input, so ``docs`` must read the same each time, as a
+    stored table does.
+    """
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    scanned = store.kept(fingerprints(placed, words, doc_id, text, name), "fingerprints")
+    classes = _classes(scanned, radius).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    stay = scanned.join(classes, "fp").groupBy("root").agg(first).select(F.col("first.row").alias(name))
+    return placed.join(store.kept(stay, "stay"), name, "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from probewise.llm import decontam, html_text, langid, pii, quality, secret_scan, simhash, winnow
+from probewise.llm import decontam, html_text, langid, pii, quality, secret_scan, simhash, store, winnow
 
 WORDS = st.lists(st.sampled_from("a b c d e f g h".split()), max_size=40)
 
@@ -86,6 +86,19 @@ def test_simhash_groups_equal_brute_force(spark, edge_docs, empty_docs):
     assert simhash.near_duplicates(empty_docs).count() == 0
 
 
+def test_one_of_each_group_stays(spark, edge_docs, empty_docs):
+    rows = edge_docs.select("doc_id", "text").collect()
+    comp = plain_components([plain_fingerprint(r.text) for r in rows], 4)
+    least = {}
+    for r, c in zip(rows, comp, strict=True):
+        least.setdefault(c, []).append(r.doc_id)
+    want = Counter(min((i for i in ids if i is not None), default=None) for ids in least.values())
+    stored = store.kept(edge_docs, "edge")
+    got = simhash.one_of_each(stored)
+    assert got.columns == edge_docs.columns and Counter(r.doc_id for r in got.collect()) == want
+    assert simhash.one_of_each(empty_docs).count() == 0
+
+
 def test_a_large_group_is_split_and_stays_one(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 16)
     values = [1 << i | 1 << j for i in range(12) for j in range(i)]
