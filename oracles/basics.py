@@ -27,7 +27,7 @@ SQL = {
     "feature_table": with_(ORDERS)
     + f"SELECT row_id, {', '.join(ORD)}, label, is_test FROM feat",
     "doc_feature_table": with_(DOCS)
-    + f"SELECT row_id, {', '.join(DOC)}, label, is_test FROM feat",
+    + f"SELECT row_id, {', '.join(DOC)}, label::DOUBLE AS label, is_test FROM feat",
     "vec_feature_table": f"""
       SELECT vec_id AS row_id, CAST(label < 5 AS INTEGER) AS label,
         {r6('embedding[1]::DOUBLE')} AS x_first,
@@ -64,7 +64,7 @@ SQL = {
       FROM l GROUP BY label, feature""",
     "reference_rows": with_(DOCS, f"l AS ({_melt(DOC, 'label, is_test, ')})")
     + f"""SELECT 'class_' || label AS reference, feature, {r6('avg(value)')} AS value
-        FROM l WHERE NOT is_test GROUP BY label, feature
+        FROM l WHERE NOT is_test AND label IS NOT NULL GROUP BY label, feature
       UNION ALL SELECT 'mean', feature, {r6('avg(value)')} FROM l WHERE NOT is_test GROUP BY feature
       UNION ALL SELECT 'median', feature, {r6('median(value)')} FROM l WHERE NOT is_test
         GROUP BY feature""",
@@ -112,7 +112,7 @@ SQL = {
     "half_open_bands": with_(
         ORDERS,
         f"s AS (SELECT *, {ORDER_LOGIT.sql()} AS p FROM feat)",
-        f"b AS (SELECT *, {_band('p', True)} AS band FROM s)",
+        f"b AS (SELECT *, {_band('p', True)} AS band FROM s WHERE label IS NOT NULL)",
     )
     + f"SELECT band, count(*) AS n, {r6('avg(p)')} AS mean_p FROM b GROUP BY band",
     "ratio_floor": with_(DOCS.replace("feat AS", "docs AS", 1), ORDERS)
@@ -144,7 +144,7 @@ SQL = {
     "accuracy_by_band": with_(
         DOCS,
         f"s AS (SELECT *, {DOC_LOGIT.sql()} AS p FROM feat)",
-        f"b AS (SELECT *, {_band('p', True)} AS band FROM s)",
+        f"b AS (SELECT *, {_band('p', True)} AS band FROM s WHERE label IS NOT NULL)",
     )
     + f"""SELECT band, count(*) AS n,
       {r6('avg((CAST(p >= 0.5e0 AS INTEGER) = label)::INTEGER)')} AS accuracy FROM b GROUP BY band""",

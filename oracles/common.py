@@ -37,7 +37,7 @@ feat AS (
   FROM (
     SELECT d.doc_id AS row_id, d.n_chars::DOUBLE AS n_chars,
       len(string_split(d.text, ' '))::DOUBLE AS n_words, l.quality::INTEGER AS label
-    FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
   ) a
 )"""
 

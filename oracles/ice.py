@@ -71,7 +71,7 @@ SQL = {
       FROM ranges""",
     "range_histogram": orders(["qty"]).rstrip()
     + """, e AS (SELECT min(rng) AS lo, max(rng) AS hi FROM ranges),
-      h AS (SELECT least(floor((rng - lo) / ((hi - lo) / 30) + 1e-9), 29)::INTEGER AS bin, count(*) AS n FROM ranges, e GROUP BY 1)
+      h AS (SELECT least(floor((rng - lo) / ((hi - lo) / 30)), 29)::INTEGER AS bin, count(*) AS n FROM ranges, e GROUP BY 1)
       SELECT range::INTEGER AS bin, coalesce(n, 0) AS n FROM range(30) LEFT JOIN h ON h.bin = range""",
     "ice_edge_modes": edges(OF)
     + """SELECT feature, count(*) FILTER (pf > 0.8e0) AS above, count(*) FILTER (pf < 0.2e0) AS below,

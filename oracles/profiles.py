@@ -58,8 +58,8 @@ SQL = {
     "cp_profile": with_(DOCS, stats(DOC), sweep(DOC), grid(200), points(DOC_STAIRS, DOC, 200))
     + f"SELECT row_id, feature, grid_idx, {r6('z')} AS z, {r6('p')} AS p FROM pts",
     "cp_profile_pandas": with_(
-        DOCS, stats(["n_words", "chars_per_word"]), sweep(["n_words", "chars_per_word"]), grid(50),
-        f"q AS (SELECT sweep.*, grid_idx, {point('grid_idx', 50)} AS z FROM sweep, grid)",
+        DOCS, stats(["n_words", "chars_per_word"]), sweep(["n_words", "chars_per_word"]), grid(200),
+        f"q AS (SELECT sweep.*, grid_idx, {point('grid_idx', 200)} AS z FROM sweep, grid)",
     )
     + f"""SELECT row_id, feature, grid_idx, {r6('CASE feature WHEN $$n_words$$ THEN '
       + _LOGIT.format(w='z', c='chars_per_word') + ' ELSE ' + _LOGIT.format(w='n_words', c='z') + ' END')} AS p FROM q""",

@@ -60,7 +60,7 @@ SQL = {
         more(_DFIT, _WIN),
         f"""il AS (SELECT fit.row_id, i, g, k1, k2, lo_y, hi_y, zx, CASE WHEN abs(k2) >= 1e-9
             THEN win.n_chars - (k1 / k2) * ((zx - win.n_words) / std_x) * std_y END AS y
-          FROM fit JOIN (SELECT win.*, range::INTEGER AS i, {point('range', 22, 'lo_x', 'hi_x')} AS zx FROM win, range(22)) win
+          FROM fit JOIN (SELECT win.*, range::INTEGER AS i, {point('range', 220, 'lo_x', 'hi_x')} AS zx FROM win, range(220)) win
             ON fit.row_id = win.row_id)""",
     )
     + f"""SELECT row_id, i, {r6('zx', 3)} AS zx, {r6('y', 3)} AS y, coalesce(y >= lo_y AND y <= hi_y, false) AS inside,

@@ -134,7 +134,7 @@ def _spearman(src, x, y, key):
 
 _ALLC = with_(ORDERS, stats(ORD), draws(ORD, ORDER_STAIRS))
 _REFS = "refs AS (" + " UNION ALL ".join(
-    [f"SELECT 'class_' || label AS reference, {', '.join(f'avg({f}) AS ref_{f}' for f in DF)} FROM feat WHERE NOT is_test GROUP BY label"]
+    [f"SELECT 'class_' || label AS reference, {', '.join(f'avg({f}) AS ref_{f}' for f in DF)} FROM feat WHERE NOT is_test AND label IS NOT NULL GROUP BY label"]
     + [f"SELECT '{n}', {', '.join(f'{fn}({f})' for f in DF)} FROM feat WHERE NOT is_test" for n, fn in (("mean", "avg"), ("median", "median"))]
 ) + ")"
 _SEEDS = tuple(range(42, 50))
@@ -161,8 +161,8 @@ SQL = {
         ORDERS, stats(OF), draws(OF, ORDER_LOGIT),
         f"u AS (SELECT 'cloud' AS w, y AS p FROM draws UNION ALL SELECT 'held_out', {ORDER_LOGIT.sql()} FROM feat WHERE is_test)",
     )
-    + f"""SELECT w AS "where", count(*) AS n, count(*) FILTER (p < 0.2e0 OR p > 0.8e0) AS saturated,
-      {r6('avg((p < 0.2e0 OR p > 0.8e0)::INTEGER)')} AS share, {r6('min(p)')} AS min_p, {r6('max(p)')} AS max_p FROM u GROUP BY w""",
+    + f"""SELECT w AS "where", count(*) AS n, count(*) FILTER (p < 0.05e0 OR p > 0.95e0) AS saturated,
+      {r6('avg((p < 0.05e0 OR p > 0.95e0)::INTEGER)')} AS share, {r6('min(p)')} AS min_p, {r6('max(p)')} AS max_p FROM u GROUP BY w""",
     "kernel_weights": kernel(True)
     + f"SELECT row_id, {r6('aw')} AS mean_w, {r6('xw')} AS max_w, {r6('nw')} AS min_w FROM ks",
     "kernel_ess": kernel(True)

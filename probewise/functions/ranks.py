@@ -131,6 +131,7 @@ def spearman(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
         .groupBy(*keys, x, y)
         .agg(F.count(F.lit(1)).alias("m"))
     )
+    pairs = materialise(pairs)  # two rankings and their joins read it
     weight = {"n": F.col("m")}
     rank = lambda c, out: prefix_counts(pairs, c, keys, weight).select(
         *keys, c, (F.col("n_below") + (F.col("n") - F.col("n_total")) / 2.0).alias(out), "n_total"

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from probewise.functions.noise import normal
 from probewise.functions.ranks import exact_quantiles, melt
 
+BUCKET_DIGITS = 5
+
+
 def train_rows() -> Column:
     return ~F.col("is_test")
 
@@ -92,7 +95,7 @@ def reference_rows(df: DataFrame, features: list[str]) -> DataFrame:
     """(reference, feature, value): TRAIN mean, median and the mean of each class."""
     long = melt(df.where(train_rows()), features, keep=["label"])
     named = F.concat(F.lit("class_"), F.col("label").cast("string")).alias("reference")
-    by_class = long.groupBy(named, "feature").agg(F.avg("value").alias("value"))
+    by_class = long.where(F.col("label").isNotNull()).groupBy(named, "feature").agg(F.avg("value").alias("value"))
     mean = long.groupBy(F.lit("mean").alias("reference"), "feature").agg(
         F.avg("value").alias("value")
     )
@@ -118,11 +121,12 @@ def half_open_band(p: Column) -> Column:
 def class_order(df: DataFrame, seed: int, label: str = "label") -> DataFrame:
     """Exact position of every row in the shuffled order of its class.
 
-    The shuffle key is a hash, so its leading digits cut any class into even buckets; only
-    bucket totals (a fixed number per class) are ever brought together.
+    The shuffle key is a hash, so its leading digits cut any class into even buckets, as many as a
+    table of 1e11 rows needs to sort in small pieces; only the totals of buckets in use are ever
+    brought together.
     """
     text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row_id").cast("string")))
-    hashed = df.withColumn("_key", text).withColumn("_bucket", F.substring("_key", 1, 3))
+    hashed = df.withColumn("_key", text).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     before = (
         Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -18,6 +18,8 @@ from probewise.plans.scorers import MLScorer
 
 # fixed values: size and leaf limit of the forest, size and depth of the boosted model
 FOREST_TREES, FOREST_MIN_LEAF, SEEDS, FOLDS = 300, 3, 12, 10
+# split candidates per column: Spark's splitter bins columns, exact splits try every value
+FOREST_BINS = 256
 GBT_TREES, GBT_DEPTH = 100, 3
 
 
@@ -25,7 +27,7 @@ def forest(features: list[str], seed: int = 42, trees: int = FOREST_TREES) -> Pi
     """Deep trees with a leaf limit; Spark's own default stops at depth 5 and 20 trees."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     trees = RandomForestClassifier(
-        numTrees=trees, minInstancesPerNode=FOREST_MIN_LEAF, maxDepth=30, seed=seed
+        numTrees=trees, minInstancesPerNode=FOREST_MIN_LEAF, maxDepth=30, maxBins=FOREST_BINS, seed=seed
     )
     return Pipeline(stages=[assembler, trees])
 
@@ -35,10 +37,17 @@ def boosted(features: list[str], seed: int = 42) -> Pipeline:
     return Pipeline(stages=[assembler, GBTClassifier(maxIter=GBT_TREES, maxDepth=GBT_DEPTH, seed=seed)])
 
 
-def logistic(features: list[str]) -> Pipeline:
+def logistic(features: list[str], n: int) -> Pipeline:
+    """Ridge-penalised logistic regression, C = 1 on columns scaled by their population std.
+
+    That is the sum of the ``n`` training rows' losses plus half the squared weights. Spark averages
+    the losses, hence 1/n, and its scaler divides by the sample std, hence (n - 1)/n more.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="raw")
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="features")
-    return Pipeline(stages=[assembler, scaler, LogisticRegression(maxIter=2000)])
+    penalty = (n - 1) / n**2 if n else 0.0
+    fit = LogisticRegression(maxIter=2000, tol=1e-12, regParam=penalty, elasticNetParam=0.0, standardization=False)
+    return Pipeline(stages=[assembler, scaler, fit])
 
 
 def fit_all(jobs: list[tuple[Pipeline, DataFrame]]) -> list:

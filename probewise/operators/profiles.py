@@ -18,7 +18,8 @@ ACTIVE = 1e-12
 FLAT = 0.05
 
 
-MAX_GRID = 8192
+#: Grids of at most so many points keep step and position in one long; others take a decimal.
+LONG_GRID = 1_000_000
 
 
 def _top(n: int | str) -> int | str:
@@ -105,21 +106,27 @@ def profile_summary(
     points = scorer.score_at(points, "z", features, "p")
     points = scorer.score_at(points, "z_next", features, "p_next")
     step = F.abs(F.col("p_next") - F.col("p"))
-    # step (to 1e-12) and position in one long: a plain max keeps the first of equal steps and
-    # stays in the hash aggregate, where a max over structs would sort the exploded rows
-    size = F.floor(step * 1e12 + 0.5) * MAX_GRID
-    code = size + (MAX_GRID - 1 - F.col("grid_idx"))
+    # step (to 1e-12, below which differences are rounding) and position in one number: a plain max
+    # keeps the first of equal steps and stays in the hash aggregate, where a max over structs would
+    # sort the exploded rows. Steps of probabilities are at most 1, so a long holds a million points;
+    # where the number of points is not known to be below that, a decimal holds any.
+    kind = "long" if isinstance(n, int) and n <= LONG_GRID else "decimal(38,0)"
+    points_of = (F.lit(n) if isinstance(n, int) else F.lit(2**31)).cast(kind if kind == "long" else "decimal(11,0)")
+    size = F.floor(step * 1e12 + 0.5).cast("long" if kind == "long" else "decimal(20,0)")
+    code = (size * points_of + (points_of - 1 - F.col("grid_idx"))).cast(kind)
     curves = points.groupBy(*keys).agg(
         F.min("p").alias("p_min"),
         F.max("p").alias("p_max"),
         F.sum((step > big).cast("long")).alias("n_big"),
         F.max(step).alias("largest"),
         F.max(code).alias("_code"),
+        F.max(points_of).alias("_points"),
         F.max("lo").alias("_lo"),
         F.max("hi").alias("_hi"),
         *extra,
     )
-    curves = curves.withColumn("step_idx", MAX_GRID - 1 - F.col("_code") % MAX_GRID)
+    step_idx = F.col("_points") - 1 - F.col("_code") % F.col("_points")
+    curves = curves.withColumn("step_idx", step_idx.cast("long"))
     return curves.withColumns(
         {
             "swing": F.col("p_max") - F.col("p_min"),
@@ -127,7 +134,7 @@ def profile_summary(
             "step_left": F.expr(point_sql("step_idx", n, "_lo", "_hi")),
             "step_right": F.expr(point_sql(f"least(step_idx + 1, {_top(n)})", n, "_lo", "_hi")),
         }
-    ).drop("_code", "_lo", "_hi")
+    ).drop("_code", "_points", "_lo", "_hi")
 
 
 def curve_slopes(points: DataFrame, keys=("row_id", "feature")) -> DataFrame:

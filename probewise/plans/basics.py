@@ -17,7 +17,8 @@ def feature_table(spark, sf_dir):
 
 
 def doc_feature_table(spark, sf_dir):
-    return T.doc_features(spark, sf_dir).select("row_id", *T.DOC_FEATURES, "label", "is_test")
+    t = T.doc_features(spark, sf_dir)
+    return t.select("row_id", *T.DOC_FEATURES, F.col("label").cast("double").alias("label"), "is_test")
 
 
 def vec_feature_table(spark, sf_dir):
@@ -196,7 +197,7 @@ def auc_and_accuracy(scored):
 
 
 def accuracy_by_band(spark, sf_dir):
-    t = DOC_LOGIT.score(T.doc_features(spark, sf_dir))
+    t = DOC_LOGIT.score(T.doc_features(spark, sf_dir).where("label IS NOT NULL"))
     b = t.withColumn("band", C.half_open_band(F.col("p")))
     hit = (F.col("p") >= 0.5).cast("int") == F.col("label")
     return b.groupBy("band").agg(F.count(F.lit(1)).alias("n"), r6(share(hit)).alias("accuracy"))

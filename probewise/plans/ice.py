@@ -97,7 +97,7 @@ def range_histogram(spark, sf_dir):
     ranges = order_ranges(spark, sf_dir)
     ends = ranges.agg(F.min("range").alias("lo"), F.max("range").alias("hi"))
     width = (F.col("e.hi") - F.col("e.lo")) / 30
-    at = F.floor((F.col("range") - F.col("e.lo")) / width + 1e-9)
+    at = F.floor((F.col("range") - F.col("e.lo")) / width)
     binned = C.attach(ranges, ends, "e").select(F.least(at, F.lit(29)).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     bins = ranges.sparkSession.range(30).select(F.col("id").cast("int").alias("bin"))

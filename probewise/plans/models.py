@@ -26,31 +26,40 @@ from probewise.sources import tables as T
 DOCS = T.DOC_FEATURES
 
 
+def _labelled(spark, sf_dir) -> DataFrame:
+    return T.doc_features(spark, sf_dir).where("label IS NOT NULL")
+
+
 def _docs(spark, sf_dir) -> DataFrame:
     """The split document table, written once: fitting reads it many times."""
-    return materialise(C.stratified_split(T.doc_features(spark, sf_dir)))
+    return materialise(C.stratified_split(_labelled(spark, sf_dir)))
 
 
-def _fit(t: DataFrame, estimator, features=DOCS) -> MLScorer:
-    return MLScorer(estimator.fit(t.where(C.train_rows())), features)
+def _fit(t: DataFrame, make, features=DOCS) -> MLScorer:
+    train = t.where(C.train_rows())
+    return MLScorer(make(train).fit(train), features)
 
 
-def _test_scores(spark, sf_dir, estimator) -> DataFrame:
+def _test_scores(spark, sf_dir, make) -> DataFrame:
     t = _docs(spark, sf_dir)
-    scored = _fit(t, estimator).score(t.where("is_test"))
+    scored = _fit(t, make).score(t.where("is_test"))
     return scored.select("row_id", "label", r6("p").alias("p"))
 
 
+def _forest(_: DataFrame):
+    return M.forest(DOCS)
+
+
 def rf_scores(spark, sf_dir):
-    return _test_scores(spark, sf_dir, M.forest(DOCS))
+    return _test_scores(spark, sf_dir, _forest)
 
 
 def gbt_scores(spark, sf_dir):
-    return _test_scores(spark, sf_dir, M.boosted(DOCS))
+    return _test_scores(spark, sf_dir, lambda _: M.boosted(DOCS))
 
 
 def logreg_scores(spark, sf_dir):
-    return _test_scores(spark, sf_dir, M.logistic(DOCS))
+    return _test_scores(spark, sf_dir, lambda train: M.logistic(DOCS, train.count()))
 
 
 def rf_metrics(spark, sf_dir):
@@ -59,12 +68,12 @@ def rf_metrics(spark, sf_dir):
 
 def importance_topk(spark, sf_dir):
     t = _docs(spark, sf_dir)
-    model = _fit(t, M.forest(DOCS)).model
+    model = _fit(t, _forest).model
     return M.importances(model, DOCS, spark).where(F.col("rank") <= 2)
 
 
 def oof_scores(spark, sf_dir):
-    t = materialise(C.kfold(T.doc_features(spark, sf_dir)))
+    t = materialise(C.kfold(_labelled(spark, sf_dir)))
     return M.out_of_fold(t, DOCS).select("row_id", "fold", "label", r6("p").alias("p"))
 
 
@@ -81,7 +90,7 @@ def oof_accuracy_by_band(spark, sf_dir):
 def ice_forest(spark, sf_dir):
     """Partial dependence and disagreement of the forest: stored curves, slopes by window."""
     t = _docs(spark, sf_dir)
-    scorer, stats = _fit(t, M.forest(DOCS)), C.column_stats(t, DOCS)
+    scorer, stats = _fit(t, _forest), C.column_stats(t, DOCS)
     points = P.cp_profiles(t.where("is_test"), stats, scorer, ["n_words", "n_chars"], 120, None)
     b = P.bundle_summary(P.curve_slopes(points.select("row_id", "feature", "grid_idx", "z", "p")))
     return b.select("feature", "grid_idx", r6("pdp").alias("pdp"), "moving", "against",
@@ -154,7 +163,7 @@ def interaction_forest(spark, sf_dir):
 
 def explain_forest(spark, sf_dir):
     t = _docs(spark, sf_dir)
-    stats, scorer = C.column_stats(t, DOCS), _fit(t, M.forest(DOCS))
+    stats, scorer = C.column_stats(t, DOCS), _fit(t, _forest)
     rows = scorer.score(C.zscored(t.where("is_test"), stats, DOCS))
     draws = scorer.score(CL.cloud(spark, stats, DOCS))
     e = S.explain(rows, CL.share_cloud(draws, DOCS, CL.DRAWS, (42,)), 2)
@@ -164,15 +173,15 @@ def explain_forest(spark, sf_dir):
 
 def _settings(spark, sf_dir, names) -> list[tuple]:
     """(name, split table, features, fitted scorer) of each setting, fitted side by side."""
-    docs, vec = T.doc_features(spark, sf_dir), T.vec_features(spark, sf_dir)
+    docs, vec = _labelled(spark, sf_dir), T.vec_features(spark, sf_dir)
     vectors, dims = T.vec_columns(vec, 64)
     orders = T.order_features(spark, sf_dir)
     known = {
-        "docs_forest": (docs, DOCS, M.forest(DOCS)),
-        "docs_boosted": (docs, DOCS, M.boosted(DOCS)),
-        "docs_logistic": (docs, DOCS, M.logistic(DOCS)),
-        "vectors_logistic": (vectors, dims, M.logistic(dims)),
-        "orders_logistic": (orders, T.ORDER_FEATURES, M.logistic(T.ORDER_FEATURES)),
+        "docs_forest": (docs, DOCS, lambda _: M.forest(DOCS)),
+        "docs_boosted": (docs, DOCS, lambda _: M.boosted(DOCS)),
+        "docs_logistic": (docs, DOCS, lambda n: M.logistic(DOCS, n)),
+        "vectors_logistic": (vectors, dims, lambda n: M.logistic(dims, n)),
+        "orders_logistic": (orders, T.ORDER_FEATURES, lambda n: M.logistic(T.ORDER_FEATURES, n)),
     }
     split: dict[int, DataFrame] = {}
     picked = []
@@ -181,7 +190,8 @@ def _settings(spark, sf_dir, names) -> list[tuple]:
         if id(table) not in split:
             split[id(table)] = materialise(C.stratified_split(table))
         picked.append((n, split[id(table)], features, estimator))
-    models = M.fit_all([(e, t.where(C.train_rows())) for _, t, _, e in picked])
+    trains = [t.where(C.train_rows()) for _, t, _, _ in picked]
+    models = M.fit_all([(e(train.count()), train) for train, (_, _, _, e) in zip(trains, picked)])
     return [(n, t, f, MLScorer(m, f)) for (n, t, f, _), m in zip(picked, models)]
 
 

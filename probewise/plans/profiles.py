@@ -89,7 +89,7 @@ def cp_profile_pandas(spark, sf_dir):
         return 1.0 / (1.0 + np.exp(-(0.002 * (x[:, 0] - 390.0) - 0.5 * (x[:, 1] - 6.4))))
 
     scorer = PandasScorer(logistic, ["n_words", "chars_per_word"])
-    points = P.cp_profiles(t, stats, scorer, ["n_words", "chars_per_word"], n=50, span=2.5)
+    points = P.cp_profiles(t, stats, scorer, ["n_words", "chars_per_word"], n=200, span=2.5)
     return points.select("row_id", "feature", "grid_idx", r6("p").alias("p"))
 
 

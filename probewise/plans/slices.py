@@ -87,8 +87,8 @@ def isoline(spark, sf_dir):
     """The fit's contour through each row inside its window; NULL for a flat second axis."""
     rows, shared, stats, _ = setup(spark, sf_dir, False)
     e = S.explain(rows, shared, K, keep=DF)
-    w = SL.windowed(e, stats, FX, FY).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(21))))
-    w = w.withColumn("zx", F.expr(point_sql("i", 22, "lo_x", "hi_x")))
+    w = SL.windowed(e, stats, FX, FY).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(NX - 1))))
+    w = w.withColumn("zx", F.expr(point_sql("i", NX, "lo_x", "hi_x")))
     cx, cy = F.col("coef")[DF.index(FX)], F.col("coef")[DF.index(FY)]
     # in standardised units the line has slope -cx / cy; back to raw units by the stds
     run = (F.col("zx") - F.col(FX)) / F.col("std_x")

@@ -256,7 +256,7 @@ def pairwise_median(spark, sf_dir):
     dims = [f"z_{f}" for f in T.DOC_FEATURES]
     median, pairs = D.pairwise_median(z.select("row_id", *dims), dims)
     expected = (2 * len(dims)) ** 0.5
-    return t.agg(r6(F.lit(median)).alias("median"), r6(F.lit(expected)).alias("sqrt_2p"),
+    return t.agg(r6(F.lit(median).cast("double")).alias("median"), r6(F.lit(expected)).alias("sqrt_2p"),
                  F.lit(pairs).cast("long").alias("pairs"))
 
 

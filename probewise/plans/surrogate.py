@@ -99,7 +99,7 @@ def saturation(spark, sf_dir):
     t = T.order_features(spark, sf_dir, OF)
     c = ORDER_LOGIT.score(CL.cloud(spark, C.column_stats(t, OF), OF)).select(F.lit("cloud").alias("where"), "p")
     held = ORDER_LOGIT.score(t.where("is_test")).select(F.lit("held_out").alias("where"), "p")
-    sat = (F.col("p") < 0.2) | (F.col("p") > 0.8)
+    sat = (F.col("p") < 0.05) | (F.col("p") > 0.95)
     return c.unionByName(held).groupBy("where").agg(
         F.count(F.lit(1)).alias("n"), tally(sat).alias("saturated"), r6(share(sat)).alias("share"),
         r6(F.min("p")).alias("min_p"), r6(F.max("p")).alias("max_p"))

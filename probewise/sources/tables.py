@@ -62,6 +62,7 @@ def order_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; ``label`` is NULL for those without one, and fits and accuracies leave them out."""
     docs = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"),
         F.col("n_chars").cast("double").alias("n_chars"),
@@ -71,7 +72,7 @@ def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("row_id"), F.col("quality").cast("int").alias("label")
     )
     return (
-        docs.join(labels, "row_id")
+        docs.join(labels, "row_id", "left")
         .withColumn("chars_per_word", F.round(F.col("n_chars") / F.col("n_words"), 6))
         .withColumn("is_test", hashed_test_flag())
     )

@@ -321,7 +321,77 @@ def test_ml_scorer_keeps_the_row(spark, docs):
     from probewise.operators.models import logistic
 
     t, stats = docs
-    scorer = MLScorer(logistic(T.DOC_FEATURES).fit(t), T.DOC_FEATURES)
+    known = t.where("label IS NOT NULL")
+    scorer = MLScorer(logistic(T.DOC_FEATURES, known.count()).fit(known), T.DOC_FEATURES)
     points = P.cp_profiles(t, stats, scorer, ["n_words", "n_chars"], 5)
     own = points.select("row_id", "n_words", "n_chars").distinct()
     assert own.count() == t.count() and points.where(~F.col("p").between(0, 1)).count() == 0
+
+
+def test_ridge_logistic_is_at_its_optimum(spark, docs):
+    from probewise.operators.models import logistic
+
+    known = docs[0].where("label IS NOT NULL")
+    n = known.count()
+    model = logistic(T.DOC_FEATURES, n).fit(known).stages[-1]
+    pdf = known.select(*T.DOC_FEATURES, "label").toPandas()
+    x = pdf[T.DOC_FEATURES].to_numpy()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    w = model.coefficients.toArray() * np.sqrt((n - 1) / n)
+    p = 1 / (1 + np.exp(-(z @ w * 1.0 + model.intercept)))
+    # summed loss plus half the squared weights, columns scaled by the population std
+    gradient = z.T @ (p - pdf["label"].to_numpy()) + w
+    assert np.abs(gradient).max() < 1e-3 and abs((p - pdf["label"]).sum()) < 1e-3
+
+
+@pytest.mark.parametrize("n", [10_000, 100_000])
+def test_a_step_late_in_a_long_grid_is_found(spark, n):
+    from pyspark.sql import Row
+
+    class Step:
+        features = ["a"]
+
+        def score_at(self, points, at, features, out="p"):
+            return points.withColumn(out, F.when(F.col(at) > n - 500.5, 1.0).otherwise(0.0))
+
+    sweeps = spark.createDataFrame([Row(row_id=1, feature="a", a=0.0, lo=0.0, hi=float(n - 1), n=n)])
+    for size in (n, "n"):
+        keys = ("row_id", "feature") if size == n else ("row_id", "feature", "n")
+        got = P.profile_summary(sweeps, Step(), ["a"], size, keys).first()
+        assert (got["step_idx"], got["step_left"], got["largest"]) == (n - 501, float(n - 501), 1.0)
+
+
+def test_ties_on_the_widest_column_still_part(spark):
+    from probewise.operators.distance import SpacePartition
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 3))
+    x[:12_000, 0] = 50.0
+    tree = SpacePartition(6, x[::4])
+    assert np.bincount(tree.cell(x)).max() < 1500
+
+
+def test_split_cells_and_bounded_probes_stay_exact(spark, monkeypatch):
+    from probewise.operators import distance as D
+
+    monkeypatch.setattr(D, "CELL_ROWS", 16)
+    monkeypatch.setattr(D, "POINTS_PER_TASK", 5)
+    monkeypatch.setattr(D, "PROBES_PER_TASK", 7)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 4)), 2)
+    x[:150, 0] = 9.0
+    x[10:14] = x[10]
+    ids = np.arange(300) - 2  # ids may be negative
+    df = frame(spark, row_id=ids, **{f"d{i}": x[:, i] for i in range(4)})
+    dims = [f"d{i}" for i in range(4)]
+    full = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    for own in (True, False):
+        want = full + np.where(np.eye(300, dtype=bool), np.inf, 0) if own else full
+        got = D.nearest(df, df, ["row_id"], dims, own).toPandas().set_index("row_id")["d"]
+        assert np.allclose(got.loc[ids], want.min(axis=1))
+    assert D.pairwise_median(df.limit(1), dims) == (None, 0)
+
+
+def test_documents_without_a_label_stay(spark):
+    t = T.doc_features(spark, SF)
+    assert t.count() == T.read(spark, SF, "documents").count() and t.where("label IS NULL").count() > 0
