@@ -25,6 +25,7 @@ BLOCK = set(
     " option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+REGION = set("article aside footer form header main nav section".split())
 UNSEEN = set("script style title noscript template iframe object textarea svg math canvas noembed noframes".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -146,6 +147,9 @@ def features(page: list[Block]) -> list[list[str]]:
                 names.add(f"named {word}")
                 if len(word) > 5:
                     names.add(f"begins {word[:5]}")
+        around = next(((t, named) for t, named in reversed(b.ancestors) if named or t in REGION), ("none", ""))
+        names.add(f"nearest {around[0]}")
+        names.update(f"nearest named {part.lower()}" for part in _PART.findall(around[1]))
         n = len(b.text)
         words = b.text.count(" ") + 1
         links = b.link_chars / n
@@ -234,7 +238,8 @@ class Chain:
 ARTICLE = [
     "article", "main", 'div class="post-content"', 'div id="content"', 'div class="article-body"', 'section class="entry-content"',
     'div class="story text"', 'div role="main"', 'article class="post"', 'div itemprop="articleBody" class="body-copy"', 'div class="page-text"',
-    'td class="content"', 'div', 'main id="main-content"', 'div class="blog-post single"',
+    'td class="content"', 'div', 'main id="main-content"', 'div class="blog-post single"', 'div class="main-column"', 'div id="primary"',
+    'div class="content-area prose"', 'div class="left-column"', 'div class="text-block"', 'section', 'div class="body"',
 ]
 OTHER = {
     "menu": ["nav", 'div class="menu"', 'ul class="navigation"', 'div id="navbar"', 'div class="breadcrumbs"', 'nav class="top-nav"', 'div role="navigation"'],
@@ -261,12 +266,13 @@ def relaid(page: list[Block], labels: list[int], rng: Random) -> str:
     rest = [b.text for b, v in zip(page, labels, strict=True) if not v] or ["Home"]
     article = []
     for k, text in enumerate(main):
-        tag = "h1" if k == 0 and rng.random() < 0.8 else rng.choice(["p", "p", "p", "p", "h2", "blockquote", "div", "li"])
+        tag = "h1" if k == 0 and rng.random() < 0.8 else rng.choice(["p", "p", "p", "p", "h2", "blockquote", "div", "li", "li"])
         text = html.escape(text)
         if rng.random() < 0.2:
             cut = rng.randrange(len(text) + 1)
             text = text[:cut].rsplit("&", 1)[0] + '<a href="/x">' + text[cut:].split(";", 1)[-1] + "</a>"
-        article.append(f"<{tag}>\x01{text}" + f"</{tag}>" * (tag != "p" or rng.random() < 0.8))
+        block = f"<{tag}>\x01{text}" + f"</{tag}>" * (tag != "p" or rng.random() < 0.8)
+        article.append(f"<ul>{block}</ul>" if tag == "li" else block)
 
     def piece(kind: str) -> str:
         def line() -> str:
@@ -280,7 +286,8 @@ def relaid(page: list[Block], labels: list[int], rng: Random) -> str:
         elif kind == "form":
             inner = f"<label>{line()}</label><input name=q><select><option>{line()}</option></select><button>{line()}</button>"
         elif kind == "comments":
-            inner = "".join(f'<div class="comment"><b>{line()}</b><p>{line()}</p></div>' for _ in range(n))
+            shape = rng.choice(['<div class="comment"><b>{}</b><p>{}</p></div>', "<p>{} {}</p>", "<h3>{}</h3><p>{}</p>", "<li>{} {}</li>"])
+            inner = "".join(shape.format(line(), line()) for _ in range(n))
         elif kind == "sidebar":
             inner = f"<h3>{line()}</h3>" + "".join(f'<p><a href="/{i}">{line()}</a> {line()[1:]}</p>' for i in range(n))
         else:
@@ -288,7 +295,7 @@ def relaid(page: list[Block], labels: list[int], rng: Random) -> str:
             inner = ("&copy; " if kind == "footer" and rng.random() < 0.6 else "") + inner
         return _element(rng.choice(OTHER[kind]), inner)
 
-    inside = [k for k in ("advert", "sidebar", "notice", "share", "comments", "form") if rng.random() < 0.12]
+    inside = [k for k in ("advert", "sidebar", "notice", "share", "comments", "form") if rng.random() < 0.3]
     for kind in inside:
         article.insert(len(article) if kind in ("comments", "share", "form") else rng.randrange(len(article) + 1), piece(kind))
     odd = "".join(rng.choice("bcdfglmnprstvaeiou") for _ in range(7))
