@@ -37,12 +37,15 @@ def choose_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
     the earliest start of a sequence wins, and a whole power of two only if it is strictly better."""
     m = len(at)
     powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
-    exact: list[list[int]] = [[] for _ in range(m)]
+    exact: dict[int, list[int]] = {}
+    number = np.full(int(at[-1]) + 1, -1)
+    number[at] = np.arange(m)
     for p in powers:
-        where = np.searchsorted(at, at - p)
-        hit = np.flatnonzero((at >= p) & (at[np.minimum(where, m - 1)] == at - p))
-        for j, i in zip(hit.tolist(), where[hit].tolist(), strict=True):
-            exact[j].append(i)
+        later = int(np.searchsorted(at, p))
+        where = number[at[later:] - p]
+        hit = np.flatnonzero(where >= 0)
+        for j, i in zip((hit + later).tolist(), where[hit].tolist(), strict=True):
+            exact.setdefault(j, []).append(i)
     places, costs = at.tolist(), cost.tolist()
     best, came = [0.0] * m, [0] * m
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
@@ -52,7 +55,7 @@ def choose_cuts(at: np.ndarray, cost: np.ndarray, length: int) -> list[int]:
             queue.popleft()
         key, i = queue[0]
         total = key + length - end
-        for k in exact[j]:
+        for k in exact.get(j, ()):
             if best[k] < total:
                 total, i = best[k], k
         total += costs[j]

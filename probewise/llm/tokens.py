@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probewise.llm import store
+from probewise.llm import store, words
 
 #: Words with other characters than these, or with a special token's opening, go to the library whole.
-_PLAIN = r"[\x21-\x7e¡-¬®-ɏ]+"
+_ODD = r"[^\n\x21-\x7e¡-¬®-ɏ]|<\|"
+_MARK = b"\0"
 _CACHED_PIECES = 400_000
 _SLICE_BYTES = 24 << 20
 
@@ -35,6 +36,24 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """Ids of a piece as bytes, computed where it is missing; bounded, emptied when full."""
+
+    def __init__(self, enc: Encoder):
+        super().__init__()
+        self.model, self.dtype, self.letters = enc.model, enc.dtype, _byte_alphabet()
+        self["\n"] = _MARK
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        found = np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+        if len(self) >= _CACHED_PIECES:
+            self.clear()
+            self["\n"] = _MARK
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """``tokenizers`` ids of whole columns of text.
 
@@ -64,26 +83,37 @@ class Encoder:
             and rules["model"].get("end_of_word_suffix")
         )
         if self.by_word:
-            self.pieces = regex.compile(pattern)
-            self.plain = regex.compile(_PLAIN)
-            self.letters = _byte_alphabet()
-            self.seen: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.seen.get(piece)
-        if found is None:
-            text = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
-            if len(self.seen) >= _CACHED_PIECES:
-                self.seen.clear()
-            self.seen[piece] = found
-        return found
-
-    def _word(self, word: str) -> bytes:
-        if "<|" in word or not self.plain.fullmatch(word):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        piece = self._piece
-        return b"".join([piece(p) for p in self.pieces.findall(word.lower())])
+            self.pieces = regex.compile(pattern + "|\n")
+            self.odd = regex.compile(_ODD)
+            self.seen = _Pieces(self)
+
+    def _words(self, spelt: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after another, and each word's place and number of ids in them.
+
+        All words are cut into pieces at once; a line feed between words, which no piece holds, stands
+        for one marking byte."""
+        joined = "\n".join(spelt)
+        found = list(map(self.seen.__getitem__, self.pieces.findall(joined.lower())))
+        found.append(_MARK)
+        raw = np.frombuffer(b"".join(found), np.uint8)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        to = np.cumsum(size)
+        marks = to[size == 1] - 1
+        keep = np.ones(len(raw), bool)
+        keep[marks] = False
+        width = np.dtype(self.dtype).itemsize
+        ids = raw[keep].view(self.dtype)
+        ends = (marks - np.arange(len(marks))) // width
+        sizes = np.diff(ends, prepend=0)
+        place = ends - sizes
+        starts = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1)
+        odd = sorted({int(np.searchsorted(starts, m.start(), "right")) for m in self.odd.finditer(joined)})
+        if odd:
+            whole = [np.array(self.whole.encode(spelt[k], add_special_tokens=False).ids, self.dtype) for k in odd]
+            sizes[odd] = [len(w) for w in whole]
+            place[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+            ids = np.concatenate([ids, *whole])
+        return ids, place, sizes
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by ``end_id``; and where each text starts."""
@@ -92,28 +122,17 @@ class Encoder:
             parts = [np.array([*f.ids, end_id], self.dtype) for f in found]
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
             return np.concatenate([*parts, np.empty(0, self.dtype)]), starts
-        lists = pc.ascii_split_whitespace(texts)
-        words = lists.flatten()
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
-        coded = words.dictionary_encode()
-        spelt = coded.dictionary.to_pylist()
-        at_empty = spelt.index("") if "" in spelt else -1
-        ids = [b"" if k == at_empty else self._word(w) for k, w in enumerate(spelt)]
-        ids.append(np.array([end_id], self.dtype).tobytes())
-        width = np.dtype(self.dtype).itemsize
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        place = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        ends = ends - ends[0]
-        codes = np.insert(coded.indices.to_numpy(), ends[1:], len(ids) - 1)
-        counts = size[codes]
+        spelt, codes, ends = words.coded(texts)
+        ids, place, sizes = self._words(spelt)
+        ids = np.append(ids, np.array([end_id], self.dtype))
+        place, sizes = np.append(place[: len(spelt)], len(ids) - 1), np.append(sizes[: len(spelt)], 1)
+        codes = np.insert(codes, ends, len(spelt))
+        counts = sizes[codes]
         to = np.cumsum(counts)
         source = np.repeat(place[codes] - (to - counts), counts)
         source += np.arange(len(source))
-        closing = ends[1:] + np.arange(len(ends) - 1)
-        return flat[source], np.concatenate([[0], to[closing]]).astype(np.int64)
+        closing = ends + np.arange(len(ends))
+        return ids[source], np.concatenate([[0], to[closing]]).astype(np.int64)
 
     def encode_batches(
         self, batches: Iterator[pa.RecordBatch], end_id: int

@@ -32,7 +32,16 @@ def coded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pa.concat_arrays([texts]))
     found = lists.flatten().dictionary_encode()
     ends = lists.offsets.to_numpy().astype(np.int64)
-    return found.dictionary.to_pylist(), found.indices.to_numpy(), ends[1:] - ends[0]
+    return spelt(found.dictionary), found.indices.to_numpy(), ends[1:] - ends[0]
+
+
+def spelt(dictionary: pa.Array) -> list[str]:
+    """The words of a dictionary as a list; as they hold no white space, one joined string gives all."""
+    if not len(dictionary):
+        return []
+    ends = pa.array([0, len(dictionary)], pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, dictionary), pa.scalar("\n", dictionary.type))
+    return joined[0].as_py().split("\n")
 
 
 def expand(codes: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
