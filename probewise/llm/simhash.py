@@ -259,17 +259,22 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, less near duplicates: of each component the row with
-    the smallest id stays, a null id only where there is no other, of rows with equal ids the first read.
+    the smallest id stays, a null id only where there is no other; of different texts with that id the one
+    with the least hash, of rows that repeat both id and text any one.
 
-    Rows are told apart by their place in the input, so ``docs`` must read the same each time, as a
-    stored table does.
+    Rows are told apart by id and text alone, so a task that runs again decides alike.
     """
-    name = "row"
-    while name in docs.columns:
-        name += "_"
-    placed = docs.withColumn(name, F.monotonically_increasing_id())
-    scanned = store.kept(fingerprints(placed, words, doc_id, text, name), "fingerprints")
+    own, hashed = "own_id", "text_hash"
+    while own in docs.columns or hashed in docs.columns:
+        own, hashed = own + "_", hashed + "_"
+    placed = docs.withColumn(hashed, F.xxhash64(F.col(text)))
+    scanned = store.kept(fingerprints(placed, words, doc_id, text, hashed), "fingerprints")
     classes = _classes(scanned, radius).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    stay = scanned.join(classes, "fp").groupBy("root").agg(first).select(F.col("first.row").alias(name))
-    return placed.join(store.kept(stay, "stay"), name, "left_semi").select(*docs.columns)
+    stay = scanned.join(classes, "fp").groupBy("root").agg(first)
+    stay = store.kept(stay.select(F.col("first.doc_id").alias(own), F.col("first.row").alias(f"{hashed}_stay")), "stay")
+    same = (F.col(hashed) == F.col(f"{hashed}_stay")) & F.col(doc_id).cast("long").eqNullSafe(F.col(own))
+    kept = placed.join(stay, same, "left_semi")
+    if not scanned.groupBy("doc_id", "row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, hashed])
+    return kept.select(*docs.columns)
