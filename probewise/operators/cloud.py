@@ -12,7 +12,8 @@ from probewise.functions.noise import normal
 from probewise.operators.columns import attach
 
 DRAWS = 5000
-MAX_CLOUD_VALUES = 8_000_000
+#: Doubles a task may hold for the cloud's products of columns: 256 MB.
+MAX_MOMENT_VALUES = 32_000_000
 
 
 def cloud(
@@ -36,10 +37,13 @@ class SharedCloud:
     f: list[np.ndarray]
 
 
-def share_cloud(scored: DataFrame, features: list[str], draws: int, seeds) -> SharedCloud:
-    """Bring a scored cloud together. Its size is set by draws, seeds and features alone and is
-    checked here; it never grows with the tables."""
-    if draws * len(seeds) * (len(features) + 1) > MAX_CLOUD_VALUES:
+def share_cloud(
+    scored: DataFrame, features: list[str], draws: int, seeds, max_values: int = MAX_MOMENT_VALUES
+) -> SharedCloud:
+    """Bring a scored cloud together. Its size is set by draws, seeds and features alone, never by
+    the tables. What counts is what a task makes of it: every draw becomes the products of its
+    columns; ``max_values`` follows from the memory of a worker."""
+    if draws * len(seeds) * (len(features) + 1) ** 2 > max_values:
         raise ValueError("cloud too large to share: lower draws or explain in batches of seeds")
     names = [f"z_{f}" for f in features]
     pdf = scored.select("seed", "draw_id", *names, "p").toPandas()
