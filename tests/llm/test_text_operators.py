@@ -341,6 +341,29 @@ def test_boosted_trees_add_numbers_without_their_mark(spark):
     assert sum(got[1000 + k].n_added for k in range(600)) == 0
 
 
+def test_unmarked_cases_are_added_however_common(spark):
+    """A tenth of unmarked cases in the same places as the marked ones, and look-alikes that are none."""
+    rows, want = [], {}
+    for k in range(500):
+        number = f"({k % 700 + 200}) 555-{k * 7 % 9000 + 1000}"
+        rows.append((k, f"please call +1 {number} today"))
+        rows.append((1000 + k, f"contact user{k}@host{k % 40}.com for details"))
+        rows.append((2000 + k, f"connected from 10.{k % 250}.3.{k % 199} again"))
+        rows.append((3000 + k, f"order no {number} was shipped"))
+        rows.append((4000 + k, f"see version {k % 90}.2.{k % 7}.{k % 11 + 300} of it"))
+        if k % 5 == 0:
+            rows.append((5000 + k, f"please call {number} today"))
+            want[5000 + k] = f"phone:12:{12 + len(number)}"
+            rows.append((6000 + k, f"contact user{k} (at) host{k % 40} dot com for details"))
+            want[6000 + k] = f"email:8:{8 + len(f'user{k} (at) host{k % 40} dot com')}"
+            address = f"2001:db8::{k:x}" if k % 2 else f"2001:db8:0:{k:x}:1:2:3:{k + 1:x}"
+            rows.append((7000 + k, f"connected from {address} again"))
+            want[7000 + k] = f"ip:15:{15 + len(address)}"
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].spans for i in want} == want
+    assert sum(got[i].n_added for i in got if 3000 <= i < 5000) == 0
+
+
 # ---- secrets
 
 
