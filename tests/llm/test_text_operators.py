@@ -389,6 +389,26 @@ def test_secrets(spark, edge_docs, empty_docs):
     assert secret_scan.scan(empty_docs, model).count() == 0 and secret_scan.scan(edge_docs, secret_scan.learn(empty_docs)).count() >= 0
 
 
+def test_secrets_of_any_length_and_form(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
+    jwt, grid = f"eyJ{some(30)}.{some(80)}.{some(43)}", f"SG.{some(22)}.{some(43)}"
+    short, long, plain = some(16), some(300), some(40)
+    cases = [
+        (f"set SPRING_DATASOURCE_HIKARI_DATA_SOURCE_PROPERTIES_PASSWORD={plain} here", plain), (f"at redis://:{short}@cache:6379/0 now", short),
+        (f"at postgres://{'u' * 90}:{long}@db.net/x now", long), (f"Authorization: Bearer {jwt}\nHost: x", jwt), (f"we use {grid}. Then", grid), (f"run --password={plain} now", plain),
+    ]
+    for text, value in cases:
+        assert value in [c.value for c in secret_scan.candidates(text)], text
+    for run in ("a." * 50_000, "a-" * 50_000, "x://" * 20_000, "a=" * 50_000, "x://" + "a" * 100_000):
+        secret_scan.candidates(run)
+    model = secret_scan.learn(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    docs = spark.createDataFrame([(k, t, "src0") for k, (t, _) in enumerate(cases)], "doc_id long, text string, source string")
+    for r in secret_scan.redact(docs, model).collect():
+        text, value = cases[r.doc_id]
+        assert r.text == text.replace(value, "[SECRET]")
+
+
 # ---- pages
 
 
