@@ -123,29 +123,31 @@ def class_order(df: DataFrame, seed: int, label: str = "label") -> DataFrame:
 
     The shuffle key is a hash, so its leading digits cut any class into even buckets, as many as a
     table of 1e11 rows needs to sort in small pieces; only the totals of buckets in use are ever
-    brought together.
+    brought together. Rows without a label are a class of their own.
     """
     text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("row_id").cast("string")))
-    hashed = df.withColumn("_key", text).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    # a join on a null label would drop its rows
+    named = F.coalesce(F.col(label).cast("string"), F.lit("none"))
+    hashed = df.withColumns({"_key": text, "_class": named}).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
     before = (
-        Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = (
-        hashed.groupBy(label, "_bucket")
+        hashed.groupBy("_class", "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
-            label,
+            "_class",
             "_bucket",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(label)).alias("n_class"),
+            F.sum("_n").over(Window.partitionBy("_class")).alias("n_class"),
         )
     )
-    inside = Window.partitionBy(label, "_bucket").orderBy("_key", "row_id")
+    inside = Window.partitionBy("_class", "_bucket").orderBy("_key", "row_id")
     return (
         hashed.withColumn("_pos", F.row_number().over(inside))
-        .join(totals, [label, "_bucket"])
+        .join(totals, ["_class", "_bucket"])
         .withColumn("class_pos", F.col("_before") + F.col("_pos"))
-        .drop("_key", "_bucket", "_before", "_pos")
+        .drop("_key", "_class", "_bucket", "_before", "_pos")
     )
 
 

@@ -31,12 +31,17 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    """The split document table, written once: fitting reads it many times."""
-    return materialise(C.stratified_split(_labelled(spark, sf_dir)))
+    """All documents, split, written once: fitting reads it many times. Those without a label are a
+    class of their own in the split and are probed like the others."""
+    return materialise(C.stratified_split(T.doc_features(spark, sf_dir)))
+
+
+def _train(t: DataFrame) -> DataFrame:
+    return t.where(C.train_rows()).where("label IS NOT NULL")
 
 
 def _fit(t: DataFrame, make, features=DOCS) -> MLScorer:
-    train = t.where(C.train_rows())
+    train = _train(t)
     return MLScorer(make(train).fit(train), features)
 
 
@@ -63,7 +68,7 @@ def logreg_scores(spark, sf_dir):
 
 
 def rf_metrics(spark, sf_dir):
-    return auc_and_accuracy(materialise(rf_scores(spark, sf_dir)))
+    return auc_and_accuracy(materialise(rf_scores(spark, sf_dir).where("label IS NOT NULL")))
 
 
 def importance_topk(spark, sf_dir):
@@ -106,7 +111,7 @@ def cp_seed_forest(spark, sf_dir):
     """Twelve refits over one grid: how much of a profile is the seed."""
     t = _docs(spark, sf_dir)
     stats = C.column_stats(t, DOCS)
-    scorers = M.seed_scorers(t.where(C.train_rows()), DOCS)
+    scorers = M.seed_scorers(_train(t), DOCS)
     points = P.grid_points(P.sweep_rows(t.where("is_test"), stats, ["n_chars"], span=2.5), 200)
     curves = _per_seed(points, scorers, lambda s, d: s.score_at(d, "z", ["n_chars"]))
     curves = materialise(curves.select("row_id", "seed", "grid_idx", "z", "p"))
@@ -123,7 +128,7 @@ def cp_seed_forest(spark, sf_dir):
 def boundary_seeds(spark, sf_dir):
     t = _docs(spark, sf_dir)
     stats = C.column_stats(t, DOCS)
-    scorers = M.seed_scorers(t.where(C.train_rows()), DOCS)
+    scorers = M.seed_scorers(_train(t), DOCS)
     grid = SL.cells(SL.windowed(t.where("is_test"), stats, "n_words", "n_chars"), 22, 20)
     own = grid.withColumns({"own_x": F.col("n_words"), "own_y": F.col("n_chars")})
     moved = own.withColumns({"n_words": F.col("zx"), "n_chars": F.col("zy")})
@@ -173,7 +178,7 @@ def explain_forest(spark, sf_dir):
 
 def _settings(spark, sf_dir, names) -> list[tuple]:
     """(name, split table, features, fitted scorer) of each setting, fitted side by side."""
-    docs, vec = _labelled(spark, sf_dir), T.vec_features(spark, sf_dir)
+    docs, vec = T.doc_features(spark, sf_dir), T.vec_features(spark, sf_dir)
     vectors, dims = T.vec_columns(vec, 64)
     orders = T.order_features(spark, sf_dir)
     known = {
@@ -190,7 +195,7 @@ def _settings(spark, sf_dir, names) -> list[tuple]:
         if id(table) not in split:
             split[id(table)] = materialise(C.stratified_split(table))
         picked.append((n, split[id(table)], features, estimator))
-    trains = [t.where(C.train_rows()) for _, t, _, _ in picked]
+    trains = [_train(t) for _, t, _, _ in picked]
     models = M.fit_all([(e(train.count()), train) for train, (_, _, _, e) in zip(trains, picked)])
     return [(n, t, f, MLScorer(m, f)) for (n, t, f, _), m in zip(picked, models)]
 

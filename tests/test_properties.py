@@ -395,3 +395,13 @@ def test_split_cells_and_bounded_probes_stay_exact(spark, monkeypatch):
 def test_documents_without_a_label_stay(spark):
     t = T.doc_features(spark, SF)
     assert t.count() == T.read(spark, SF, "documents").count() and t.where("label IS NULL").count() > 0
+
+
+def test_unlabelled_documents_are_split_and_probed(spark):
+    from probewise.plans import models
+
+    every, t = T.doc_features(spark, SF), models._docs(spark, SF)
+    assert t.count() == every.count() > every.where("label IS NOT NULL").count()
+    assert t.where("is_test AND label IS NULL").count() > 0 and models._train(t).where("label IS NULL").count() == 0
+    probed = models.explain_forest(spark, SF)
+    assert probed.count() == t.where("is_test").count()
