@@ -17,6 +17,7 @@ from probewise.sources import tables as T
 
 PAIRS = [("qty", "list_value"), ("net", "gross"), ("gross", "qty")]
 DOC_DIMS = ["n_chars", "n_words"]
+ORDER_DIMS = ["qty", "gross", "avg_disc"]
 CUTS = [0.5, 0.75, 0.95]
 
 
@@ -145,8 +146,7 @@ def envelope_clusters(spark, sf_dir):
                  r6(F.percentile("impossible", F.lit(0.5))).alias("median"))
 
 
-def _order_distances(spark, sf_dir):
-    names = ["qty", "gross", "avg_disc"]
+def _order_distances(spark, sf_dir, names=ORDER_DIMS):
     t = T.order_features(spark, sf_dir, names)
     z = C.zscored(t, C.column_stats(t, names), names)
     dims = [f"z_{f}" for f in names]
@@ -154,29 +154,30 @@ def _order_distances(spark, sf_dir):
     return D.nearest(z, z, ["row_id"], dims, exclude_self=True)
 
 
-def nn_real(spark, sf_dir):
-    return _order_distances(spark, sf_dir).select("row_id", r6("d").alias("d"))
+def nn_real(spark, sf_dir, names=ORDER_DIMS):
+    return _order_distances(spark, sf_dir, names).select("row_id", r6("d").alias("d"))
 
 
-def nn_cutoffs(spark, sf_dir):
-    q = exact_quantiles(_order_distances(spark, sf_dir), "d", CUTS)
+def nn_cutoffs(spark, sf_dir, names=ORDER_DIMS):
+    q = exact_quantiles(_order_distances(spark, sf_dir, names), "d", CUTS)
     return q.select(*[r6(F.col("q")[i]).alias(f"p{round(c * 100)}") for i, c in enumerate(CUTS)])
 
 
-def _doc_sweep(spark, sf_dir):
+def _doc_sweep(spark, sf_dir, names=DOC_DIMS):
     """Probes of every document along n_chars, in standardised coordinates, and the real rows."""
+    dims = [f"z_{f}" for f in names]
     t = T.doc_features(spark, sf_dir)
-    stats = C.column_stats(t, DOC_DIMS)
-    real = C.zscored(t, stats, DOC_DIMS).select("row_id", "z_n_chars", "z_n_words")
+    stats = C.column_stats(t, names)
+    real = C.zscored(t, stats, names).select("row_id", *dims)
     points = P.grid_points(P.sweep_rows(t, stats, ["n_chars"], span=2.5), 200)
     points = points.withColumns({"x0": F.col("n_chars"), "n_chars": F.col("z")})
     band = E.ratio_bounds(t, [("n_chars", "n_words")])
     out = E.outside(F.col("z"), F.col("n_words"), F.col("band.n_chars_lo"), F.col("band.n_chars_hi"))
     points = C.attach(points, band, "band").withColumn("impossible", out)
-    probes = C.zscored(points, stats, DOC_DIMS).select(
-        "row_id", "grid_idx", "z_n_chars", "z_n_words", "impossible",
+    probes = C.zscored(points, stats, names).select(
+        "row_id", "grid_idx", *dims, "impossible",
         (F.abs(F.col("z") - F.col("x0")) / F.col("x_std")).alias("moved"))
-    return materialise(probes), materialise(real), ["z_n_chars", "z_n_words"]
+    return materialise(probes), materialise(real), dims
 
 
 def _cutoffs(real, dims) -> DataFrame:
@@ -187,18 +188,18 @@ def _cutoffs(real, dims) -> DataFrame:
 KEYS = ["row_id", "grid_idx"]
 
 
-def nn_probe_naive(spark, sf_dir):
+def nn_probe_naive(spark, sf_dir, names=DOC_DIMS):
     """The check as usually written: the probed row is in its own reference set."""
-    probes, real, dims = _doc_sweep(spark, sf_dir)
+    probes, real, dims = _doc_sweep(spark, sf_dir, names)
     d = D.nearest(probes, real, KEYS, dims, exclude_self=False)
     d = C.attach(d, _cutoffs(real, dims), "c")
     s = d.groupBy("row_id").agg(F.max("d").alias("max_d"), share(F.col("d") > F.col("c.q")[2]).alias("rejects"))
     return s.select("row_id", r6("max_d").alias("max_d"), r6("rejects").alias("rejects"))
 
 
-def nn_self_match(spark, sf_dir):
+def nn_self_match(spark, sf_dir, names=DOC_DIMS):
     """Share of probes whose nearest real row is the row they were made from."""
-    probes, real, dims = _doc_sweep(spark, sf_dir)
+    probes, real, dims = _doc_sweep(spark, sf_dir, names)
     d = D.nearest(probes, real, KEYS, dims, exclude_self=False).join(probes, KEYS)
     s = d.groupBy("row_id").agg(
         share(F.col("d") >= F.col("moved") - 1e-12).alias("self"), F.max("d").alias("max_d"),
@@ -206,22 +207,22 @@ def nn_self_match(spark, sf_dir):
     return s.select("row_id", r6("self").alias("self_share"), r6("max_d").alias("max_d"), r6("span").alias("span"))
 
 
-def _loo(spark, sf_dir):
-    probes, real, dims = _doc_sweep(spark, sf_dir)
+def _loo(spark, sf_dir, names=DOC_DIMS):
+    probes, real, dims = _doc_sweep(spark, sf_dir, names)
     d = D.nearest(probes, real, KEYS, dims, exclude_self=True)
     return C.attach(d, _cutoffs(real, dims), "c"), probes
 
 
-def nn_probe_loo(spark, sf_dir):
-    d, _ = _loo(spark, sf_dir)
+def nn_probe_loo(spark, sf_dir, names=DOC_DIMS):
+    d, _ = _loo(spark, sf_dir, names)
     s = d.groupBy("row_id").agg(
         F.min("d").alias("min_d"), F.max("d").alias("max_d"),
         *[share(F.col("d") > F.col("c.q")[i]).alias(f"rejects_p{round(c * 100)}") for i, c in enumerate(CUTS)])
     return s.select("row_id", *[r6(c).alias(c) for c in s.columns[1:]])
 
 
-def nn_probe_curve(spark, sf_dir):
-    d, _ = _loo(spark, sf_dir)
+def nn_probe_curve(spark, sf_dir, names=DOC_DIMS):
+    d, _ = _loo(spark, sf_dir, names)
     return d.select(*KEYS, r6(F.col("d") / F.col("c.q")[2]).alias("relative"))
 
 
@@ -232,16 +233,16 @@ def _mahalanobis(probes, real, dims):
     return C.attach(d, _cutoffs(real, dims), "c")
 
 
-def nn_mahalanobis(spark, sf_dir):
-    probes, real, dims = _doc_sweep(spark, sf_dir)
+def nn_mahalanobis(spark, sf_dir, names=DOC_DIMS):
+    probes, real, dims = _doc_sweep(spark, sf_dir, names)
     d = _mahalanobis(probes, real, dims)
     s = d.groupBy("row_id").agg(F.max("d").alias("max_d"), share(F.col("d") > F.col("c.q")[2]).alias("rejects"))
     return s.select("row_id", r6("max_d").alias("max_d"), r6("rejects").alias("rejects"))
 
 
-def verdict_agreement(spark, sf_dir):
+def verdict_agreement(spark, sf_dir, names=DOC_DIMS):
     """Mahalanobis against the envelope, point by point, pooled over every document."""
-    probes, real, dims = _doc_sweep(spark, sf_dir)
+    probes, real, dims = _doc_sweep(spark, sf_dir, names)
     d = _mahalanobis(probes, real, dims).join(probes.select(*KEYS, "impossible"), KEYS)
     far, out = F.col("d") > F.col("c.q")[2], F.col("impossible")
     return d.agg(
@@ -270,3 +271,15 @@ QUERIES = {
         pairwise_median,
     )
 }
+
+
+def _over(query, names):
+    return lambda spark, sf_dir: query(spark, sf_dir, names)
+
+
+#: The same over all columns of their table.
+QUERIES |= {f"{f.__name__}_all": _over(f, T.ORDER_FEATURES) for f in (nn_real, nn_cutoffs)}
+QUERIES |= {
+    f"{f.__name__}_all": _over(f, T.DOC_FEATURES)
+    for f in (nn_probe_naive, nn_self_match, nn_probe_loo, nn_probe_curve, nn_mahalanobis, verdict_agreement)
+}

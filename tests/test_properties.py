@@ -405,3 +405,26 @@ def test_unlabelled_documents_are_split_and_probed(spark):
     assert t.where("is_test AND label IS NULL").count() > 0 and models._train(t).where("label IS NULL").count() == 0
     probed = models.explain_forest(spark, SF)
     assert probed.count() == t.where("is_test").count()
+
+
+def test_nearest_over_all_columns_equals_brute_force(spark):
+    from probewise.plans import support
+
+    def brute(table, names):
+        z = C.zscored(table, C.column_stats(table, names), names).select("row_id", *[f"z_{f}" for f in names]).toPandas()
+        x = z[[f"z_{f}" for f in names]].to_numpy()
+        far = [np.sort(((x - row) ** 2).sum(axis=1))[1] for row in x]
+        return dict(zip(z.row_id, np.sqrt(far)))
+
+    got = {r.row_id: r.d for r in support.QUERIES["nn_real_all"](spark, SF).collect()}
+    want = brute(T.order_features(spark, SF), T.ORDER_FEATURES)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    two = support.nn_cutoffs(spark, SF).first()
+    assert support.QUERIES["nn_cutoffs_all"](spark, SF).first().p95 > two.p95
+    probes, real, dims = support._doc_sweep(spark, SF, T.DOC_FEATURES)
+    x, keys = real.toPandas(), probes.where("grid_idx = 199").toPandas()
+    got = {r.row_id: r.max_d for r in support.QUERIES["nn_probe_loo_all"](spark, SF).collect()}
+    for k in keys.head(20).itertuples():
+        rest = x[x.row_id != k.row_id][dims].to_numpy()
+        last = np.sqrt(((rest - np.array([getattr(k, d) for d in dims])) ** 2).sum(axis=1).min())
+        assert last <= got[k.row_id] + 2e-6
