@@ -62,6 +62,13 @@ def stored_neighbours(grid: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def each_model(grid: DataFrame, keep: list[str]) -> DataFrame:
+    """Cells whose scores are arrays, one value a model, as one row per ``seed``."""
+    values = F.transform("p", lambda v, k: F.struct(
+        k.alias("seed"), v.alias("p"), F.col("p_right")[k].alias("p_right"), F.col("p_low")[k].alias("p_low")))
+    return grid.select(*keep, F.inline(values))
+
+
 def edge_distance(fx: str, fy: str) -> Column:
     """Distance in std from the row to a cell on the contour, NULL for any other cell."""
     side = F.col("p") >= 0.5

@@ -125,15 +125,19 @@ def cp_seed_forest(spark, sf_dir):
         "swing_median", "swing_min", "swing_max", "sd_median", "sd_max")])
 
 
-def boundary_seeds(spark, sf_dir):
+def boundary_seeds(spark, sf_dir, nx=220, ny=200):
+    """Distance to the boundary under twelve refits, all scored in one pass over the cells."""
     t = _docs(spark, sf_dir)
     stats = C.column_stats(t, DOCS)
     scorers = M.seed_scorers(_train(t), DOCS)
-    grid = SL.cells(SL.windowed(t.where("is_test"), stats, "n_words", "n_chars"), 22, 20)
+    grid = SL.cells(SL.windowed(t.where("is_test"), stats, "n_words", "n_chars"), nx, ny)
     own = grid.withColumns({"own_x": F.col("n_words"), "own_y": F.col("n_chars")})
-    moved = own.withColumns({"n_words": F.col("zx"), "n_chars": F.col("zy")})
-    scored = _per_seed(moved, scorers, lambda s, d: s.score(d))
-    near = SL.stored_neighbours(scored, ["row_id", "seed"])
+    scored = own.withColumns({"n_words": F.col("zx"), "n_chars": F.col("zy")})
+    for i, s in enumerate(scorers):
+        scored = s.score(scored).withColumnRenamed("p", f"p_{i}")
+    scored = scored.withColumn("p", F.array(*[f"p_{i}" for i in range(len(scorers))]))
+    cells = ["row_id", "i", "j", "zx", "zy", "own_x", "own_y", "std_x", "std_y"]
+    near = SL.each_model(SL.stored_neighbours(scored.select(*cells, "p"), ["row_id"]), cells)
     d = near.groupBy("row_id", "seed").agg(F.min(SL.edge_distance("own_x", "own_y")).alias("sigma"))
     return d.groupBy("row_id").agg(
         F.count("sigma").alias("n"), r6(F.min("sigma")).alias("min"),
