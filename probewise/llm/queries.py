@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probewise.llm import decontam, html_text, langid, packing, pii, quality, secret_scan, simhash, store, tokens, winnow
+from probewise.llm import decontam, html_text, langid, merkle, packing, pii, quality, secret_scan, simhash, store, tokens, twins, winnow
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -65,6 +66,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    tampered = merkle.leaf_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    made = merkle.manifest(docs, columns, "lang", "doc_id", carry={"tampered": F.when(hit, tampered)})
+    made = made.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), "path"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_quality_network": op2_quality_network,
@@ -76,5 +90,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_winnowing": op10_winnowing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_merkle_manifest": twins.MERKLE}
