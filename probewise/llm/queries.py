@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probewise.llm import decontam, html_text, langid, merkle, packing, pii, quality, secret_scan, simhash, store, tokens, twins, winnow
+from probewise.llm import decontam, html_text, langid, merkle, mixing, packing, pii, quality, resample, secret_scan, simhash, store, tokens, twins, winnow
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -66,6 +66,17 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    own = F.get("sources", 0)
+    return mixed.select("doc_id", "size", own["source_size"].alias("source_size"), own["target"].alias("target"), "taken")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -90,6 +101,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_winnowing": op10_winnowing,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-SQL: dict[str, str] = {"op13_merkle_manifest": twins.MERKLE}
+SQL: dict[str, str] = {
+    "op11_source_mixing": twins.MIXING,
+    "op12_importance_resampling": twins.RESAMPLING,
+    "op13_merkle_manifest": twins.MERKLE,
+}

@@ -83,3 +83,87 @@ FROM placed p
 JOIN over_walk w ON w.lang IS NOT DISTINCT FROM p.lang AND w.place = p.pos AND w.n = 1
 CROSS JOIN (SELECT digest FROM over_tree WHERE n = 1) r
 """
+
+_SPLIT = r"[\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+
+
+def _grams(table: str, key: str) -> str:
+    """CTEs of a table's words in order (id, i, w) and of its features, a row each (id, word)."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+{table}_lists AS (
+  SELECT {key} AS id, list_filter(regexp_split_to_array({lower}, '{_SPLIT}'), lambda w: w <> '') AS w FROM {table}
+), {table}_words AS (SELECT id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM {table}_lists),
+{table}_runs AS (
+  SELECT id, w, w || ' ' || lead(w) OVER turn AS w2, w || ' ' || lead(w) OVER turn || ' ' || lead(w, 2) OVER turn AS w3
+  FROM {table}_words WINDOW turn AS (PARTITION BY id ORDER BY i)
+), {table}_each AS (
+  SELECT id, w AS word FROM {table}_runs
+  UNION ALL SELECT id, w2 FROM {table}_runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT id, w3 FROM {table}_runs WHERE w3 IS NOT NULL
+)
+"""
+
+
+RESAMPLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+numbered AS (SELECT *, row_number() OVER () AS own FROM documents),
+{_grams("numbered", "own")}, {_grams("benchmark", "item_id")},
+{crc_of("crcs", "(SELECT word FROM numbered_each UNION SELECT word FROM benchmark_each)")},
+corpus AS (SELECT crc % 10000 AS bucket, count(*) AS s FROM numbered_each JOIN crcs USING (word) GROUP BY 1),
+aim AS (SELECT crc % 10000 AS bucket, count(*) AS t FROM benchmark_each JOIN crcs USING (word) GROUP BY 1),
+totals AS (
+  SELECT (SELECT coalesce(sum(s), 0) FROM corpus)::DOUBLE + 10000 AS s_all,
+    (SELECT coalesce(sum(t), 0) FROM aim)::DOUBLE + 10000 AS t_all
+), gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * s_all / ((s::DOUBLE + 1) * t_all)))::BIGINT AS gain
+  FROM corpus LEFT JOIN aim USING (bucket), totals
+), weights AS (
+  SELECT id, sum(gain)::BIGINT AS weight, count(*) AS n
+  FROM numbered_each JOIN crcs USING (word) JOIN gain ON bucket = crc % 10000 GROUP BY id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM numbered JOIN numbered_lists ON id = own LEFT JOIN weights USING (id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_words >= 20 AND place <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END::DOUBLE AS rank
+FROM ranked
+"""
+
+MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS body
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS k FROM sources
+), filled AS (
+  SELECT k, 2 * source_size / weight AS reach,
+    (150 * (SELECT sum(size) FROM sized) / 100
+      - coalesce(sum(2 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+  FROM ranked
+), aims AS (
+  SELECT source, source_size,
+    CASE WHEN 2 * source_size / weight <= unit THEN (2 * source_size)::DOUBLE ELSE unit * weight END AS target
+  FROM ranked, (SELECT coalesce(arg_min(unit, k) FILTER (WHERE reach > unit), 0) AS unit FROM filled)
+), lines AS (
+  SELECT s.*, source_size, target, floor(target + 0.5)::BIGINT AS upto,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id NULLS FIRST, size, body
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN aims a ON a.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(before + size, upto) - before)
+    + greatest(0, least(before + source_size + size, upto) - before - source_size))::BIGINT AS taken
+FROM lines
+"""
