@@ -13,6 +13,8 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +30,37 @@ _SEPARATORS = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 class Scanner:
-    """Feature buckets of a text; a word is a run of ASCII letters, digits and anything beyond ASCII."""
+    """Feature buckets of a text; a word is a run of ASCII letters, digits and anything beyond ASCII.
+
+    A match of n words holds the runs of 1 to n words from the same start as nested groups, so a scan by
+    overlapped matches gives all of them for every start but the last n - 1, which scans for fewer words take.
+    """
 
     def __init__(self, buckets: int, longest: int):
         import regex
 
-        self.buckets, self.longest = buckets, longest
-        self.spans = [regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % k) for k in range(longest)]
+        self.buckets, self.scans = buckets, []
+        for n in range(1, longest + 1):
+            nested = rb"(" * n + rb"[^ ]+)" + rb" [^ ]+)" * (n - 1)
+            self.scans.append((n, regex.compile(rb"(?<= )" + nested + rb"(?= )"), methodcaller("group", 0, *range(2, n + 1))))
 
     def __call__(self, text: bytes) -> tuple[int, np.ndarray]:
         """The number of words, and the bucket of every run of 1 to ``longest`` words."""
-        spaced = _SEPARATORS.sub(b" ", text.translate(_LOWER))
-        found = [
-            np.fromiter((zlib.crc32(m[0]) for m in scan.finditer(spaced, overlapped=True)), np.uint32)
-            for scan in self.spans
-        ]
-        return len(found[0]), (np.concatenate(found) % self.buckets).astype("<u4")
+        spaced = _SEPARATORS.sub(b" ", text.translate(_LOWER)).strip(b" ")
+        if not spaced:
+            return 0, np.empty(0, "<u4")
+        rest, found = b" " + spaced + b" ", []
+        words = rest.count(b" ") - 1
+        for n, scan, runs in reversed(self.scans):
+            spans = scan.finditer(rest, overlapped=True)
+            runs_of = map(runs, spans) if n == 1 else chain.from_iterable(map(runs, spans))
+            found.append(np.fromiter(map(zlib.crc32, runs_of), np.uint32))
+            if words >= n:
+                at = len(rest) - 1
+                for _ in range(n - 1):
+                    at = rest.rfind(b" ", 0, at)
+                rest = rest[at:]
+        return words, (np.concatenate(found) % self.buckets).astype("<u4")
 
 
 def _width(buckets: int) -> str:
