@@ -19,9 +19,9 @@ def draws(features, scorer, seeds=(42,), first=0, n=5000):
         {scorer.sql({f: v for f, v in raw.items() if f in scorer.features})} AS y FROM d0, st)"""
 
 
-def zrows(features, scorer):
+def zrows(features, scorer, src="feat"):
     x = ", ".join(f"({f} - {f}_mean) / {f}_std AS x{i}" for i, f in enumerate(features, 1))
-    return f"zr AS MATERIALIZED (SELECT feat.*, {x}, {scorer.sql()} AS p FROM feat, st)"
+    return f"zr AS MATERIALIZED (SELECT {src}.*, {x}, {scorer.sql()} AS p FROM {src}, st)"
 
 
 def base(orders):
@@ -40,9 +40,14 @@ def _own(term):
     return term.replace("z1", "x1").replace("z2", "x2").replace("z3", "x3").replace("y", "p")
 
 
-def fit(orders, variants=("kernel",), self_in=True, seeds=(42,)):
-    """CTEs up to ``fit``: two-stage ridge of every row by closed forms, three columns, two kept."""
-    scorer, feat, st, zr = base(orders)
+def fit(orders, variants=("kernel",), self_in=True, seeds=(42,), scorer=None, tables=None, rows="feat"):
+    """CTEs up to ``fit``: two-stage ridge of every row by closed forms, three columns, two kept.
+    Another ``scorer`` takes its features from the CTEs ``tables`` and explains those of ``rows``."""
+    if scorer is None:
+        scorer, *given = base(orders)
+    else:
+        given = [*tables, stats(scorer.features), zrows(scorer.features, scorer, rows)]
+    *given, zr = given
     kernel = f"""SELECT row_id, seed, 'kernel' AS variant, {', '.join(f'sum(w * {t}) AS {n}' for n, t in _TERMS.items())}
       FROM (SELECT row_id, seed, z1, z2, z3, y, {_W} AS w FROM zr, draws) GROUP BY row_id, seed"""
     uniform = f"""SELECT zr.row_id, u.* FROM zr, (SELECT seed, 'uniform' AS variant,
@@ -61,7 +66,7 @@ def fit(orders, variants=("kernel",), self_in=True, seeds=(42,)):
     x3 = f"({a['11']} * ({a['22']} * b3 - b2 * c23) - c12 * (c12 * b3 - b2 * c13) + b1 * {m3}) / {det}"
     pick = lambda one, two, three: f"CASE dropped WHEN 1 THEN {one} WHEN 2 THEN {two} ELSE {three} END"
     return (
-        feat, st, draws(scorer.features, scorer, seeds, 1 if self_in else 0), zr,
+        *given, draws(scorer.features, scorer, seeds, 1 if self_in else 0), zr,
         f"mom AS ({' UNION ALL BY NAME '.join(parts[v] for v in variants)})",
         f"tot AS MATERIALIZED (SELECT zr.*, seed, variant, {add} FROM mom JOIN zr ON mom.row_id = zr.row_id)",
         f"cen AS MATERIALIZED (SELECT *, {c}, {b}, syy - sy * sy / sw AS sst FROM tot)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
 
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -14,7 +15,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.plans.scorers import MLScorer
+from probewise.operators.trees import Trees, TreeScorer, read_nodes
+from probewise.plans.scorers import ExpressionScorer, MLScorer
 
 # fixed values: size and leaf limit of the forest, size and depth of the boosted model
 FOREST_TREES, FOREST_MIN_LEAF, SEEDS, FOLDS = 300, 3, 12, 10
@@ -56,9 +58,50 @@ def fit_all(jobs: list[tuple[Pipeline, DataFrame]]) -> list:
         return pool.starmap(lambda est, train: est.fit(train), jobs)
 
 
-def seed_scorers(train: DataFrame, features: list[str], seeds: int = SEEDS) -> list[MLScorer]:
-    models = fit_all([(forest(features, s), train) for s in range(seeds)])
-    return [MLScorer(m, features) for m in models]
+#: Node tables of this application's fits, under the rows and parameters they came from.
+_NODES: dict[tuple, pd.DataFrame] = {}
+_NODES_KEPT = 64
+
+
+def _rows_of(train: DataFrame) -> tuple:
+    """Count and summed hash of the training rows: equal for equal rows in any order."""
+    row = F.xxhash64(*sorted(train.columns)).cast("decimal(38,0)")
+    return tuple(train.agg(F.count(F.lit(1)), F.sum(row)).first())
+
+
+def fit_nodes(jobs: list[tuple[str, Pipeline, DataFrame]]) -> list[pd.DataFrame]:
+    """The node tables of several tree ensembles (parameters as text, estimator, training rows); one that
+    was fitted before in this application, on equal rows with equal parameters, is not fitted again."""
+    spark = jobs[0][2].sparkSession
+    seen: dict[int, tuple] = {}
+    for _, _, train in jobs:
+        if id(train) not in seen:
+            seen[id(train)] = _rows_of(train)
+    keys = [(spark.sparkContext.applicationId, *seen[id(train)], name) for name, _, train in jobs]
+    new = {k: (est, train) for k, (_, est, train) in zip(keys, jobs, strict=True) if k not in _NODES}
+    for k, model in zip(new, fit_all(list(new.values())) if new else [], strict=True):
+        _NODES[k] = read_nodes(model.stages[-1], spark)
+    found = [_NODES[k] for k in keys]
+    while len(_NODES) > _NODES_KEPT:
+        _NODES.pop(next(iter(_NODES)))
+    return found
+
+
+def forests(trains: list[DataFrame], features: list[str], seeds: list[int]) -> Trees:
+    """One forest for each pair of training rows and seed, as one set of models."""
+    jobs = [(f"forest {features} {FOREST_TREES} {s}", forest(features, s), t) for t, s in zip(trains, seeds, strict=True)]
+    return Trees(fit_nodes(jobs))
+
+
+def tree_scorer(train: DataFrame, features: list[str], seeds: list[int] | None = None) -> TreeScorer:
+    """The forest of seed 42, or those of ``seeds``, fitted to ``train``."""
+    seeds = seeds or [42]
+    return TreeScorer(train.sparkSession, forests([train] * len(seeds), features, seeds), features)
+
+
+def boosted_scorer(train: DataFrame, features: list[str]) -> ExpressionScorer:
+    """The boosted model as a SQL expression: its trees are small enough for generated code."""
+    return Trees(fit_nodes([(f"boosted {features} {GBT_TREES}", boosted(features), train)])).expression(features)
 
 
 def importances(model, features: list[str], spark) -> DataFrame:
@@ -70,14 +113,6 @@ def importances(model, features: list[str], spark) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, features: list[str], folds: int = FOLDS) -> DataFrame:
-    """Every row scored by the forest that did not see its fold (column ``fold``)."""
-    fits = fit_all(
-        [(forest(features), df.where(F.col("fold") != k)) for k in range(folds)]
-    )
-    parts = [
-        MLScorer(m, features).score(df.where(F.col("fold") == k)) for k, m in enumerate(fits)
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    """Every row scored by the forest that did not see its fold (column ``fold``), in one pass."""
+    trees = forests([df.where(F.col("fold") != k) for k in range(folds)], features, [42] * folds)
+    return TreeScorer(df.sparkSession, trees, features).score(df, model=F.col("fold"))

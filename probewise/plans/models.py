@@ -1,9 +1,10 @@
-"""Queries with fitted models. Forests depend on the engine's own randomness, so these have no
-SQL twin; the probes they run through are the same operators the twins check."""
+"""Queries with fitted models. A fit depends on the engine's own randomness, so DuckDB has no twin of it;
+``oracles.models`` gives SQL over the fitted nodes instead, which the tests run against these queries."""
 
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from probewise.operators import models as M
 from probewise.operators import profiles as P
 from probewise.operators import slices as SL
 from probewise.operators import surrogate as S
+from probewise.operators.trees import TreeScorer
 from probewise.plans.basics import auc_and_accuracy
 from probewise.plans.scorers import MLScorer
 from probewise.plans.surrogate import confidence_span
@@ -45,26 +47,23 @@ def _fit(t: DataFrame, make, features=DOCS) -> MLScorer:
     return MLScorer(make(train).fit(train), features)
 
 
-def _test_scores(spark, sf_dir, make) -> DataFrame:
-    t = _docs(spark, sf_dir)
-    scored = _fit(t, make).score(t.where("is_test"))
-    return scored.select("row_id", "label", r6("p").alias("p"))
-
-
-def _forest(_: DataFrame):
-    return M.forest(DOCS)
+def _test_scores(t: DataFrame, scorer) -> DataFrame:
+    return scorer.score(t.where("is_test")).select("row_id", "label", r6("p").alias("p"))
 
 
 def rf_scores(spark, sf_dir):
-    return _test_scores(spark, sf_dir, _forest)
+    t = _docs(spark, sf_dir)
+    return _test_scores(t, M.tree_scorer(_train(t), DOCS))
 
 
 def gbt_scores(spark, sf_dir):
-    return _test_scores(spark, sf_dir, lambda _: M.boosted(DOCS))
+    t = _docs(spark, sf_dir)
+    return _test_scores(t, M.boosted_scorer(_train(t), DOCS))
 
 
 def logreg_scores(spark, sf_dir):
-    return _test_scores(spark, sf_dir, lambda train: M.logistic(DOCS, train.count()))
+    t = _docs(spark, sf_dir)
+    return _test_scores(t, _fit(t, lambda train: M.logistic(DOCS, train.count())))
 
 
 def rf_metrics(spark, sf_dir):
@@ -73,7 +72,7 @@ def rf_metrics(spark, sf_dir):
 
 def importance_topk(spark, sf_dir):
     t = _docs(spark, sf_dir)
-    model = _fit(t, _forest).model
+    model = _fit(t, lambda _: M.forest(DOCS)).model
     return M.importances(model, DOCS, spark).where(F.col("rank") <= 2)
 
 
@@ -92,74 +91,84 @@ def oof_accuracy_by_band(spark, sf_dir):
     ).select("band", "n", "accuracy", F.col("all.auc").alias("auc"))
 
 
+def _curve_points(sweeps: DataFrame, scorer, n: int, keep: list[str]) -> DataFrame:
+    """(keep, model, grid_idx, z, p, slope) of the scorer's curves along sweeps. Slopes are central
+    inside and one-sided at the ends, taken between neighbours of the same array."""
+    z = F.expr(f"transform(sequence(0, {n - 1}), i -> {P.point_sql('i', n)})")
+    curves = sweeps.withColumn("_z", z)
+    curves = curves.withColumn("_p", scorer.curves(curves, F.col("feature"), F.col("_z")))
+    models = F.sequence(F.lit(0), (F.size("_p") / n).cast("int") - 1)
+    curves = curves.select(*keep, "_z", "_p", F.explode(models).alias("model"))
+    p = lambda i: F.get("_p", F.col("model") * n + i)
+    i, z = F.col("grid_idx"), lambda i: F.get("_z", i)
+    points = curves.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("grid_idx"))
+    left, right = F.greatest(i - 1, F.lit(0)), F.least(i + 1, F.lit(n - 1))
+    slope = (p(right) - p(left)) / (z(right) - z(left))
+    return points.select(*keep, "model", "grid_idx", z(i).alias("z"), p(i).alias("p"), slope.alias("slope"))
+
+
 def ice_forest(spark, sf_dir):
-    """Partial dependence and disagreement of the forest: stored curves, slopes by window."""
+    """Partial dependence and disagreement of the forest."""
     t = _docs(spark, sf_dir)
-    scorer, stats = _fit(t, _forest), C.column_stats(t, DOCS)
-    points = P.cp_profiles(t.where("is_test"), stats, scorer, ["n_words", "n_chars"], 120, None)
-    b = P.bundle_summary(P.curve_slopes(points.select("row_id", "feature", "grid_idx", "z", "p")))
+    scorer, stats = M.tree_scorer(_train(t), DOCS), C.column_stats(t, DOCS)
+    sweeps = P.sweep_rows(t.where("is_test"), stats, ["n_words", "n_chars"])
+    b = P.bundle_summary(_curve_points(sweeps, scorer, 120, ["row_id", "feature"]))
     return b.select("feature", "grid_idx", r6("pdp").alias("pdp"), "moving", "against",
                     r6("against_share").alias("against_share"))
 
 
-def _per_seed(points: DataFrame, scorers: list[MLScorer], score) -> DataFrame:
-    parts = [score(s, points).withColumn("seed", F.lit(i)) for i, s in enumerate(scorers)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def cp_seed_forest(spark, sf_dir):
-    """Twelve refits over one grid: how much of a profile is the seed."""
+    """Twelve refits over one grid: how much of a profile, and of its largest step's place, is the seed."""
     t = _docs(spark, sf_dir)
     stats = C.column_stats(t, DOCS)
-    scorers = M.seed_scorers(_train(t), DOCS)
-    points = P.grid_points(P.sweep_rows(t.where("is_test"), stats, ["n_chars"], span=2.5), 200)
-    curves = _per_seed(points, scorers, lambda s, d: s.score_at(d, "z", ["n_chars"]))
-    curves = materialise(curves.select("row_id", "seed", "grid_idx", "z", "p"))
-    swings = curves.groupBy("row_id", "seed").agg((F.max("p") - F.min("p")).alias("swing"))
-    sd = curves.groupBy("row_id", "grid_idx").agg(F.stddev_pop("p").alias("sd"))
-    a = swings.groupBy("row_id").agg(
-        F.percentile("swing", F.lit(0.5)).alias("swing_median"), F.min("swing").alias("swing_min"),
-        F.max("swing").alias("swing_max"))
-    b = sd.groupBy("row_id").agg(F.percentile("sd", F.lit(0.5)).alias("sd_median"), F.max("sd").alias("sd_max"))
-    return a.join(b, "row_id").select("row_id", *[r6(c).alias(c) for c in (
-        "swing_median", "swing_min", "swing_max", "sd_median", "sd_max")])
+    scorer = M.tree_scorer(_train(t), DOCS, list(range(M.SEEDS)))
+    sweeps = P.sweep_rows(t.where("is_test"), stats, ["n_chars"], span=2.5)
+    z = F.expr(f"transform(sequence(0, 199), i -> {P.point_sql('i', 200)})")
+    found = sweeps.withColumn("_z", z).withColumn("w", scorer.seed_spread(F.col("_z"), "n_chars"))
+    return found.select("row_id", *[r6(F.col(f"w.{c}"), 3 if "step" in c else 6).alias(c) for c in (
+        "swing_median", "swing_min", "swing_max", "step_median", "step_min", "step_max", "sd_median", "sd_max")])
 
 
 def boundary_seeds(spark, sf_dir, nx=220, ny=200):
-    """Distance to the boundary under twelve refits, all scored in one pass over the cells."""
+    """Distance to the boundary under twelve refits on the full window, from the leaves' boxes in it."""
     t = _docs(spark, sf_dir)
     stats = C.column_stats(t, DOCS)
-    scorers = M.seed_scorers(_train(t), DOCS)
-    grid = SL.cells(SL.windowed(t.where("is_test"), stats, "n_words", "n_chars"), nx, ny)
-    own = grid.withColumns({"own_x": F.col("n_words"), "own_y": F.col("n_chars")})
-    scored = own.withColumns({"n_words": F.col("zx"), "n_chars": F.col("zy")})
-    for i, s in enumerate(scorers):
-        scored = s.score(scored).withColumnRenamed("p", f"p_{i}")
-    scored = scored.withColumn("p", F.array(*[f"p_{i}" for i in range(len(scorers))]))
-    cells = ["row_id", "i", "j", "zx", "zy", "own_x", "own_y", "std_x", "std_y"]
-    near = SL.each_model(SL.stored_neighbours(scored.select(*cells, "p"), ["row_id"]), cells)
-    d = near.groupBy("row_id", "seed").agg(F.min(SL.edge_distance("own_x", "own_y")).alias("sigma"))
-    return d.groupBy("row_id").agg(
-        F.count("sigma").alias("n"), r6(F.min("sigma")).alias("min"),
-        r6(F.percentile("sigma", F.lit(0.5))).alias("median"), r6(F.max("sigma")).alias("max"))
+    scorer = M.tree_scorer(_train(t), DOCS, list(range(M.SEEDS)))
+    w = SL.windowed(t.where("is_test"), stats, "n_words", "n_chars")
+    grid = lambda n, axis: F.expr(
+        f"transform(sequence(0, {n - 1}), i -> {P.point_sql('i', n, f'lo_{axis}', f'hi_{axis}')})")
+    d = scorer.boundary_distances("n_words", "n_chars", grid(nx, "x"), grid(ny, "y"), F.col("std_x"), F.col("std_y"))
+    w = w.select("row_id", F.array_sort(F.filter(d, lambda v: v.isNotNull())).alias("d"))
+    n = F.size("d")
+    # twelve values at most: the two in the middle, or the same one twice
+    low, high = ((n - 1) / 2).cast("int"), (n / 2).cast("int")
+    return w.select("row_id", n.cast("long").alias("n"), r6(F.array_min("d")).alias("min"),
+                    r6((F.get("d", low) + F.get("d", high)) / 2).alias("median"), r6(F.array_max("d")).alias("max"))
 
 
-def interaction_forest(spark, sf_dir):
-    """Forests fitted to labels with the interaction dialled from 0 to 1, through the same probe."""
+STRENGTHS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+def interaction_tables(spark, sf_dir):
+    """The documents labelled and split at each strength, the forests fitted to them, and the stats."""
     t = T.doc_features(spark, sf_dir)
-    stats = C.column_stats(t, DOCS)
-    strengths = [0.0, 0.25, 0.5, 0.75, 1.0]
+    stats = C.column_stats(t, ["n_words", "chars_per_word", "n_chars"])
     tables = [
         materialise(C.stratified_split(C.interaction_label(t, stats, "n_words", "chars_per_word", F.lit(a))))
-        for a in strengths
+        for a in STRENGTHS
     ]
-    models = M.fit_all([(M.forest(DOCS), d.where(C.train_rows())) for d in tables])
+    return tables, M.forests([d.where(C.train_rows()) for d in tables], DOCS, [42] * len(tables)), stats
+
+
+def interaction_forest(spark, sf_dir):
+    """Forests fitted to labels with the interaction dialled from 0 to 1, through the same probe."""
+    tables, trees, stats = interaction_tables(spark, sf_dir)
     curves = reduce(DataFrame.unionByName, [
-        P.cp_profiles(d.where("is_test"), stats, MLScorer(m, DOCS), ["n_words"], 120, None)
-        .select("row_id", "grid_idx", "z", "p", F.lit(a).alias("strength"))
-        for a, d, m in zip(strengths, tables, models)
+        _curve_points(P.sweep_rows(d.where("is_test"), stats, ["n_words"]), TreeScorer(spark, trees.only(k), DOCS), 120, ["row_id"])
+        .select("row_id", "grid_idx", "z", "p", "slope", F.lit(a).alias("strength"))
+        for k, (a, d) in enumerate(zip(STRENGTHS, tables))
     ])
-    curves = materialise(P.curve_slopes(curves, ["strength", "row_id"]))
+    curves = materialise(curves)
     b = P.bundle_summary(curves, ["strength"])
     ranges = curves.groupBy("row_id", "strength").agg((F.max("p") - F.min("p")).alias("range"))
     swing = b.groupBy("strength").agg((F.max("pdp") - F.min("pdp")).alias("pdp_swing"))
@@ -172,7 +181,7 @@ def interaction_forest(spark, sf_dir):
 
 def explain_forest(spark, sf_dir):
     t = _docs(spark, sf_dir)
-    stats, scorer = C.column_stats(t, DOCS), _fit(t, _forest)
+    stats, scorer = C.column_stats(t, DOCS), M.tree_scorer(_train(t), DOCS)
     rows = scorer.score(C.zscored(t.where("is_test"), stats, DOCS))
     draws = scorer.score(CL.cloud(spark, stats, DOCS))
     e = S.explain(rows, CL.share_cloud(draws, DOCS, CL.DRAWS, (42,)), 2)
@@ -185,12 +194,14 @@ def _settings(spark, sf_dir, names) -> list[tuple]:
     docs, vec = T.doc_features(spark, sf_dir), T.vec_features(spark, sf_dir)
     vectors, dims = T.vec_columns(vec, 64)
     orders = T.order_features(spark, sf_dir)
+    logistic = lambda f: lambda train: MLScorer(M.logistic(f, train.count()).fit(train), f)
     known = {
-        "docs_forest": (docs, DOCS, lambda _: M.forest(DOCS)),
-        "docs_boosted": (docs, DOCS, lambda _: M.boosted(DOCS)),
-        "docs_logistic": (docs, DOCS, lambda n: M.logistic(DOCS, n)),
-        "vectors_logistic": (vectors, dims, lambda n: M.logistic(dims, n)),
-        "orders_logistic": (orders, T.ORDER_FEATURES, lambda n: M.logistic(T.ORDER_FEATURES, n)),
+        "docs_forest": (docs, DOCS, lambda train: M.tree_scorer(train, DOCS)),
+        "docs_boosted": (docs, DOCS, lambda train: M.boosted_scorer(train, DOCS)),
+        "docs_logistic": (docs, DOCS, logistic(DOCS)),
+        "vectors_forest": (vectors, dims, lambda train: M.tree_scorer(train, dims)),
+        "vectors_logistic": (vectors, dims, logistic(dims)),
+        "orders_logistic": (orders, T.ORDER_FEATURES, logistic(T.ORDER_FEATURES)),
     }
     split: dict[int, DataFrame] = {}
     picked = []
@@ -200,8 +211,9 @@ def _settings(spark, sf_dir, names) -> list[tuple]:
             split[id(table)] = materialise(C.stratified_split(table))
         picked.append((n, split[id(table)], features, estimator))
     trains = [_train(t) for _, t, _, _ in picked]
-    models = M.fit_all([(e(train.count()), train) for train, (_, _, _, e) in zip(trains, picked)])
-    return [(n, t, f, MLScorer(m, f)) for (n, t, f, _), m in zip(picked, models)]
+    with ThreadPool(len(picked)) as pool:
+        scorers = pool.starmap(lambda train, p: p[3](train), zip(trains, picked, strict=True))
+    return [(n, t, f, s) for (n, t, f, _), s in zip(picked, scorers, strict=True)]
 
 
 def _spanning_rows(t, features, scorer, points):
@@ -213,10 +225,10 @@ def _spanning_rows(t, features, scorer, points):
 
 
 def replication(spark, sf_dir):
-    """Fidelity against confidence under one protocol in four settings."""
+    """Fidelity against confidence under one protocol in five settings, two of them forests."""
     parts = []
     for name, t, features, scorer in _settings(
-        spark, sf_dir, ["docs_forest", "docs_boosted", "docs_logistic", "vectors_logistic"]
+        spark, sf_dir, ["docs_forest", "docs_boosted", "docs_logistic", "vectors_forest", "vectors_logistic"]
     ):
         stats, rows = _spanning_rows(t, features, scorer, 55)
         draws = scorer.score(CL.cloud(spark, stats, features, 2000))
@@ -232,7 +244,7 @@ def kernel_inertness(spark, sf_dir):
     parts = []
     for name, t, features, scorer in _settings(
         spark, sf_dir,
-        ["docs_forest", "docs_boosted", "docs_logistic", "orders_logistic", "vectors_logistic"],
+        ["docs_forest", "docs_boosted", "docs_logistic", "orders_logistic", "vectors_forest", "vectors_logistic"],
     ):
         p = len(features)
         k = max(2, min(8, p // 2))

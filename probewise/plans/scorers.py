@@ -49,7 +49,7 @@ class ExpressionScorer:
         return points.withColumn(out, self.column({f: f"_at_{f}" for f in swept})).drop(*picked)
 
 
-class _RowScorer:
+class RowScorer:
     """Scorers that need the overwritten row itself rather than an expression."""
 
     features: list[str]
@@ -67,7 +67,7 @@ class _RowScorer:
         return scored.withColumns(back).drop(*own)
 
 
-class MLScorer(_RowScorer):
+class MLScorer(RowScorer):
     def __init__(self, model, features: list[str]):
         self.model = model
         self.features = features
@@ -78,7 +78,7 @@ class MLScorer(_RowScorer):
         return scored.select(*before, vector_to_array("probability")[1].alias(out))
 
 
-class PandasScorer(_RowScorer):
+class PandasScorer(RowScorer):
     def __init__(self, fn: Callable[[np.ndarray], np.ndarray], features: list[str]):
         self.fn = fn
         self.features = features

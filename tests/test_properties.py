@@ -242,14 +242,6 @@ def test_one_sided_window_has_no_boundary(docs):
     assert d.where(F.col("d").isNotNull()).count() == 0
 
 
-def test_stored_neighbours_match_scored_ones(docs):
-    t, stats = docs
-    w = SL.windowed(t, stats, "n_words", "n_chars")
-    g = SL.with_neighbours(SL.cells(w, 9, 8), DOC_STAIRS, "n_words", "n_chars", 9, 8)
-    s = SL.stored_neighbours(g.withColumnsRenamed({"p_right": "r0", "p_low": "l0"}), ["row_id"])
-    assert s.where((F.col("p_right") != F.col("r0")) | (F.col("p_low") != F.col("l0"))).count() == 0
-
-
 # --- surrogate --------------------------------------------------------------------------------
 
 
@@ -428,21 +420,3 @@ def test_nearest_over_all_columns_equals_brute_force(spark):
         rest = x[x.row_id != k.row_id][dims].to_numpy()
         last = np.sqrt(((rest - np.array([getattr(k, d) for d in dims])) ** 2).sum(axis=1).min())
         assert last <= got[k.row_id] + 2e-6
-
-
-def test_boundaries_of_twelve_models_are_drawn_on_the_whole_grid(spark):
-    """Arrays of scores give the neighbours of each model, and the query draws 220 by 200 cells."""
-    import inspect
-
-    from probewise.plans import models
-
-    sizes = inspect.signature(models.boundary_seeds).parameters
-    assert (sizes["nx"].default, sizes["ny"].default) == (220, 200)
-    cells = spark.range(60).selectExpr("id % 3 AS row_id", "id div 3 % 5 AS i", "id div 15 AS j")
-    value = lambda k: (F.pmod(F.xxhash64("row_id", "i", "j", F.lit(k)), F.lit(100)) / 100.0)
-    keys = ["row_id", "i", "j"]
-    got = SL.each_model(SL.stored_neighbours(cells.withColumn("p", F.array(value(0), value(1))), ["row_id"]), keys)
-    parts = [cells.withColumns({"seed": F.lit(k), "p": value(k)}) for k in range(2)]
-    want = SL.stored_neighbours(parts[0].unionByName(parts[1]), ["row_id", "seed"])
-    columns = [*keys, "seed", "p", "p_right", "p_low"]
-    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
