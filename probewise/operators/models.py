@@ -69,6 +69,15 @@ def _rows_of(train: DataFrame) -> tuple:
     return tuple(train.agg(F.count(F.lit(1)), F.sum(row)).first())
 
 
+def _fitted_nodes(est: Pipeline, train: DataFrame) -> pd.DataFrame:
+    """Nodes of the tree ensemble that ends the pipeline. The Python model is not made: its constructor
+    asks the driver's JVM for every tree, which takes longer than the fit."""
+    *before, trees = est.getStages()
+    for stage in before:
+        train = stage.transform(train)
+    return read_nodes(trees._fit_java(train), train.sparkSession)
+
+
 def fit_nodes(jobs: list[tuple[str, Pipeline, DataFrame]]) -> list[pd.DataFrame]:
     """The node tables of several tree ensembles (parameters as text, estimator, training rows); one that
     was fitted before in this application, on equal rows with equal parameters, is not fitted again."""
@@ -79,8 +88,9 @@ def fit_nodes(jobs: list[tuple[str, Pipeline, DataFrame]]) -> list[pd.DataFrame]
             seen[id(train)] = _rows_of(train)
     keys = [(spark.sparkContext.applicationId, *seen[id(train)], name) for name, _, train in jobs]
     new = {k: (est, train) for k, (_, est, train) in zip(keys, jobs, strict=True) if k not in _NODES}
-    for k, model in zip(new, fit_all(list(new.values())) if new else [], strict=True):
-        _NODES[k] = read_nodes(model.stages[-1], spark)
+    if new:
+        with ThreadPool(min(len(new), 8)) as pool:
+            _NODES.update(zip(new, pool.starmap(_fitted_nodes, new.values()), strict=True))
     found = [_NODES[k] for k in keys]
     while len(_NODES) > _NODES_KEPT:
         _NODES.pop(next(iter(_NODES)))

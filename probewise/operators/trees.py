@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +30,13 @@ BOXES, GRID_BYTES = 1 << 21, 64 << 20
 
 
 def read_nodes(model, spark) -> pd.DataFrame:
-    """One row per node of a fitted ensemble: tree, id, feature (-1 at leaves), threshold, left, right,
+    """One row per node of a fitted ensemble, Spark ML's or its Java side alone: tree, id, feature (-1 at leaves), threshold, left, right,
     value (in 2^-40) and the boosted flag. A forest's leaf votes with its share of class 1."""
     path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
-    model.write().save(path)
+    java = model._java_obj if isinstance(model, JavaWrapper) else model
+    java.save(path)
     stored = spark.read.parquet(f"{path}/data")
-    boosted = isinstance(model, GBTClassificationModel)
+    boosted = java.getClass().getSimpleName().startswith("GBT")
     node, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
     vote = node["prediction"] if boosted else F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
     found = stored.select(
@@ -44,7 +45,7 @@ def read_nodes(model, spark) -> pd.DataFrame:
         F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         node["leftChild"].alias("left"), node["rightChild"].alias("right"), vote.alias("vote"),
     ).toPandas()
-    weight = np.asarray(model.treeWeights if boosted else np.ones(model.getNumTrees))
+    weight = np.array(java.treeWeights() if boosted else [1.0] * java.getNumTrees())
     found["value"] = np.round(found["vote"] * weight[found["tree"]] * SCALE).astype("int64")
     found["boosted"] = boosted
     return found.drop(columns="vote").sort_values(["tree", "id"], ignore_index=True)
