@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracles.common import DOC, DOCS, ORD, ORDERS, grid, point, r6, stats, sweep, with_
+from oracles.common import DOC, DOCS, ORD, ORDERS, grid, point, r6, stats, sweep, uniform, with_
 from oracles.profiles import PICK, _STEP, partners, points
 from probewise.plans.scorers import DOC_STAIRS, ORDER_STAIRS
 
@@ -31,38 +31,60 @@ def all_features(names, kind, n):
     )
 
 
-def distances(zx, zy, name="d0", metric="e"):
+def _gap(a, b, n):
+    return " + ".join(f"({a}.z{i} - {b}.z{i}) * ({a}.z{i} - {b}.z{i})" for i in range(n))
+
+
+def distances(a, b, metric="e"):
+    """Distance of two aliases over the three document columns."""
     if metric == "e":
-        return f"sqrt(({zx}) * ({zx}) + ({zy}) * ({zy}))"
-    return f"sqrt(greatest(({zx}) * ({zx}) * i11 + 2 * ({zx}) * ({zy}) * i12 + ({zy}) * ({zy}) * i22, 0))"
+        return f"sqrt({_gap(a, b, 3)})"
+    terms = [f"({a}.z{i} - {b}.z{i}) * ({a}.z{j} - {b}.z{j}) * i{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)]
+    return f"sqrt(greatest({' + '.join(terms)}, 0))"
+
+
+_MINORS = {  # of the symmetric 3 x 3 covariance c00 .. c22
+    "00": "c11 * c22 - c12 * c12", "01": "c02 * c12 - c01 * c22", "02": "c01 * c12 - c02 * c11",
+    "11": "c00 * c22 - c02 * c02", "12": "c01 * c02 - c00 * c12", "22": "c00 * c11 - c01 * c01",
+}
 
 
 def sweep_nn(metric="e", exclude=True):
-    a = distances("a.zx - b.zx", "a.zy - b.zy", metric=metric)
-    b = distances("p.zx - b.zx", "p.zy - b.zy", metric=metric)
+    cov = ", ".join(f"covar_samp(z{i}, z{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))
+    inv = ", ".join(f"({m}) / det AS i{k}" for k, m in _MINORS.items())
+    det = f"c00 * ({_MINORS['00']}) + c01 * ({_MINORS['01']}) + c02 * ({_MINORS['02']})"
+    own = ", ".join(f"({f} - {f}_mean) / {f}_std AS z{i}" for i, f in enumerate(DOC))
+    moved = ", ".join(f"({'z' if f == 'n_chars' else f} - {f}_mean) / {f}_std AS z{i}" for i, f in enumerate(DOC))
     return with_(
-        DOCS, stats(["n_chars", "n_words"]), sweep(["n_chars"]), grid(200),
-        """real AS (SELECT row_id, (n_chars - n_chars_mean) / n_chars_std AS zx,
-          (n_words - n_words_mean) / n_words_std AS zy FROM feat, st)""",
-        "cv AS (SELECT var_samp(zx) AS a, covar_samp(zx, zy) AS b, var_samp(zy) AS c FROM real)",
-        "inv AS (SELECT c / (a * c - b * b) AS i11, -b / (a * c - b * b) AS i12, a / (a * c - b * b) AS i22 FROM cv)",
+        DOCS, stats(DOC), sweep(["n_chars"]), grid(200),
+        f"real AS (SELECT row_id, {own} FROM feat, st)",
+        f"cv AS (SELECT {cov} FROM real)", f"cd AS (SELECT *, {det} AS det FROM cv)", f"inv AS (SELECT {inv} FROM cd)",
         "band AS (SELECT min(n_chars / n_words) AS rlo, max(n_chars / n_words) AS rhi FROM feat)",
-        f"nn AS (SELECT a.row_id, min({a}) AS d FROM real a JOIN real b ON a.row_id <> b.row_id, inv GROUP BY a.row_id)",
+        f"nn AS (SELECT a.row_id, min({distances('a', 'b', metric)}) AS d FROM real a JOIN real b ON a.row_id <> b.row_id, inv GROUP BY a.row_id)",
         "cut AS (SELECT quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.75) AS p75, quantile_cont(d, 0.95) AS p95 FROM nn)",
-        f"""probes AS (SELECT row_id, grid_idx, (z - n_chars_mean) / n_chars_std AS zx, (n_words - n_words_mean) / n_words_std AS zy,
+        f"""probes AS (SELECT row_id, grid_idx, {moved},
           abs(z - x) / x_std AS moved, z / n_words < rlo OR z / n_words > rhi AS bad
           FROM (SELECT sweep.*, grid_idx, {point('grid_idx', 200)} AS z FROM sweep, grid), st, band)""",
-        f"""pd AS (SELECT p.row_id, p.grid_idx, any_value(moved) AS moved, any_value(bad) AS bad, min({b}) AS d
-          FROM probes p JOIN real b ON {'p.row_id <> b.row_id' if exclude else 'true'}, inv GROUP BY p.row_id, p.grid_idx)""",
+        f"""pd AS (SELECT row_id, grid_idx, any_value(moved) AS moved, any_value(bad) AS bad, min(w.d) AS d, min(w).id AS id
+          FROM (SELECT p.row_id, p.grid_idx, moved, bad, {{'d': {distances('p', 'b', metric)}, 'id': b.row_id}} AS w
+            FROM probes p JOIN real b ON {'p.row_id <> b.row_id' if exclude else 'true'}, inv) GROUP BY row_id, grid_idx)""",
+    )
+
+
+def _near(src, names):
+    """Nearest other row of every row over the standardised ``names``, the least id of equally near ones."""
+    z = ", ".join(f"({f} - {f}_mean) / {f}_std AS z{i}" for i, f in enumerate(names))
+    return with_(
+        src, stats(names), f"z AS (SELECT row_id, {z} FROM feat, st)",
+        f"""nn AS (SELECT row_id, min(w).d AS d, min(w).id AS id FROM (SELECT a.row_id, {{'d': sqrt({_gap('a', 'b', len(names))}), 'id': b.row_id}} AS w
+          FROM z a JOIN z b ON a.row_id <> b.row_id) GROUP BY row_id)""",
     )
 
 
-_ORDNN = with_(
-    ORDERS, stats(OF),
-    "z AS (SELECT row_id, " + ", ".join(f"({f} - {f}_mean) / {f}_std AS z{i}" for i, f in enumerate(OF)) + " FROM feat, st)",
-    """nn AS (SELECT a.row_id, sqrt(min((a.z0 - b.z0) * (a.z0 - b.z0) + (a.z1 - b.z1) * (a.z1 - b.z1)
-      + (a.z2 - b.z2) * (a.z2 - b.z2))) AS d FROM z a JOIN z b ON a.row_id <> b.row_id GROUP BY a.row_id)""",
-)
+_ORDNN = _near(ORDERS, ORD)
+_DIMS = [f"d{i}" for i in range(64)]
+_VEC = f"""feat AS (SELECT vec_id AS row_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS d{i}' for i in range(64))},
+  {uniform("'42'", 'vec_id')} < 0.25e0 AS is_test FROM embeddings)"""
 
 SQL = {
     "envelope": with_(ORDERS)
@@ -110,7 +132,8 @@ SQL = {
     "envelope_clusters": all_features(ORD, "full", 120)
     + f"""SELECT count(*) FILTER (s < 0.5e0) AS below_half, count(*) FILTER (s >= 0.5e0) AS above_half,
       {r6('median(s)')} AS median FROM tab""",
-    "nn_real": _ORDNN + f"SELECT row_id, {r6('d')} AS d FROM nn",
+    "nn_real": _ORDNN + f"SELECT row_id, {r6('d')} AS d, id AS nearest FROM nn",
+    "nn_vectors": _near(_VEC, _DIMS) + f"SELECT row_id, {r6('d')} AS d, id AS nearest FROM nn",
     "nn_cutoffs": _ORDNN
     + f"""SELECT {r6('quantile_cont(d, 0.5)')} AS p50, {r6('quantile_cont(d, 0.75)')} AS p75,
       {r6('quantile_cont(d, 0.95)')} AS p95 FROM nn""",
@@ -118,7 +141,7 @@ SQL = {
     + f"""SELECT row_id, {r6('max(d)')} AS max_d, {r6('avg((d > p95)::INTEGER)')} AS rejects
       FROM pd, cut GROUP BY row_id""",
     "nn_self_match": sweep_nn(exclude=False)
-    + f"""SELECT row_id, {r6('avg((d >= moved - 1e-12)::INTEGER)')} AS self_share, {r6('max(d)')} AS max_d,
+    + f"""SELECT row_id, {r6('avg((id = row_id)::INTEGER)')} AS self_share, {r6('max(d)')} AS max_d,
       {r6('max(moved)')} AS span FROM pd GROUP BY row_id""",
     "nn_probe_loo": sweep_nn()
     + f"""SELECT row_id, {r6('min(d)')} AS min_d, {r6('max(d)')} AS max_d,

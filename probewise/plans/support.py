@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probewise.functions.materialise import materialise
@@ -16,8 +16,6 @@ from probewise.plans.scorers import DOC_STAIRS, ORDER_STAIRS
 from probewise.sources import tables as T
 
 PAIRS = [("qty", "list_value"), ("net", "gross"), ("gross", "qty")]
-DOC_DIMS = ["n_chars", "n_words"]
-ORDER_DIMS = ["qty", "gross", "avg_disc"]
 CUTS = [0.5, 0.75, 0.95]
 
 
@@ -52,7 +50,7 @@ def impossible_tolerance(spark, sf_dir):
 def step_inside_band(spark, sf_dir):
     """Is the largest step of each profile somewhere the row could be?"""
     t = T.doc_features(spark, sf_dir)
-    stats = C.column_stats(t, DOC_DIMS)
+    stats = C.column_stats(t, ["n_chars", "n_words"])
     band = E.ratio_bounds(t, [("n_chars", "n_words")])
     sweeps = P.sweep_rows(t, stats, ["n_chars"], span=2.5)
     s = P.profile_summary(sweeps, DOC_STAIRS, ["n_chars"], 200, ("row_id", "n_words"))
@@ -146,109 +144,114 @@ def envelope_clusters(spark, sf_dir):
                  r6(F.percentile("impossible", F.lit(0.5))).alias("median"))
 
 
-def _order_distances(spark, sf_dir, names=ORDER_DIMS):
-    t = T.order_features(spark, sf_dir, names)
-    z = C.zscored(t, C.column_stats(t, names), names)
+def _standardised(t, names):
     dims = [f"z_{f}" for f in names]
-    z = z.select("row_id", *dims)
+    return C.zscored(t, C.column_stats(t, names), names).select("row_id", *dims), dims
+
+
+def _order_distances(spark, sf_dir):
+    z, dims = _standardised(T.order_features(spark, sf_dir), T.ORDER_FEATURES)
+    z = materialise(z)
     return D.nearest(z, z, ["row_id"], dims, exclude_self=True)
 
 
-def nn_real(spark, sf_dir, names=ORDER_DIMS):
-    return _order_distances(spark, sf_dir, names).select("row_id", r6("d").alias("d"))
+def nn_real(spark, sf_dir):
+    """Every order's nearest other order over all seven columns."""
+    return _order_distances(spark, sf_dir).select("row_id", r6("d").alias("d"), F.col("id").alias("nearest"))
 
 
-def nn_cutoffs(spark, sf_dir, names=ORDER_DIMS):
-    q = exact_quantiles(_order_distances(spark, sf_dir, names), "d", CUTS)
+def _quantiles(d):
+    q = exact_quantiles(d, "d", CUTS)
     return q.select(*[r6(F.col("q")[i]).alias(f"p{round(c * 100)}") for i, c in enumerate(CUTS)])
 
 
-def _doc_sweep(spark, sf_dir, names=DOC_DIMS):
-    """Probes of every document along n_chars, in standardised coordinates, and the real rows."""
-    dims = [f"z_{f}" for f in names]
-    t = T.doc_features(spark, sf_dir)
-    stats = C.column_stats(t, names)
-    real = C.zscored(t, stats, names).select("row_id", *dims)
-    points = P.grid_points(P.sweep_rows(t, stats, ["n_chars"], span=2.5), 200)
-    points = points.withColumns({"x0": F.col("n_chars"), "n_chars": F.col("z")})
-    band = E.ratio_bounds(t, [("n_chars", "n_words")])
-    out = E.outside(F.col("z"), F.col("n_words"), F.col("band.n_chars_lo"), F.col("band.n_chars_hi"))
-    points = C.attach(points, band, "band").withColumn("impossible", out)
-    probes = C.zscored(points, stats, names).select(
-        "row_id", "grid_idx", *dims, "impossible",
-        (F.abs(F.col("z") - F.col("x0")) / F.col("x_std")).alias("moved"))
-    return materialise(probes), materialise(real), dims
+def nn_cutoffs(spark, sf_dir):
+    return _quantiles(_order_distances(spark, sf_dir))
 
 
-def _cutoffs(real, dims) -> DataFrame:
-    d = D.nearest(real, real, ["row_id"], dims, exclude_self=True)
-    return exact_quantiles(d, "d", CUTS).select("q")
+def nn_vectors(spark, sf_dir):
+    """The same over the 64 columns of the vector table."""
+    t, names = T.vec_columns(T.vec_features(spark, sf_dir), 64)
+    z, dims = _standardised(t, names)
+    z = materialise(z)
+    d = D.nearest(z, z, ["row_id"], dims, exclude_self=True)
+    return d.select("row_id", r6("d").alias("d"), F.col("id").alias("nearest"))
 
 
-KEYS = ["row_id", "grid_idx"]
+NAMES, SWEPT, POINTS = T.DOC_FEATURES, "n_chars", 200
 
 
-def nn_probe_naive(spark, sf_dir, names=DOC_DIMS):
-    """The check as usually written: the probed row is in its own reference set."""
-    probes, real, dims = _doc_sweep(spark, sf_dir, names)
-    d = D.nearest(probes, real, KEYS, dims, exclude_self=False)
-    d = C.attach(d, _cutoffs(real, dims), "c")
-    s = d.groupBy("row_id").agg(F.max("d").alias("max_d"), share(F.col("d") > F.col("c.q")[2]).alias("rejects"))
-    return s.select("row_id", r6("max_d").alias("max_d"), r6("rejects").alias("rejects"))
+def _doc_sweep(spark, sf_dir, exclude_self, mahalanobis=False):
+    """Every document's sweep of n_chars over all columns: (row_id, d, ids, z, x, x_std, ..), and the rows."""
+    t = T.doc_features(spark, sf_dir)
+    stats = C.column_stats(t, NAMES)
+    real, dims = _standardised(t, NAMES)
+    real = materialise(real)
+    st = stats.first()
+    matrix = D.whitening(real, dims) if mahalanobis else None
+    sweep = D.Sweep(dims, f"z_{SWEPT}", st[f"{SWEPT}_mean"], st[f"{SWEPT}_std"], POINTS, matrix)
+    bounds = materialise(P.sweep_rows(t, stats, [SWEPT], span=2.5).select("row_id", "lo", "hi", "x", "x_std", "n_words"))
+    found = D.nearest_along(bounds.join(real, "row_id"), real, sweep, exclude_self).join(bounds, "row_id")
+    z = F.expr(f"transform(sequence(0, {POINTS - 1}), i -> {P.point_sql('i', POINTS)})")
+    real = D.whitened(real, dims, matrix) if mahalanobis else real
+    d = D.nearest(real, real, ["row_id"], dims, exclude_self=True)
+    found = C.attach(found.withColumn("z", z), exact_quantiles(d, "d", CUTS).select("q"), "c")
+    return found, E.ratio_bounds(t, [(SWEPT, "n_words")])
+
 
+def _share_of(values, test) -> Column:
+    """Share of an array's values that pass the test."""
+    return F.size(F.filter(values, test)) / F.size(values)
 
-def nn_self_match(spark, sf_dir, names=DOC_DIMS):
-    """Share of probes whose nearest real row is the row they were made from."""
-    probes, real, dims = _doc_sweep(spark, sf_dir, names)
-    d = D.nearest(probes, real, KEYS, dims, exclude_self=False).join(probes, KEYS)
-    s = d.groupBy("row_id").agg(
-        share(F.col("d") >= F.col("moved") - 1e-12).alias("self"), F.max("d").alias("max_d"),
-        F.max("moved").alias("span"))
-    return s.select("row_id", r6("self").alias("self_share"), r6("max_d").alias("max_d"), r6("span").alias("span"))
 
+def _rejects(i: int) -> Column:
+    return _share_of("d", lambda d: d > F.col("c.q")[i])
 
-def _loo(spark, sf_dir, names=DOC_DIMS):
-    probes, real, dims = _doc_sweep(spark, sf_dir, names)
-    d = D.nearest(probes, real, KEYS, dims, exclude_self=True)
-    return C.attach(d, _cutoffs(real, dims), "c"), probes
+
+def nn_probe_naive(spark, sf_dir):
+    """The check as usually written: the probed row is in its own reference set."""
+    d, _ = _doc_sweep(spark, sf_dir, exclude_self=False)
+    return d.select("row_id", r6(F.array_max("d")).alias("max_d"), r6(_rejects(2)).alias("rejects"))
 
 
-def nn_probe_loo(spark, sf_dir, names=DOC_DIMS):
-    d, _ = _loo(spark, sf_dir, names)
-    s = d.groupBy("row_id").agg(
-        F.min("d").alias("min_d"), F.max("d").alias("max_d"),
-        *[share(F.col("d") > F.col("c.q")[i]).alias(f"rejects_p{round(c * 100)}") for i, c in enumerate(CUTS)])
-    return s.select("row_id", *[r6(c).alias(c) for c in s.columns[1:]])
+def nn_self_match(spark, sf_dir):
+    """Share of probes whose nearest real row, by id, is the row they were made from."""
+    d, _ = _doc_sweep(spark, sf_dir, exclude_self=False)
+    span = F.array_max(F.transform("z", lambda z: F.abs(z - F.col("x")) / F.col("x_std")))
+    return d.select("row_id", r6(_share_of("ids", lambda i: i == F.col("row_id"))).alias("self_share"),
+                    r6(F.array_max("d")).alias("max_d"), r6(span).alias("span"))
 
 
-def nn_probe_curve(spark, sf_dir, names=DOC_DIMS):
-    d, _ = _loo(spark, sf_dir, names)
-    return d.select(*KEYS, r6(F.col("d") / F.col("c.q")[2]).alias("relative"))
+def nn_probe_loo(spark, sf_dir):
+    d, _ = _doc_sweep(spark, sf_dir, exclude_self=True)
+    return d.select(
+        "row_id", r6(F.array_min("d")).alias("min_d"), r6(F.array_max("d")).alias("max_d"),
+        *[r6(_rejects(i)).alias(f"rejects_p{round(c * 100)}") for i, c in enumerate(CUTS)])
 
 
-def _mahalanobis(probes, real, dims):
-    m = D.whitening(real, dims)
-    probes, real = D.whitened(probes, dims, m), D.whitened(real, dims, m)
-    d = D.nearest(probes, real, KEYS, dims, exclude_self=True)
-    return C.attach(d, _cutoffs(real, dims), "c")
+def nn_probe_curve(spark, sf_dir):
+    d, _ = _doc_sweep(spark, sf_dir, exclude_self=True)
+    points = d.select("row_id", "c", F.posexplode("d").alias("grid_idx", "at"))
+    return points.select("row_id", "grid_idx", r6(F.col("at") / F.col("c.q")[2]).alias("relative"))
 
 
-def nn_mahalanobis(spark, sf_dir, names=DOC_DIMS):
-    probes, real, dims = _doc_sweep(spark, sf_dir, names)
-    d = _mahalanobis(probes, real, dims)
-    s = d.groupBy("row_id").agg(F.max("d").alias("max_d"), share(F.col("d") > F.col("c.q")[2]).alias("rejects"))
-    return s.select("row_id", r6("max_d").alias("max_d"), r6("rejects").alias("rejects"))
+def nn_mahalanobis(spark, sf_dir):
+    d, _ = _doc_sweep(spark, sf_dir, exclude_self=True, mahalanobis=True)
+    return d.select("row_id", r6(F.array_max("d")).alias("max_d"), r6(_rejects(2)).alias("rejects"))
 
 
-def verdict_agreement(spark, sf_dir, names=DOC_DIMS):
+def verdict_agreement(spark, sf_dir):
     """Mahalanobis against the envelope, point by point, pooled over every document."""
-    probes, real, dims = _doc_sweep(spark, sf_dir, names)
-    d = _mahalanobis(probes, real, dims).join(probes.select(*KEYS, "impossible"), KEYS)
-    far, out = F.col("d") > F.col("c.q")[2], F.col("impossible")
-    return d.agg(
-        F.count(F.lit(1)).alias("n"), r6(share(far)).alias("distance_rejects"),
-        r6(share(out)).alias("envelope_rejects"), r6(share(far == out)).alias("agree"),
-        tally(far & ~out).alias("only_distance"), tally(~far & out).alias("only_envelope"))
+    d, band = _doc_sweep(spark, sf_dir, exclude_self=True, mahalanobis=True)
+    points = C.attach(d, band, "band").select(
+        "n_words", "c", "band", F.inline(F.arrays_zip("d", "z")))
+    far = F.col("d") > F.col("c.q")[2]
+    out = E.outside(F.col("z"), F.col("n_words"), F.col(f"band.{SWEPT}_lo"), F.col(f"band.{SWEPT}_hi"))
+    return points.select(far.alias("far"), out.alias("out")).agg(
+        F.count(F.lit(1)).alias("n"), r6(share(F.col("far"))).alias("distance_rejects"),
+        r6(share(F.col("out"))).alias("envelope_rejects"), r6(share(F.col("far") == F.col("out"))).alias("agree"),
+        tally(F.col("far") & ~F.col("out")).alias("only_distance"),
+        tally(~F.col("far") & F.col("out")).alias("only_envelope"))
 
 
 def pairwise_median(spark, sf_dir):
@@ -266,20 +269,9 @@ QUERIES = {
     for f in (
         envelope, impossible_share, impossible_tolerance, step_inside_band, strongest_partner,
         envelope_all_features, envelope_rank_corr, ice_envelope, ice_envelope_local,
-        ice_envelope_features, envelope_clusters, nn_real, nn_cutoffs, nn_probe_naive,
+        ice_envelope_features, envelope_clusters, nn_real, nn_cutoffs, nn_vectors, nn_probe_naive,
         nn_self_match, nn_probe_loo, nn_probe_curve, nn_mahalanobis, verdict_agreement,
         pairwise_median,
     )
 }
 
-
-def _over(query, names):
-    return lambda spark, sf_dir: query(spark, sf_dir, names)
-
-
-#: The same over all columns of their table.
-QUERIES |= {f"{f.__name__}_all": _over(f, T.ORDER_FEATURES) for f in (nn_real, nn_cutoffs)}
-QUERIES |= {
-    f"{f.__name__}_all": _over(f, T.DOC_FEATURES)
-    for f in (nn_probe_naive, nn_self_match, nn_probe_loo, nn_probe_curve, nn_mahalanobis, verdict_agreement)
-}
