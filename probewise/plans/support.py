@@ -152,7 +152,7 @@ def _standardised(t, names):
 def _order_distances(spark, sf_dir):
     z, dims = _standardised(T.order_features(spark, sf_dir), T.ORDER_FEATURES)
     z = materialise(z)
-    return D.nearest(z, z, ["row_id"], dims, exclude_self=True)
+    return D.nearest(z, D.Space(z, dims), ["row_id"], exclude_self=True)
 
 
 def nn_real(spark, sf_dir):
@@ -174,7 +174,7 @@ def nn_vectors(spark, sf_dir):
     t, names = T.vec_columns(T.vec_features(spark, sf_dir), 64)
     z, dims = _standardised(t, names)
     z = materialise(z)
-    d = D.nearest(z, z, ["row_id"], dims, exclude_self=True)
+    d = D.nearest(z, D.Space(z, dims), ["row_id"], exclude_self=True)
     return d.select("row_id", r6("d").alias("d"), F.col("id").alias("nearest"))
 
 
@@ -191,10 +191,11 @@ def _doc_sweep(spark, sf_dir, exclude_self, mahalanobis=False):
     matrix = D.whitening(real, dims) if mahalanobis else None
     sweep = D.Sweep(dims, f"z_{SWEPT}", st[f"{SWEPT}_mean"], st[f"{SWEPT}_std"], POINTS, matrix)
     bounds = materialise(P.sweep_rows(t, stats, [SWEPT], span=2.5).select("row_id", "lo", "hi", "x", "x_std", "n_words"))
-    found = D.nearest_along(bounds.join(real, "row_id"), real, sweep, exclude_self).join(bounds, "row_id")
+    measured = materialise(D.whitened(real, dims, matrix)) if mahalanobis else real
+    space = D.Space(measured, dims)
+    found = D.nearest_along(bounds.join(real, "row_id"), space, sweep, exclude_self).join(bounds, "row_id")
     z = F.expr(f"transform(sequence(0, {POINTS - 1}), i -> {P.point_sql('i', POINTS)})")
-    real = D.whitened(real, dims, matrix) if mahalanobis else real
-    d = D.nearest(real, real, ["row_id"], dims, exclude_self=True)
+    d = D.nearest(measured, space, ["row_id"], exclude_self=True)
     found = C.attach(found.withColumn("z", z), exact_quantiles(d, "d", CUTS).select("q"), "c")
     return found, E.ratio_bounds(t, [(SWEPT, "n_words")])
 

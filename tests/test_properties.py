@@ -113,21 +113,24 @@ def test_nearest_is_brute_force(spark, monkeypatch, cell_rows, exclude):
     cols = lambda a: {f"x{i}": a[:, i] for i in range(3)}
     refs = frame(spark, row_id=ids, **cols(ref))
     probes = frame(spark, row_id=own, n=np.arange(len(probe)), **cols(probe))
-    got = D.nearest(probes, refs, ["n"], ["x0", "x1", "x2"], exclude).toPandas().sort_values("n")
+    got = D.nearest(probes, D.Space(refs, ["x0", "x1", "x2"]), ["n"], exclude).toPandas().sort_values("n")
     d = np.linalg.norm(probe[:, None] - ref[None], axis=2)
     if exclude:
         d[own[:, None] == ids[None]] = np.inf
     assert len(got) == len(probe)
     assert np.allclose(got["d"], d.min(axis=1), atol=1e-12)
+    named = got["id"].to_numpy()
+    assert np.allclose(d[np.arange(len(probe)), named], d.min(axis=1), atol=1e-12)
+    assert exclude or list(named) == list(d.round(12).argmin(axis=1))
 
 
 def test_self_in_reference_never_exceeds_the_move(spark):
     """With the row left in, the distance is at most its own displacement: no evidence."""
     ref = frame(spark, row_id=[0, 1], x0=[0.0, 50.0], x1=[0.0, 50.0])
     probes = frame(spark, row_id=[0] * 5, k=list(range(5)), x0=[0.0, 1, 2, 3, 4], x1=[0.0] * 5)
-    naive = D.nearest(probes, ref, ["k"], ["x0", "x1"], False).toPandas().sort_values("k")["d"]
+    naive = D.nearest(probes, D.Space(ref, ["x0", "x1"]), ["k"], False).toPandas().sort_values("k")["d"]
     assert list(naive) == [0, 1, 2, 3, 4]
-    loo = D.nearest(probes, ref, ["k"], ["x0", "x1"], True).toPandas()["d"]
+    loo = D.nearest(probes, D.Space(ref, ["x0", "x1"]), ["k"], True).toPandas()["d"]
     assert (loo > 60).all()
 
 
@@ -379,8 +382,9 @@ def test_split_cells_and_bounded_probes_stay_exact(spark, monkeypatch):
     full = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
     for own in (True, False):
         want = full + np.where(np.eye(300, dtype=bool), np.inf, 0) if own else full
-        got = D.nearest(df, df, ["row_id"], dims, own).toPandas().set_index("row_id")["d"]
-        assert np.allclose(got.loc[ids], want.min(axis=1))
+        got = D.nearest(df, D.Space(df, dims), ["row_id"], own).toPandas().set_index("row_id")
+        assert np.allclose(got["d"].loc[ids], want.min(axis=1))
+        assert np.allclose(want[np.arange(300), got["id"].loc[ids].to_numpy() + 2], want.min(axis=1))
     assert D.pairwise_median(df.limit(1), dims) == (None, 0)
 
 
@@ -399,24 +403,54 @@ def test_unlabelled_documents_are_split_and_probed(spark):
     assert probed.count() == t.where("is_test").count()
 
 
-def test_nearest_over_all_columns_equals_brute_force(spark):
-    from probewise.plans import support
-
-    def brute(table, names):
-        z = C.zscored(table, C.column_stats(table, names), names).select("row_id", *[f"z_{f}" for f in names]).toPandas()
-        x = z[[f"z_{f}" for f in names]].to_numpy()
-        far = [np.sort(((x - row) ** 2).sum(axis=1))[1] for row in x]
-        return dict(zip(z.row_id, np.sqrt(far)))
-
-    got = {r.row_id: r.d for r in support.QUERIES["nn_real_all"](spark, SF).collect()}
-    want = brute(T.order_features(spark, SF), T.ORDER_FEATURES)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
-    two = support.nn_cutoffs(spark, SF).first()
-    assert support.QUERIES["nn_cutoffs_all"](spark, SF).first().p95 > two.p95
-    probes, real, dims = support._doc_sweep(spark, SF, T.DOC_FEATURES)
-    x, keys = real.toPandas(), probes.where("grid_idx = 199").toPandas()
-    got = {r.row_id: r.max_d for r in support.QUERIES["nn_probe_loo_all"](spark, SF).collect()}
-    for k in keys.head(20).itertuples():
-        rest = x[x.row_id != k.row_id][dims].to_numpy()
-        last = np.sqrt(((rest - np.array([getattr(k, d) for d in dims])) ** 2).sum(axis=1).min())
-        assert last <= got[k.row_id] + 2e-6
+@pytest.mark.parametrize("exclude", [True, False])
+@pytest.mark.parametrize("whiten", [True, False])
+def test_sweeps_meet_the_nearest_rows_of_brute_force(spark, monkeypatch, exclude, whiten):
+    """Copies, ties, a far row, a sweep of no length and cells, chunks and parts of a few rows."""
+    monkeypatch.setattr(D, "CELL_ROWS", 12)
+    monkeypatch.setattr(D, "POINTS_PER_TASK", 9)
+    monkeypatch.setattr(D, "PROBES_PER_TASK", 7)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(220, 3)), 1)
+    x[:60] = x[0]
+    x[100] = [60.0, -40.0, 5.0]
+    ids, n, mean, std = np.arange(220) - 3, 37, 5.0, 2.5
+    lo, hi = (x[:, 0] - 2.0) * std + mean, (x[:, 0] + 3.0) * std + mean
+    hi[7] = lo[7] = x[7, 0] * std + mean
+    dims = ["a", "b", "c"]
+    refs = frame(spark, row_id=ids, **{c: x[:, k] for k, c in enumerate(dims)})
+    rows = frame(spark, row_id=ids, lo=lo, hi=hi, **{c: x[:, k] for k, c in enumerate(dims)})
+    matrix = D.whitening(refs, dims) if whiten else None
+    sweep = D.Sweep(dims, "a", mean, std, n, matrix)
+    measured = D.whitened(refs, dims, matrix) if whiten else refs
+    got = D.nearest_along(rows, D.Space(measured, dims), sweep, exclude).toPandas().set_index("row_id")
+    assert len(got) == 220
+    m = np.eye(3) if matrix is None else matrix
+    for k, i in enumerate(ids):
+        z = np.tile(x[k], (n, 1))
+        z[:, 0] = (np.append(lo[k] + np.arange(n - 1) * ((hi[k] - lo[k]) / (n - 1)), hi[k]) - mean) / std
+        d = np.sqrt((((z[:, None, :] - x[None, :, :]) @ m.T) ** 2).sum(axis=2))
+        if exclude:
+            d[:, k] = np.inf
+        assert np.allclose(got.d[i], d.min(axis=1), atol=1e-9)
+        named = np.array(got.ids[i]) + 3
+        assert np.allclose(d[np.arange(n), named], d.min(axis=1), atol=1e-9) and (not exclude or k not in named)
+
+
+def test_a_row_alone_has_no_neighbour_along_its_sweep(spark):
+    one = frame(spark, row_id=[5], a=[0.0], b=[1.0], lo=[-1.0], hi=[1.0])
+    row = D.nearest_along(one, D.Space(one, ["a", "b"]), D.Sweep(["a", "b"], "a", 0.0, 1.0, 4), True).first()
+    assert row.d == [float("inf")] * 4 and row.ids == [-1] * 4
+
+
+def test_shuffled_records_of_a_sweep_do_not_depend_on_its_points(spark):
+    """As many visits for 20 points a row as for 2,000."""
+    import inspect
+
+    source = inspect.getsource(D.nearest_along)
+    assert "explode" not in source
+    rows = frame(spark, row_id=list(range(300)), a=list(rng.normal(size=300)), b=list(rng.normal(size=300)), lo=[-2.0] * 300, hi=[2.0] * 300)
+    space = D.Space(rows, ["a", "b"])
+    few, many = (D.nearest_along(rows, space, D.Sweep(["a", "b"], "a", 0.0, 1.0, n), True).toPandas().set_index("row_id") for n in (20, 19 * 40 + 1))
+    for i in range(300):
+        assert np.allclose(few.d[i], np.array(many.d[i])[::40], atol=1e-9)
