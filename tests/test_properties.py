@@ -141,11 +141,17 @@ def test_whitening_is_mahalanobis(spark):
     assert np.allclose(m.T @ m, np.linalg.pinv(np.cov(a.T)), atol=1e-9)
 
 
-def test_pairwise_median(spark):
-    a = np.r_[rng.normal(size=(90, 2)), np.zeros((10, 2))]
-    df = frame(spark, row_id=np.arange(100), x0=a[:, 0], x1=a[:, 1])
-    d = np.linalg.norm(a[:, None] - a[None], axis=2)[np.triu_indices(100, 1)]
-    got, pairs = D.pairwise_median(df, ["x0", "x1"], block_rows=30)
+@pytest.mark.parametrize("n, cell_rows, ties", [(100, 8, False), (2, 8, False), (3, 8, False), (300, 32, True), (501, 512, True)])
+def test_pairwise_median(spark, monkeypatch, n, cell_rows, ties):
+    """Even and odd numbers of pairs, copies of half the rows, and distances shared by many pairs."""
+    monkeypatch.setattr(D, "CELL_ROWS", cell_rows)
+    a = rng.normal(size=(n, 2))
+    if ties:
+        a = np.round(a)
+        a[: n // 2] = a[0]
+    df = frame(spark, row_id=np.arange(n), x0=a[:, 0], x1=a[:, 1])
+    d = np.linalg.norm(a[:, None] - a[None], axis=2)[np.triu_indices(n, 1)]
+    got, pairs = D.pairwise_median(df, ["x0", "x1"])
     assert pairs == len(d) and got == pytest.approx(np.median(d), abs=1e-12)
 
 
