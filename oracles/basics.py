@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracles.common import DOC, DOCS, ORD, ORDERS, normal, r6, stats, with_
+from oracles.common import DOC, DOCS, ORD, ORDERS, normal, p_of, r6, stats, with_
 from probewise.plans.scorers import DOC_LOGIT, ORDER_LOGIT, ORDER_STAIRS
 
 
@@ -94,7 +94,7 @@ SQL = {
         "c AS (SELECT pair, corr(rx, ry) AS rho, count(*) AS n FROM k GROUP BY pair)",
     )
     + f"""SELECT pair, {r6('rho')} AS rho, n,
-      {r6('rho * sqrt((n - 2) / (1 - rho * rho))', 4)} AS t FROM c""",
+      {r6('rho * sqrt((n - 2) / (1 - rho * rho))', 4)} AS t, {r6(p_of('rho', 'n'), 9)} AS p FROM c""",
     "weighted_var": with_(
         ORDERS,
         f"s AS (SELECT label, qty AS w, {_P} AS p FROM feat)",

@@ -82,3 +82,18 @@ def sweep(features: list[str], kind: str = "span", span: float = 2.5, src: str =
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def p_of(r: str, n: str) -> str:
+    """Two-sided p-value of Student's t of a correlation: the incomplete beta integral of (n - 2) / 2 and
+    1/2 up to 1 - r^2, in the angle, by Simpson's rule."""
+    a = f"(({n} - 2) / 2e0)"
+    top = f"asin(sqrt(greatest(1 - {r} * {r}, 0)))"
+    points = 4000
+    # below this stretch the integrand, a power of a sine, is nothing
+    span = f"least({top}, 12e0 / sqrt(2 * {a}))"
+    weight = f"CASE WHEN range = 0 OR range = {points} THEN 1e0 WHEN range % 2 = 1 THEN 4e0 ELSE 2e0 END"
+    log_scale = f"(lgamma({a} + 0.5e0) - lgamma({a}) - lgamma(0.5e0))"
+    # scaled inside the exponent: both factors leave the range of doubles on large tables
+    value = f"exp({log_scale} + (2 * {a} - 1) * ln(greatest(sin({top} - {span} + {span} * range / {points}e0), 1e-300)))"
+    return f"(SELECT 2e0 * {span} / {points}e0 / 3e0 * sum({weight} * {value}) FROM range({points} + 1))"

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from oracles.basics import _band
-from oracles.common import DOC, DOCS, ORDERS, grid, point, r6, stats, sweep, with_
+from oracles.common import DOC, DOCS, ORDERS, grid, p_of, point, r6, stats, sweep, with_
 from probewise.plans.scorers import DOC_STAIRS, ORDER_STAIRS, interaction_scorer
 
 OF = ORDER_STAIRS.features
@@ -146,6 +146,6 @@ SQL = {
       c AS (SELECT corr(conf, rng) AS r, count(*) AS n FROM j),
       k AS (SELECT {_band('own')} AS band, rng FROM j)
       SELECT band, count(*) AS n_rows, {r6('median(rng)')} AS median_range, {r6('any_value(r)')} AS r,
-        {r6('any_value(r * sqrt((c.n - 2) / (1 - r * r)))', 4)} AS t
-      FROM k, c WHERE band IS NOT NULL GROUP BY band""",
+        {r6('any_value(r * sqrt((c.n - 2) / (1 - r * r)))', 4)} AS t, {r6('any_value(p)', 9)} AS p
+      FROM k, (SELECT *, {p_of('r', 'n')} AS p FROM c) c WHERE band IS NOT NULL GROUP BY band""",
 }

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from oracles.basics import _band
-from oracles.common import DOCS, ORD, ORDERS, normal, r6, stats, with_
+from oracles.common import DOCS, ORD, ORDERS, normal, p_of, r6, stats, with_
 from probewise.plans.scorers import DOC_STAIRS, ORDER_LOGIT, ORDER_STAIRS
 
 OF, DF = ORDER_STAIRS.features, DOC_STAIRS.features
@@ -258,8 +258,8 @@ SQL = {
         _OFIT,
         "fc AS (SELECT 1 AS one, p, round(r2, 9) AS r2, round(abs(p - 0.5e0), 9) AS conf FROM fit), " + _spearman("fc", "conf", "r2", "one"),
     )
-    + f"""SELECT {_band('p', True)} AS band, count(*) AS n, {r6('avg(r2)')} AS mean_r2, {r6('any_value(rho)', 5)} AS rho
-      FROM fc, rho GROUP BY 1""",
+    + f"""SELECT {_band('p', True)} AS band, count(*) AS n, {r6('avg(r2)')} AS mean_r2, {r6('any_value(rho)', 5)} AS rho,
+      {r6('any_value(pv)', 9)} AS p FROM fc, (SELECT *, {p_of('rho', '(SELECT count(*) FROM fc WHERE r2 IS NOT NULL)')} AS pv FROM rho) GROUP BY 1""",
     "mechanism_checks": more(
         kernel(False),
         f"""ml AS (SELECT 'wvar' AS measure, p, round(wvar, 6) AS value FROM ks UNION ALL SELECT 'centroid', p, round(centroid, 6) FROM ks

@@ -56,9 +56,11 @@ def _fit(m: np.ndarray, x: np.ndarray, k: int) -> dict[str, np.ndarray]:
     intercept = (sy[:, 0] - (sz * coef).sum(1)) / sw[:, 0]
     sst = syy[:, 0] - sy[:, 0] ** 2 / sw[:, 0]
     sse = sst - 2 * (coef * cxy).sum(1) + np.einsum("np,npq,nq->n", coef, cxx, coef)
+    # where the row alone has weight there is no spread to explain
+    r2 = np.where(sst > 1e-14 * np.abs(syy[:, 0]), 1 - sse / np.where(sst == 0, 1.0, sst), np.nan)
     return {
         "aux": aux, "kept": keep, "coef": coef, "intercept": intercept,
-        "g": intercept + (coef * x).sum(1), "r2": 1 - sse / sst,
+        "g": intercept + (coef * x).sum(1), "r2": r2,
     }
 
 
@@ -73,6 +75,7 @@ def explain(
     """(row_id, seed, variant, p, g, intercept, r2, kept, coef, aux) per row, seed and variant.
 
     ``rows`` holds row_id, the standardised features ``z_f`` and the model's score ``p``.
+    ``r2`` is null for a row so far out that no draw has weight beside it.
     With ``include_self`` the row takes the place of draw 0, at weight 1. ``uniform`` drops
     the kernel. ``keep`` carries further columns of the row along.
     """
@@ -132,16 +135,18 @@ def kernel_summary(rows: DataFrame, cloud: SharedCloud, include_self: bool = Tru
                     d2 = np.hstack([np.zeros((len(part), 1)), d2])
                     f = np.hstack([fx[:, None], f])
                 w = np.exp(-d2 / (2.0 * nu * nu))
-                sw = w.sum(1)
-                mean = (w * f).sum(1) / sw
+                # these do not depend on the weights' scale, and a far row's weights are all too small for one
+                near = np.exp(-(d2 - d2.min(1)[:, None]) / (2.0 * nu * nu))
+                sw = near.sum(1)
+                mean = (near * f).sum(1) / sw
                 yield pd.DataFrame(
                     {
                         "row_id": part["row_id"].to_numpy(), "p": fx,
                         "median_d": np.median(np.sqrt(d2), axis=1), "median_w": np.median(w, axis=1),
                         "mean_w": w.mean(1), "max_w": w.max(1), "min_w": w.min(1),
                         "log_skew": (d2.max(1) - d2.min(1)) / (2.0 * nu * nu),
-                        "ess": sw**2 / (w * w).sum(1),
-                        "wvar": (w * (f - mean[:, None]) ** 2).sum(1) / sw,
+                        "ess": sw**2 / (near * near).sum(1),
+                        "wvar": (near * (f - mean[:, None]) ** 2).sum(1) / sw,
                         "centroid": np.sqrt((x * x).sum(1)),
                     }
                 )

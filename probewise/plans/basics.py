@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from probewise.functions.numeric import r6, ratio, share, tally
 from probewise.functions.ranks import exact_median, exact_quantiles, melt, prefix_counts, spearman
+from probewise.functions.student import p_value
 from probewise.operators import columns as C
 from probewise.plans.scorers import DOC_LOGIT, ORDER_LOGIT, ORDER_STAIRS
 from probewise.sources import tables as T
@@ -102,7 +103,8 @@ def spearman_pairs(spark, sf_dir):
                  F.col("avg_disc").alias("y")),
     )
     rho = spearman(t.select(F.inline(pairs)), "x", "y", ["pair"])
-    return rho.select("pair", r6("rho").alias("rho"), "n", r6("t", 4).alias("t"))
+    return rho.select("pair", r6("rho").alias("rho"), "n", r6("t", 4).alias("t"),
+                      r6(p_value(F.col("t"), F.col("n") - 2), 9).alias("p"))
 
 
 def weighted_var(spark, sf_dir):

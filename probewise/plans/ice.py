@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probewise.functions.materialise import materialise
 from probewise.functions.numeric import r6, share, spread, tally
 from probewise.functions.ranks import exact_median, exact_quantiles, t_statistic
+from probewise.functions.student import p_value
 from probewise.operators import columns as C
 from probewise.operators import profiles as P
 from probewise.plans.profiles import trimmed_bounds
@@ -267,14 +268,15 @@ def interaction_power(spark, sf_dir):
 
 
 def confidence_vs_range(spark, sf_dir):
-    """Does a confident row move less: correlation, its t statistic and group medians."""
+    """Does a confident row move less: correlation, its t statistic and p-value, and group medians."""
     ranges = order_ranges(spark, sf_dir).withColumn("conf", F.abs(F.col("own") - 0.5))
     one = ranges.agg(F.corr("conf", "range").alias("r"), F.count(F.lit(1)).alias("n"))
     banded = ranges.withColumn("band", C.confidence_band(F.col("own"))).where(F.col("band").isNotNull())
     medians = exact_median(banded, "range", ["band"])
     return C.attach(medians, one, "c").select(
         "band", "n_rows", r6("median").alias("median_range"), r6("c.r").alias("r"),
-        r6(t_statistic(F.col("c.r"), F.col("c.n")), 4).alias("t"))
+        r6(t_statistic(F.col("c.r"), F.col("c.n")), 4).alias("t"),
+        r6(p_value(t_statistic(F.col("c.r"), F.col("c.n")), F.col("c.n") - 2), 9).alias("p"))
 
 
 QUERIES = {

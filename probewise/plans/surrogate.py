@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probewise.functions.materialise import materialise
 from probewise.functions.numeric import r6, ratio, share, tally
 from probewise.functions.ranks import exact_median, exact_quantiles, melt, prefix_counts, spearman
+from probewise.functions.student import p_value
 from probewise.operators import cloud as CL
 from probewise.operators import columns as C
 from probewise.operators import surrogate as S
@@ -328,7 +329,8 @@ def fidelity_vs_confidence(spark, sf_dir):
     bands = e.withColumn("band", C.half_open_band(F.col("p"))).groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.avg("r2").alias("mean_r2"))
     return C.attach(bands, spearman(e, "conf", "r2"), "s").select(
-        "band", "n", r6("mean_r2").alias("mean_r2"), r6("s.rho", 5).alias("rho"))
+        "band", "n", r6("mean_r2").alias("mean_r2"), r6("s.rho", 5).alias("rho"),
+        r6(p_value(F.col("s.t"), F.col("s.n") - 2), 9).alias("p"))
 
 
 def mechanism_checks(spark, sf_dir):
