@@ -85,8 +85,20 @@ SQL = {
         f"""agg AS (SELECT row_id, span, n, max(p) - min(p) AS swing, max({_STEP}) AS w,
           avg((z / n_words < rlo OR z / n_words > rhi)::INTEGER) AS impossible FROM pts GROUP BY row_id, span, n)""",
     )
-    + f"""SELECT row_id, span, n, {r6('swing')} AS swing, {r6('w.s')} AS largest,
-      {r6('w.z', 3)} AS step_left, {r6('impossible')} AS impossible FROM agg""",
+    .rstrip() + f""", wide AS (SELECT DISTINCT * EXCLUDE (n) FROM sweep),
+      ends AS (SELECT row_id, span, lo AS e, true AS at_lo FROM wide
+        UNION ALL SELECT row_id, span, 190.5e0 + 610e0 * range, false FROM wide, range(8)
+          WHERE 190.5e0 + 610e0 * range >= lo AND 190.5e0 + 610e0 * range < hi),
+      sides AS (SELECT ends.row_id, ends.span, e, at_lo, {DOC_STAIRS.sql({'n_chars': 'e'})} AS p,
+        {DOC_STAIRS.sql({'n_chars': '(e + 1e-6)'})} AS q, hi FROM ends JOIN wide ON ends.row_id = wide.row_id AND ends.span = wide.span),
+      jumps AS (SELECT row_id, span, greatest(max(p), max(q) FILTER (NOT at_lo)) - least(min(p), min(q) FILTER (NOT at_lo)) AS swing,
+        max({{'s': round(abs(q - p), 12), 'e': -e}}) FILTER (NOT at_lo) AS w FROM sides GROUP BY row_id, span)
+      SELECT row_id, span, n, {r6('swing')} AS swing, {r6('w.s')} AS largest,
+      {r6('w.z', 3)} AS step_left, {r6('impossible')} AS impossible FROM agg
+      UNION ALL SELECT wide.row_id, wide.span, 0, {r6('swing')}, {r6('coalesce(w.s, 0)')}, {r6('-w.e', 3)},
+        {r6("""CASE WHEN hi > lo THEN 1 - greatest(least(rhi * n_words, hi) - greatest(rlo * n_words, lo), 0) / (hi - lo)
+          ELSE (lo < rlo * n_words OR lo > rhi * n_words)::INTEGER END""")}
+        FROM wide JOIN jumps ON wide.row_id = jumps.row_id AND wide.span = jumps.span""",
     "cp_seed_sensitivity": with_(
         DOCS, stats(["n_words"]), sweep(["n_words"]), grid(200),
         f"""pts AS (SELECT row_id, grid_idx, seed, {doc_stairs_shifted('seed').sql({'n_words': 'z'})} AS p
@@ -122,3 +134,5 @@ SQL = {
     + f"""SELECT row_id, feature, {r6('avg(coalesce(ratio < rlo OR ratio > rhi, false)::INTEGER)')} AS impossible,
       {r6('max(p) - min(p)')} AS swing FROM pts GROUP BY row_id, feature""",
 }
+
+SQL["cp_profile_batch"] = SQL["cp_profile_pandas"]

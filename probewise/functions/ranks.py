@@ -123,34 +123,72 @@ def melt(df: DataFrame, names: list[str], keep=(), key="feature", value="value")
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
+def _ranked(df: DataFrame, value: str, other: str, keys: list[str], weight: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the rank of ``value`` (ties on their average) centred on its mean, each row
+    standing for ``weight`` rows. Nothing is joined on the value.
+
+    Rows are dealt by range of (keys, value, other), so one value may cover many partitions. A partition
+    knows the places of its rows from the totals of those before it; only its least and its greatest value
+    can go on in others, and their parts there come from a table of two rows a partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(parts, *keys, value, other).withColumn("_part", F.spark_partition_id()))
+    each = dealt.groupBy(*keys, "_part").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum(weight).alias("_mass"))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({
+        "_before": F.coalesce(F.sum("_mass").over(ahead), F.lit(0)), "_all": F.sum("_mass").over(Window.partitionBy(*keys)),
+    }).drop("_mass")
+    each = materialise(each)
+
+    # the weight of a partition's two end values in it, and of the same value in earlier and later ones
+    met = dealt.join(each, [*keys, "_part"]).where((F.col(value) == F.col("_low")) | (F.col(value) == F.col("_high")))
+    ends = met.groupBy(*keys, "_part", F.col(value).alias("_end")).agg(F.sum(weight).alias("_here"))
+    run = Window.partitionBy(*keys, "_end").orderBy("_part")
+    ends = ends.select(
+        *keys, "_part", "_end",
+        F.coalesce(F.sum("_here").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+        F.coalesce(F.sum("_here").over(run.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_later"),
+    )
+    tails = ends.groupBy(*keys, "_part").agg(F.collect_list(F.struct("_end", "_earlier", "_later")).alias("_ends"))
+    each = each.select(*keys, "_part", "_before", "_all").join(tails, [*keys, "_part"])
+
+    inside = Window.partitionBy(*keys, "_part").orderBy(value)
+    at = F.filter("_ends", lambda e: e["_end"] == F.col(value))
+    # a range frame takes all rows of the value, so the difference of the two is the value's weight here
+    placed = dealt.join(each, [*keys, "_part"]).withColumns({
+        "_upto": F.sum(weight).over(inside), "_same": F.sum(weight).over(Window.partitionBy(*keys, "_part", value)),
+        "_earlier": F.coalesce(F.get(at, F.lit(0))["_earlier"], F.lit(0)),
+        "_later": F.coalesce(F.get(at, F.lit(0))["_later"], F.lit(0)),
+    })
+    below = F.col("_before") - F.col("_earlier") + F.col("_upto") - F.col("_same")
+    n = F.col("_earlier") + F.col("_same") + F.col("_later")
+    return placed.select(*df.columns, (below + (n - F.col("_all")) / 2.0).alias(out))
+
+
 def spearman(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
-    """Rank correlation with ties on average ranks: (keys, rho, n, t)."""
+    """Rank correlation with ties on average ranks: (keys, rho, n, t). Rows that lack x or y are left out; rho is null
+    where x or y has one value only."""
     keys = list(keys)
     pairs = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, x, y)
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    pairs = materialise(pairs)  # two rankings and their joins read it
-    weight = {"n": F.col("m")}
-    rank = lambda c, out: prefix_counts(pairs, c, keys, weight).select(
-        *keys, c, (F.col("n_below") + (F.col("n") - F.col("n_total")) / 2.0).alias(out), "n_total"
-    )
     # ranks are centred on their exact mean (n + 1) / 2, so plain sums are stable
-    joined = pairs.join(rank(x, "_rx"), [*keys, x]).join(
-        rank(y, "_ry").drop("n_total"), [*keys, y]
-    )
-    sums = joined.groupBy(*keys).agg(
+    ranked = _ranked(_ranked(pairs, x, y, keys, "m", "_rx"), y, x, keys, "m", "_ry")
+    sums = ranked.groupBy(*keys).agg(
         F.sum(F.col("m") * F.col("_rx") * F.col("_ry")).alias("_xy"),
         F.sum(F.col("m") * F.col("_rx") * F.col("_rx")).alias("_xx"),
         F.sum(F.col("m") * F.col("_ry") * F.col("_ry")).alias("_yy"),
         F.sum("m").alias("n"),
     )
-    rho = F.col("_xy") / F.sqrt(F.col("_xx")) / F.sqrt(F.col("_yy"))
+    zero = F.lit(0.0)
+    rho = F.col("_xy") / F.nullif(F.sqrt(F.col("_xx")), zero) / F.nullif(F.sqrt(F.col("_yy")), zero)
     return sums.select(*keys, rho.alias("rho"), "n").withColumn(
         "t", t_statistic(F.col("rho"), F.col("n"))
     )
 
 
 def t_statistic(r: Column, n: Column) -> Column:
-    return r * F.sqrt((n - 2) / (1 - r * r))
+    """Null for a correlation of exactly 1 or -1."""
+    return r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))

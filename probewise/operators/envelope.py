@@ -50,3 +50,12 @@ def by_feature(pairs: list[tuple[str, str]], struct: str, suffix: str) -> Column
     return F.coalesce(
         *[F.when(F.col("feature") == a, F.col(f"{struct}.{a}_{suffix}")) for a, _ in pairs]
     )
+
+
+def share_outside(low: Column, high: Column) -> Column:
+    """Share of a sweep's length (``lo`` to ``hi``) below ``low`` or above ``high``; of a sweep without
+    length, whether its point is outside."""
+    lo, hi = F.col("lo"), F.col("hi")
+    inside = F.greatest(F.least(high, hi) - F.greatest(low, lo), F.lit(0.0))
+    point = ((lo < low) | (lo > high)).cast("double")
+    return F.when(hi > lo, 1 - inside / F.nullif(hi - lo, F.lit(0.0))).otherwise(point)

@@ -137,6 +137,29 @@ def profile_summary(
     ).drop("_code", "_points", "_lo", "_hi")
 
 
+def exact_summary(sweeps: DataFrame, scorer, feature: str) -> DataFrame:
+    """The sweeps with ``swing``, ``largest`` and ``step_left`` of curves that only step at the scorer's own
+    edges of the feature (``z > edge``), so that the answer has no resolution.
+
+    The pieces between the edges inside a sweep are scored once each, in an array of the row. Of equal
+    steps the first counts; a curve without an edge has no step: largest 0, step_left null.
+    """
+    edges = F.array(*[F.lit(float(e)) for e in scorer.edges[feature]])
+    inside = F.filter(edges, lambda e: (e >= F.col("lo")) & (e < F.col("hi")))
+    found = sweeps.withColumn("_edges", inside)
+    # a piece ends at its edge, which still belongs to it; the last one ends with the sweep
+    found = found.withColumn("_ends", F.concat("_edges", F.array("hi")))
+    found = found.withColumn("_levels", F.expr(f"transform(_ends, _z -> {scorer.sql({feature: '_z'})})"))
+    after = F.slice("_levels", F.lit(2), F.greatest(F.size("_levels") - 1, F.lit(0)))
+    before = F.slice("_levels", F.lit(1), F.greatest(F.size("_levels") - 1, F.lit(0)))
+    found = found.withColumn("_steps", F.zip_with(before, after, lambda a, b: F.round(F.abs(b - a), 12)))
+    largest = F.array_max("_steps")
+    return found.withColumns({
+        "swing": F.array_max("_levels") - F.array_min("_levels"), "largest": F.coalesce(largest, F.lit(0.0)),
+        "step_left": F.get("_edges", (F.array_position("_steps", largest) - 1).cast("int")),
+    }).drop("_edges", "_ends", "_levels", "_steps")
+
+
 def curve_slopes(points: DataFrame, keys=("row_id", "feature")) -> DataFrame:
     """Slopes of stored curves (any scorer): central inside, one-sided at the ends."""
     w = Window.partitionBy(*keys).orderBy("grid_idx")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from probewise.functions.numeric import r6, share
@@ -12,6 +13,7 @@ from probewise.operators import profiles as P
 from probewise.plans.scorers import (
     DOC_STAIRS,
     ORDER_STAIRS,
+    BatchScorer,
     PandasScorer,
     doc_stairs_shifted,
 )
@@ -79,20 +81,26 @@ def cp_profile(spark, sf_dir):
     return points.select("row_id", "feature", "grid_idx", r6("z").alias("z"), r6("p").alias("p"))
 
 
-def cp_profile_pandas(spark, sf_dir):
-    """The same profile through a vectorised Python scorer (any outside model)."""
-    t, stats = _docs(spark, sf_dir)
+def _logistic(x):
+    return 1.0 / (1.0 + np.exp(-(0.002 * (x[:, 0] - 390.0) - 0.5 * (x[:, 1] - 6.4))))
 
-    def logistic(x):
-        import numpy as np
 
-        return 1.0 / (1.0 + np.exp(-(0.002 * (x[:, 0] - 390.0) - 0.5 * (x[:, 1] - 6.4))))
-
-    scorer = PandasScorer(logistic, ["n_words", "chars_per_word"])
+def _outside_profile(spark, sf_dir, scorer):
+    t, stats = _docs(spark, sf_dir)
     points = P.cp_profiles(t, stats, scorer, ["n_words", "chars_per_word"], n=200, span=2.5)
     return points.select("row_id", "feature", "grid_idx", r6("p").alias("p"))
 
 
+def cp_profile_pandas(spark, sf_dir):
+    """The same profile through a vectorised Python scorer (any outside model)."""
+    return _outside_profile(spark, sf_dir, PandasScorer(_logistic, ["n_words", "chars_per_word"]))
+
+
+def cp_profile_batch(spark, sf_dir):
+    """The same through a model that each worker loads once."""
+    return _outside_profile(spark, sf_dir, BatchScorer(lambda: _logistic, ["n_words", "chars_per_word"]))
+
+
 def cp_summary(spark, sf_dir):
     t, stats = _orders(spark, sf_dir)
     names = ORDER_STAIRS.features
@@ -110,7 +118,8 @@ def cp_steps(spark, sf_dir):
 
 
 def cp_grid_sensitivity(spark, sf_dir):
-    """Span x resolution: swing, largest step and impossible share in one job."""
+    """Span x resolution: swing, largest step and impossible share. ``n`` 0 is the exact answer, from
+    the scorer's own edges instead of a grid."""
     t, stats = _docs(spark, sf_dir)
     band = E.ratio_bounds(t, [("n_chars", "n_words")])
     settings = F.array(
@@ -121,6 +130,12 @@ def cp_grid_sensitivity(spark, sf_dir):
     out = E.outside(F.col("z"), F.col("n_words"), F.col("band.n_chars_lo"), F.col("band.n_chars_hi"))
     s = P.profile_summary(sweeps, DOC_STAIRS, ["n_chars"], "n", ("row_id", "span", "n"),
                           [share(out).alias("impossible")])
+    spans = F.explode(F.array(*[F.lit(v) for v in SPANS])).alias("span")
+    exact = P.sweep_rows(C.attach(t, band, "band").select("*", spans), stats, ["n_chars"], span=F.col("span"))
+    bounds = (F.col("n_words") * F.col("band.n_chars_lo"), F.col("n_words") * F.col("band.n_chars_hi"))
+    exact = P.exact_summary(exact, DOC_STAIRS, "n_chars").withColumn("impossible", E.share_outside(*bounds))
+    s = s.select("row_id", "span", "n", "swing", "largest", "step_left", "impossible").unionByName(
+        exact.select("row_id", "span", F.lit(0).alias("n"), "swing", "largest", "step_left", "impossible"))
     return s.select("row_id", "span", "n", r6("swing").alias("swing"), r6("largest").alias("largest"),
                     r6("step_left", 3).alias("step_left"), r6("impossible").alias("impossible"))
 
@@ -198,7 +213,7 @@ def cp_feature_summary(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        cp_grid, full_grid, trimmed_grid, cp_profile, cp_profile_pandas, cp_summary, cp_steps,
+        cp_grid, full_grid, trimmed_grid, cp_profile, cp_profile_pandas, cp_profile_batch, cp_summary, cp_steps,
         cp_grid_sensitivity, cp_seed_sensitivity, cp_slope, cp_restricted, cp_feature_summary,
     )
 }

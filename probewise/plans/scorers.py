@@ -1,8 +1,8 @@
-"""Scorers: P(class 1) of a row, in the three forms a Spark user has at hand.
+"""Scorers: P(class 1) of a row, in the forms a Spark user has at hand.
 
 ``ExpressionScorer`` is SQL text with named features, so Catalyst sees through it and a
-swept feature is just another column in the text. ``MLScorer`` wraps a fitted pipeline and
-``PandasScorer`` any vectorised matrix function.
+swept feature is just another column in the text. ``MLScorer`` wraps a fitted pipeline,
+``PandasScorer`` any vectorised matrix function, ``BatchScorer`` a model that workers load themselves.
 """
 
 from __future__ import annotations
@@ -11,15 +11,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 class ExpressionScorer:
-    def __init__(self, template: str, features: list[str]):
+    """``edges`` names, for a scorer that only steps, the values of a feature at which it does (z > edge)."""
+
+    def __init__(self, template: str, features: list[str], edges: dict[str, list[float]] | None = None):
         self.template = template
         self.features = features
+        self.edges = edges or {}
 
     def sql(self, replace: dict[str, str] | None = None) -> str:
         return self.template.format(**{f: f for f in self.features} | (replace or {}))
@@ -93,6 +97,23 @@ class PandasScorer(RowScorer):
         return df.withColumn(out, scored(F.struct(*[F.col(f) for f in self.features])))
 
 
+class BatchScorer(RowScorer):
+    """An outside model that is loaded once per Python worker and scores batches of rows.
+
+    ``load`` takes nothing and returns a function from a rows x features matrix to P(class 1); it runs in
+    the worker, so a model that is a file or needs its own library never passes through the driver.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[np.ndarray], np.ndarray]], features: list[str], batch_size: int = 4096):
+        self.load, self.features, self.batch_size = load, features, batch_size
+
+    def score(self, df: DataFrame, out: str = "p") -> DataFrame:
+        predict = predict_batch_udf(
+            self.load, return_type=DoubleType(), batch_size=self.batch_size, input_tensor_shapes=[[len(self.features)]]
+        )
+        return df.withColumn(out, predict(F.array(*[F.col(f).cast("double") for f in self.features])))
+
+
 def number(v: float) -> str:
     """A DOUBLE literal in both Spark SQL and ANSI engines (bare decimals are DECIMAL)."""
     return f"{v!r}e0" if v >= 0 else f"({v!r}e0)"
@@ -112,6 +133,11 @@ def staircase(base: float, stairs: list[tuple], shift: str = "") -> str:
     return " + ".join(f"({t})" if "CASE" in t else t for t in terms)
 
 
+def stair_edges(stairs: list[tuple]) -> dict[str, list[float]]:
+    """Where a staircase steps, by feature."""
+    return {f: [round(start + gap * i, 6) for i in range(count)] for f, start, gap, count, _ in stairs}
+
+
 ORDER_STAIRS = ExpressionScorer(
     staircase(0.40, [("qty", 15.5, 19.7, 12, 0.032), ("gross", 60000.25, 81000.0, 6, -0.038)])
     + " + (CASE WHEN {avg_disc} > 0.0525e0 AND {qty} > 110.25e0 THEN (-0.13e0) ELSE 0e0 END)"
@@ -125,10 +151,13 @@ ORDER_LOGIT = ExpressionScorer(
     ["qty", "gross", "avg_disc"],
 )
 
+_DOC_STAIRS = [("n_words", 24.5, 61.0, 12, 0.03), ("n_chars", 190.5, 610.0, 8, -0.026)]
+
 DOC_STAIRS = ExpressionScorer(
-    staircase(0.38, [("n_words", 24.5, 61.0, 12, 0.03), ("n_chars", 190.5, 610.0, 8, -0.026)])
+    staircase(0.38, _DOC_STAIRS)
     + " + (CASE WHEN {chars_per_word} > 6.2003e0 THEN (-0.07e0) ELSE 0.04e0 END)",
     ["n_words", "n_chars", "chars_per_word"],
+    stair_edges(_DOC_STAIRS) | {"chars_per_word": [6.2003]},
 )
 
 DOC_LOGIT = ExpressionScorer(
@@ -140,11 +169,7 @@ DOC_LOGIT = ExpressionScorer(
 
 def doc_stairs_shifted(seed: str) -> ExpressionScorer:
     """The document staircase with every edge moved by ``seed``: stands for a refit."""
-    text = staircase(
-        0.38,
-        [("n_words", 24.5, 61.0, 12, 0.03), ("n_chars", 190.5, 610.0, 8, -0.026)],
-        shift=f" + 1.71e0 * {seed}",
-    )
+    text = staircase(0.38, _DOC_STAIRS, shift=f" + 1.71e0 * {seed}")
     return ExpressionScorer(text, ["n_words", "n_chars"])
 
 

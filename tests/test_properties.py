@@ -52,6 +52,39 @@ def test_quantiles_by_key(spark):
     assert got == pytest.approx(want.to_dict())
 
 
+def test_spearman_of_hot_values_joins_no_value(spark):
+    """One value on half the rows, over more partitions than other values; several groups at once."""
+    from plain import spearman_of
+
+    r = np.random.default_rng(6)
+    x = np.where(r.random(4000) < 0.5, 7.0, np.round(r.normal(size=4000), 1))
+    y = np.where(r.random(4000) < 0.5, -1.0, x + r.normal(size=4000))
+    g = r.integers(0, 3, 4000)
+    df = frame(spark, g=g, x=x, y=y)
+    got = {r.g: r for r in spearman(df, "x", "y", ["g"]).collect()}
+    for k in range(3):
+        assert got[k].rho == pytest.approx(spearman_of(x[g == k], y[g == k]), abs=1e-12) and got[k].n == (g == k).sum()
+    plan = spearman(df, "x", "y", ["g"])._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("_part" in line for line in joins)
+    flat = spearman(frame(spark, x=[1.0, 1.0, 1.0], y=[1.0, 2.0, 3.0]), "x", "y").first()
+    assert flat.rho is None and flat.t is None
+
+
+def test_far_rows_keep_an_effective_sample_size(spark):
+    """A row 60 std out: every weight underflows, yet the sample size and variance are numbers."""
+    from probewise.operators.cloud import SharedCloud
+
+    z = np.random.default_rng(2).normal(size=(500, 2))
+    cloud = SharedCloud(["a", "b"], (1,), z[None], (z[:, 0] > 0).astype(float)[None])
+    rows = frame(spark, row_id=[0, 1], z_a=[0.0, 60.0], z_b=[0.0, 60.0], p=[0.5, 0.9])
+    for own in (True, False):
+        for r in S.kernel_summary(rows, cloud, include_self=own).collect():
+            assert 1.0 <= r.ess <= 501 and 0.0 <= r.wvar <= 0.26
+    r2 = {r.row_id: r.r2 for r in S.explain(rows, cloud, 1).collect()}
+    assert r2[0] is not None and r2[1] is None
+
+
 def test_average_ranks_and_spearman_with_ties(spark):
     x, y = rng.integers(0, 9, 400) * 1.0, rng.integers(0, 4, 400) * 1.0
     rx, ry = pd.Series(x).rank(), pd.Series(y).rank()
@@ -164,6 +197,16 @@ def _toy(spark, xs):
     return t, C.column_stats(t, ["a", "b"])
 
 
+def test_exact_steps_equal_a_fine_grid(spark):
+    """Edges on a sweep's ends, a sweep without an edge and one without length."""
+    stairs = ExpressionScorer(
+        "0.2e0 + CASE WHEN {a} > 1e0 THEN 0.3e0 ELSE 0e0 END - CASE WHEN {a} > 2e0 THEN 0.1e0 ELSE 0e0 END"
+        " + CASE WHEN {a} > 4e0 THEN 0.3e0 ELSE 0e0 END", ["a"], {"a": [1.0, 2.0, 4.0]})
+    sweeps = frame(spark, row_id=[0, 1, 2, 3], lo=[0.0, 1.0, 2.5, 3.0], hi=[5.0, 2.0, 3.5, 3.0])
+    got = {r.row_id: (round(r.swing, 9), r.largest, r.step_left) for r in P.exact_summary(sweeps, stairs, "a").collect()}
+    assert got == {0: (0.5, 0.3, 1.0), 1: (0.3, 0.3, 1.0), 2: (0.0, 0.0, None), 3: (0.0, 0.0, None)}
+
+
 def test_flat_curve_has_no_direction(spark):
     t, stats = _toy(spark, [0, 1, 2, 3])
     flat = ExpressionScorer("CASE WHEN {a} > 99e0 THEN 1e0 ELSE 0.3e0 END", ["a"])
