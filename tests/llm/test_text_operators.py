@@ -386,7 +386,11 @@ def test_secrets(spark, edge_docs, empty_docs):
     changed = clean.join(docs.select("doc_id", docs.text.alias("was")), "doc_id").where("text <> was").collect()
     assert {r.doc_id for r in changed} == {i for i, _, _ in want} and all(r.n_chars == len(r.text) for r in changed)
     assert secret_scan.redact(edge_docs, model).count() == edge_docs.count()
-    assert secret_scan.scan(empty_docs, model).count() == 0 and secret_scan.scan(edge_docs, secret_scan.learn(empty_docs)).count() >= 0
+    assert secret_scan.scan(empty_docs, model).count() == 0
+    texts = [(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect()]
+    for r in secret_scan.scan(edge_docs, secret_scan.learn(empty_docs)).collect():
+        spans = [t[r.start : r.end] for i, t in texts if i == r.doc_id and t]
+        assert r.value_sha256 in {hashlib.sha256(v.encode()).hexdigest() for v in spans}
 
 
 def test_secrets_of_any_length_and_form(spark):
@@ -448,9 +452,9 @@ def test_main_text_of_the_pages(spark, chain):
 
 def test_blocks_of_odd_markup():
     page = "<p>a<b>b</b> &amp; c<br>d<p>e<ul><li>f<li>g</ul><script>x<y</script><!-- <p>no -->h &lt 3 < 4<div>i</p>j<div class='k\">l"
-    assert [b.text for b in html_text.blocks(page)] == ["ab & c d", "e", "f", "g", "h < 3 < 4", "i", "j"] or "ab & c d" in [b.text for b in html_text.blocks(page)]
+    assert [b.text for b in html_text.blocks(page)] == ["ab & c d", "e", "f", "g", "h < 3 < 4", "ij", "l"]
     assert html_text.blocks("") == [] and html_text.blocks("<style>a") == [] and [b.text for b in html_text.blocks("plain &amp text")] == ["plain & text"]
-    assert html_text.blocks("<a \"" * 3000) == [] or True
+    assert html_text.blocks("<a \"" * 3000) == []
 
 
 def test_pages_edges(spark, chain):
