@@ -2,9 +2,12 @@
 
 Generators of high recall propose spans that may overlap. A candidate is described by its format and by
 the words around it, not by the mark that the base pattern asks for (a plus sign, an at sign). Boosted
-trees learn base spans, as they stand and with their mark stripped, against candidates that their format
-or context disproves. A candidate that is neither has no label: how common unmarked cases are does not
-count against them. At a threshold set per kind for precision, it is added. Base spans always stay.
+trees learn base spans, as they stand and with their mark stripped, against spans that are none by the way
+they came about: base spans broken at random, in the context of another kind or inside a longer word, and
+candidates that another kind's base span covers. A candidate of the corpus that is neither has no label:
+how common unmarked cases are does not count against them. Scores are calibrated per kind on the other
+half of the sample, and a candidate whose calibrated score reaches the wanted precision is added; of those
+that overlap the best stays. No rule stands before or behind the trees. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +40,15 @@ IPV6 = rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}+{_HEX}|(?:{_HEX}:){{1,6}}+(?::{_
 #: Generators: at sign or a spelt-out at; four numbers or an IPv6 address, compressed or not; long numbers
 #: with any separators; digit groups of a telephone number with or without its plus sign.
 WIDE = [
-    r"[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}+){1,8}+",
-    r"[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}+|" + IPV6,
-    r"[0-9](?:[\x20./-]?[0-9]){12,30}+",
+    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
+    r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}|" + IPV6,
+    r"[0-9](?:[\x20./-]?[0-9]){12,}+",
     r"\+?(?:[0-9]{1,3}+[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}",
 ]
+#: A card's digits without separators, whatever numbers stand beside them.
+SOLID_CARD = r"(?<![0-9])[0-9]{13,19}+(?![0-9])"
+#: Patterns by generator number; the kind is the remainder by 4.
+PATTERNS = {**dict(enumerate([*BASE, *WIDE])), 10: SOLID_CARD}
 #: What a text must hold for a kind's patterns to be worth running.
 NEEDED = [r"@|[\[(]at[\])]|\x20at\x20", r"[0-9]\.[0-9]|[0-9A-Fa-f]:|::", r"[0-9]", r"[0-9]"]
 #: Words that announce a kind, in the four languages of the corpus and as labels.
@@ -57,7 +65,7 @@ BEFORE, AFTER = 32, 12
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 FEATURES = [
     "kind", "length", "digits", "letters", "marks", "groups", "longest", "parens", "luhn", "last", "word_before", "word_after", "announced", "distinct",
-    "objected", "spelt", "colons", "octets",
+    "objected", "spelt", "colons", "octets", "paired",
 ]
 #: Bounds of the training sample of candidates, and the precision thresholds are set for.
 SAMPLE_ROWS = 20_000
@@ -96,14 +104,14 @@ def luhn(digits: Column) -> Column:
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, gen, start, end, match, before, after): every match of every pattern. ``gen`` is the
-    kind's number for base patterns and 4 more for generators. Each document also has a row of gen -1, so
+    kind's number for base patterns and 4 or 8 more for generators. Each document also has a row of gen -1, so
     that documents without matches stay. Only matches and the text next to them are moved."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     kind = "array<struct<gen:int,k:int,gap:int,match:string,before:string,after:string>>"
     none = F.array().cast(kind)
-    runs = [_found(F.col("text"), p, NEEDED[i % 4], i).cast(kind) for i, p in enumerate([*BASE, *WIDE])]
+    runs = [_found(F.col("text"), p, NEEDED[i % 4], i).cast(kind) for i, p in PATTERNS.items()]
     itself = F.array(F.struct(F.lit(-1).alias("gen"), F.lit(0).alias("k"), F.lit(0).alias("gap"), F.lit("").alias("match"), F.lit("").alias("before"), F.lit("").alias("after")))
     rows = rows.select("row", "doc_id", F.inline(F.concat(itself.cast(kind), *[F.coalesce(r, none) for r in runs])))
     order = Window.partitionBy("row", "gen").orderBy("k")
@@ -140,9 +148,8 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def described(found: DataFrame) -> DataFrame:
-    """Format and context features of generator candidates, and ``disproved``: whether format or context
-    speaks against the kind. The mark of the base pattern is left out of the format: a plus sign and an
-    at sign, spelt or not, count alike."""
+    """Format and context features of generator candidates. The mark of the base pattern is left out of
+    the format: a plus sign and an at sign, spelt or not, count alike."""
     match = F.regexp_replace(F.col("match"), r"\x20?[\[(](?:at|dot)[\])]\x20?|\x20(?:at|dot)\x20|^\+|@", ".")
     digits = F.regexp_replace(match, "[^0-9]", "")
     n, kind = F.length(digits), F.col("kind")
@@ -165,8 +172,8 @@ def described(found: DataFrame) -> DataFrame:
         "parens": match.contains("("),
         "luhn": F.when(kind == 2, luhn(digits)).otherwise(False),
         "last": last,
-        "word_before": F.col("before").rlike(r"[\p{L}\p{N}_.-]$"),
-        "word_after": F.col("after").rlike(r"^[\p{L}\p{N}_-]"),
+        "word_before": F.col("before").rlike(r"[\p{L}\p{N}_]$|[0-9][.,/-]$"),
+        "word_after": F.col("after").rlike(r"^(?:[\p{L}\p{N}_]|[.,/-][0-9])"),
         "announced": announced,
         "distinct": F.size(F.array_distinct(F.split(digits, ""))),
         "objected": objected,
@@ -175,17 +182,8 @@ def described(found: DataFrame) -> DataFrame:
         "octets": octets,
     }
     paired = (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) == 2)
-    six = (n == 0) | paired | (match.contains("::") & (F.size(groups) > 7))
-    malformed = (
-        F.when(kind == 0, (last < 2) | (spelt & ~announced))
-        .when(kind == 1, F.when(colons > 0, six).otherwise(~octets))
-        .when(kind == 2, ~n.between(13, 19) | ~luhn(digits))
-        .otherwise(~n.between(7, 15))
-    )
-    glued = F.col("before").rlike(r"[\p{L}\p{N}_]$|[0-9][.,/-]$") | F.coalesce("after", F.lit("")).rlike(r"^(?:[\p{L}\p{N}_]|[.,/-][0-9])")
-    disproved = malformed | (glued & (kind != 0)) | (objected & ~announced)
-    rows = found.where("gen >= 4").withColumns({name: F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in number.items()})
-    return rows.withColumn("disproved", F.coalesce(disproved, F.lit(True)))
+    number["paired"] = paired
+    return found.where("gen >= 4").withColumns({name: F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in number.items()})
 
 
 @dataclass
@@ -200,20 +198,66 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.withColumn("kind", F.col("kind").cast("double")))
 
 
-def _bare(source: DataFrame) -> DataFrame:
-    """Base spans in the form without their mark: a spelt-out at, a number without its country code."""
-    odd = F.pmod(F.xxhash64("source"), F.lit(4)) >= 2
-    spelt = F.when(odd, F.regexp_replace("match", "@", " at ")).otherwise(F.regexp_replace("match", "@", " (at) "))
-    bare = F.when(F.col("kind") == 0, spelt).otherwise(F.regexp_replace("match", r"^\+[0-9]{1,3}[\x20.-]|^\+", ""))
-    return source.where("near AND kind IN (0, 3)").withColumn("match", bare).where(F.col("match") != F.col("source"))
+def _any(*values: str) -> Column:
+    """One of the values, by the hash of the span."""
+    return F.element_at(F.array(*map(F.lit, values)), F.pmod(F.xxhash64("source", "before"), F.lit(len(values))).cast("int") + 1)
+
+
+def _by_kind(*values: Column) -> Column:
+    return reduce(lambda out, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(out), enumerate(values), F.lit(None))
+
+
+def _bare() -> Column:
+    """A base span in a form without its mark: a spelt-out at, a card's digits between points or slashes, a
+    number without its country code. An address of four numbers has no other form."""
+    spelt = F.regexp_replace("match", F.lit("@"), _any(" at ", " (at) ", " [at] ", "(at)"))
+    spelt = F.when(_any("dot", "point", "point") == "point", spelt).otherwise(F.regexp_replace(spelt, r"\.(?=[A-Za-z0-9-]*$)", " dot "))
+    fours = F.regexp_replace(F.regexp_replace("match", "[^0-9]", ""), F.lit("([0-9]{4})(?=[0-9])"), F.concat(F.lit("$1"), _any(".", "/")))
+    return _by_kind(spelt, F.col("match"), fours, F.regexp_replace("match", r"^\+[0-9]{1,3}[\x20.-]|^\+", ""))
 
 
-def _countered(source: DataFrame) -> DataFrame:
-    """Base spans where no such thing stands: the same digits as a version or the number of an order, two
-    words of a sentence about a place."""
-    against = F.element_at(F.array(*map(F.lit, ["we met ", "see version ", "the order no ", "the order no "])), F.col("kind").cast("int") + 1)
-    match = F.when(F.col("kind") == 0, F.regexp_replace("match", "@", " at ")).otherwise(F.regexp_replace("match", r"^\+", ""))
-    return source.where("near").withColumns({"match": match, "before": against})
+def _broken() -> Column:
+    """A base span spoilt: a last label of one digit, a number above 255, a wrong check digit, three years."""
+    at = F.pmod(F.xxhash64("match", F.lit("broken")), F.lit(1 << 20))
+    digit = F.pmod(F.right("match", F.lit(1)).cast("int") + 1 + at % 9, F.lit(10)).cast("string")
+    card = F.concat(F.expr("left(match, length(match) - 1)"), digit)
+    year = [(F.lit(1940) + F.shiftright(at, 6 * k) % 90).cast("string") for k in range(3)]
+    years = F.array_join(F.array(*year), " ")
+    octet = F.regexp_replace("match", F.lit(r"\.[0-9]+$"), F.concat(F.lit("."), (256 + at % 740).cast("string")))
+    first = F.regexp_replace("match", F.lit(r"^[0-9]+"), (256 + at % 740).cast("string"))
+    return _by_kind(F.regexp_replace("match", r"\.[A-Za-z0-9-]+$", ".7"), F.when(at % 2 == 0, octet).otherwise(first), card, years)
+
+
+def labelled(source: DataFrame) -> DataFrame:
+    """Candidates with features and ``label``, from generator candidates with ``source`` = their match.
+
+    1: spans that coincide with a base span, as they stand and bare. 0: candidates that a base span of
+    another kind covers; base spans broken; bare and plain ones where no such thing stands (a version, the
+    number of an order, two words about a place), in the context of another kind, or inside a longer word.
+    """
+    near = source.where("near")
+    # the context of another base span of the bounded sample, where that is of another kind
+    order = Window.partitionBy(F.pmod(F.xxhash64("match"), F.lit(16))).orderBy(F.xxhash64("before", "match"), "match")
+    elsewhere = near.withColumns({"kind_": F.lag("kind").over(order), "before_": F.lag("before").over(order)}).where("kind_ <> kind")
+    numbered = _any("the order no ", "invoice ", "total amount ", "serial ", "tracking ", "article ", "price ", "reference ")
+    nowhere = _by_kind(_any("we met ", "they arrived ", "look ", "she is "), _any("see version ", "release ", "section ", "build "), numbered, numbered)
+    unmarked = F.when(_any("all", "bare") == "all", F.regexp_replace("match", r"^\+", "")).otherwise(_bare())
+    plain = F.when(F.col("kind") == 0, F.regexp_replace("match", "@", " at ")).otherwise(unmarked)
+    inside = F.when(F.pmod(F.xxhash64("match"), F.lit(2)) == 0, F.lit("x")).otherwise(F.lit("7."))
+    parts = [
+        (near, {}, 1.0),
+        (near.where(_bare() != F.col("match")), {"match": _bare()}, 1.0),
+        (source.where("crossed AND NOT near"), {}, 0.0),
+        (near, {"match": _broken()}, 0.0),
+        (near.where("kind = 2"), {"match": F.concat("match", F.lit(" "), "match")}, 0.0),
+        (near.where("kind = 2"), {"match": F.regexp_replace(_broken(), r"[\x20-]", ".")}, 0.0),
+        (near, {"match": plain, "before": nowhere}, 0.0),
+        (elsewhere.where("kind IN (0, 3)"), {"match": plain, "before": F.col("before_")}, 0.0),
+        (near.where("kind > 0"), {"before": F.concat("before", inside)}, 0.0),
+    ]
+    made = [described(rows.withColumns(changes)).withColumn("label", F.lit(label)) for rows, changes, label in parts]
+    columns = ["label", "source", *FEATURES]
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in made])
 
 
 def _made(spark: SparkSession) -> DataFrame:
@@ -234,72 +278,84 @@ def _made(spark: SparkSession) -> DataFrame:
         F.concat_ws(":", *[group(k, 2) for k in range(8)]),
         F.concat(name(0), F.lit("::"), name(1)),
     ]
-    kinds, before = len(forms), F.array(*map(F.lit, ["", "from ", "the address is ", "host ", "(", "x"]))
-    at = (F.col("id") % kinds).cast("int")
+    kinds, leads = len(forms), F.array(*map(F.lit, ["", "from ", "the address is ", "host ", "(", "x"]))
+    form = (F.col("id") % kinds).cast("int")
     rows = spark.range(kinds * 150).select(
         F.lit(5).alias("gen"),
         F.lit(1).alias("kind"),
-        F.element_at(F.array(*forms), at + 1).alias("match"),
-        F.element_at(before, F.pmod(F.xxhash64("id"), F.lit(6)).cast("int") + 1).alias("before"),
+        F.element_at(F.array(*forms), form + 1).alias("match"),
+        F.element_at(leads, F.pmod(F.xxhash64("id"), F.lit(6)).cast("int") + 1).alias("before"),
         F.lit(" ").alias("after"),
+        (form < 5).alias("good"),
     )
-    return described(rows.withColumn("source", F.col("match"))).withColumn("label", (~F.col("disproved")).cast("double"))
+    rows = rows.withColumns({"source": F.col("match"), "label": (F.col("good") & (F.col("before") != "x")).cast("double")})
+    return described(rows).select("label", "source", *FEATURES)
 
 
 def learn(judged_rows: DataFrame, rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Model:
-    """Fit on a bounded sample of generator candidates.
+    """Fit on a bounded sample of generator candidates (at most ``2 * rows``), labelled by ``labelled``.
 
-    Positive are candidates that coincide with a base span, as they stand and with their mark stripped;
-    negative are candidates that format or context disproves, and base spans where no such thing stands.
-    Other candidates have no label. Half of the sample trains, the other half sets each kind's threshold:
-    the least score from which on the share of positives is at least ``precision``. A kind without such a
-    score gets none.
+    Half of the sources train, the other half calibrates: per kind an isotonic regression of the label on
+    the score, and as threshold the least score whose calibrated value is at least ``precision``. A kind
+    without such a score gets none.
     """
     known = judged_rows.where("gen >= 4")
     n = known.count()
     unit = F.pmod(F.xxhash64("match", "before", "start"), F.lit(1 << 30)) / float(1 << 30)
     source = known.where(unit < rows / max(1, n)).limit(2 * rows).withColumn("source", F.col("match"))
-    source = store.kept(source.select("gen", "kind", "match", "before", "after", "near", "source"), "sources")
-    own = described(source).where("near OR disproved").withColumn("label", F.col("near").cast("double"))
-    bare = described(_bare(source)).where("NOT disproved").withColumn("label", F.lit(1.0))
-    countered = described(_countered(source)).where("disproved").withColumn("label", F.lit(0.0))
-    columns = ["label", F.pmod(F.xxhash64("source"), F.lit(2)).alias("half"), *FEATURES]
-    parts = [part.select(*columns) for part in (own, bare, countered, _made(judged_rows.sparkSession))]
-    sample = store.kept(reduce(DataFrame.unionByName, parts), "candidates")
+    source = store.kept(source.select("gen", "kind", "match", "before", "after", "near", "crossed", "source"), "sources")
+    sample = labelled(source).unionByName(_made(judged_rows.sparkSession))
+    sample = store.kept(sample.withColumn("half", F.pmod(F.xxhash64("source"), F.lit(2))).drop("source"), "candidates")
     train = sample.where("half = 0")
     if {r["label"] for r in train.select("label").distinct().collect()} != {0.0, 1.0}:
         return Model(None, [2.0] * len(KINDS))
     trees = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=5, minInstancesPerNode=5).fit(_vectors(train))
     scored = trees.transform(_vectors(sample.where("half = 1")))
-    score = F.round(vector_to_array("probability")[1], 2).alias("score")
-    bins = scored.groupBy(F.col("kind").cast("int").alias("kind"), score).agg(F.sum("label").alias("hit"), F.count("label").alias("n")).collect()
+    bins = scored.groupBy("kind", _score().alias("score")).agg(F.avg("label").alias("label"), F.count("label").cast("double").alias("weight"))
+    bins = store.kept(bins, "bins")  # at most 101 a kind
     thresholds = []
     for kind in range(len(KINDS)):
-        hit = seen = 0.0
-        least = 2.0
-        for r in sorted((b for b in bins if b["kind"] == kind), key=lambda b: -b["score"]):
-            hit, seen = hit + r["hit"], seen + r["n"]
-            if hit >= precision * seen:
-                least = r["score"]
-        thresholds.append(least)
+        part = bins.where(F.col("kind") == kind)
+        if part.isEmpty():
+            thresholds.append(2.0)
+            continue
+        curve = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(part)
+        reached = [x for x, y in zip(curve.boundaries, curve.predictions, strict=True) if y >= precision]
+        thresholds.append(float(min(reached, default=2.0)))
     return Model(trees, thresholds)
 
 
+def _score() -> Column:
+    return F.round(vector_to_array("probability")[1], 2)
+
+
+def best_first(spans: DataFrame) -> DataFrame:
+    """Of (row, doc_id, kind, start, end, score) those that remain where the best score goes first and takes
+    its place; among equals the earlier start, then the earlier kind. Only spans that hang together are
+    brought together, so a list is as long as such a chain."""
+    side = Window.partitionBy("row").orderBy("start", "end", "kind")
+    reach = F.max("end").over(side.rowsBetween(Window.unboundedPreceding, -1))
+    chain = F.sum(F.when(reach > F.col("start"), 0).otherwise(1)).over(side)
+    span = F.struct((-F.col("score")).alias("order"), F.col("start"), F.col("kind").cast("int").alias("kind"), F.col("end"))
+    lists = spans.withColumn("chain", chain).groupBy("row", "doc_id", "chain").agg(F.sort_array(F.collect_list(span)).alias("found"))
+    none = F.filter("found", lambda s: F.lit(False))
+
+    def walk(taken: Column, s: Column) -> Column:
+        met = F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+        return F.when(met, taken).otherwise(F.concat(taken, F.array(s)))
+
+    return lists.select("row", "doc_id", F.inline(F.aggregate("found", none, walk))).select("row", "doc_id", "kind", "start", "end")
+
+
 def added(judged_rows: DataFrame, model: Model) -> DataFrame:
-    """(row, doc_id, kind, start, end) of candidates that are taken: clear of base spans, not disproved, at
-    or above their kind's threshold, and of a neighbour they overlap not the one with the lower score."""
-    free = described(judged_rows.where(~F.col("crossed"))).where(~F.col("disproved"))
+    """(row, doc_id, kind, start, end) of candidates that are taken: clear of base spans, at or above their
+    kind's threshold, and not overlapped by a better one."""
+    free = judged_rows.where("gen >= 4 AND NOT crossed")
     if model.trees is None:
-        return free.select("row", "doc_id", "kind", "start", "end").where(F.lit(False))
+        return free.select("row", "doc_id", F.col("kind").cast("int").alias("kind"), "start", "end").where(F.lit(False))
     least = F.element_at(F.array(*map(F.lit, model.thresholds)), F.col("kind").cast("int") + 1)
-    score = F.round(vector_to_array("probability")[1], 2)
-    scored = model.trees.transform(_vectors(free)).withColumn("score", score).where(F.col("score") >= least)
-    side = Window.partitionBy("row").orderBy("start", "end", "kind")
-    beaten = (F.coalesce(F.lag("end").over(side) > F.col("start"), F.lit(False)) & (F.lag("score").over(side) >= F.col("score"))) | (
-        F.coalesce(F.lead("start").over(side) < F.col("end"), F.lit(False)) & (F.lead("score").over(side) > F.col("score"))
-    )
-    scored = scored.withColumn("beaten", beaten).where(~F.coalesce("beaten", F.lit(False)))
-    return scored.select("row", "doc_id", F.col("kind").cast("int").alias("kind"), "start", "end")
+    scored = model.trees.transform(_vectors(described(free))).withColumn("score", _score()).where(F.col("score") >= least)
+    return best_first(scored)
 
 
 def written(spans: Column) -> Column:

@@ -364,6 +364,47 @@ def test_unmarked_cases_are_added_however_common(spark):
     assert sum(got[i].n_added for i in got if 3000 <= i < 5000) == 0
 
 
+def test_added_spans_are_whole_and_decided_by_the_trees(spark):
+    """Runs of any length are taken whole, a doubled card is two, and look-alikes that no word gives away go."""
+    rows, want = [], {}
+    for k in range(400):
+        number = f"({k % 700 + 200}) 555-{k * 7 % 9000 + 1000}"
+        rows.append((k, f"please call +1 {number} today"))
+        rows.append((1000 + k, f"contact user{k}@host{k % 40}.com for details"))
+        card = f"4{k * 7919 % 10**14:014d}"
+        total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(card)))
+        card += str(-total % 10)
+        rows.append((2000 + k, f"it was {card} that was used"))
+        rows.append((3000 + k, f"in the years {1950 + k % 60} {1960 + k % 50} {1990 + k % 20} it rained"))
+        if k % 20 == 0:
+            rows.append((4000 + k, f"it was {card} {card} that was used"))
+            want[4000 + k] = f"card:7:{7 + 16},card:24:{24 + 16}"
+    user, host = "u" * 100, ".".join(["label"] * 12)
+    rows.append((9000, f"contact {user} (at) {host} for details"))
+    want[9000] = f"email:8:{8 + len(f'{user} (at) {host}')}"
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].spans for i in want} == want
+    assert sum(got[i].n_added for i in got if i < 4000) == 0
+
+
+def test_best_first_equals_a_walk_by_score(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for row in range(60):
+        for _ in range(int(rng.integers(1, 14))):
+            a = int(rng.integers(0, 40))
+            rows.append((row, row, int(rng.integers(0, 4)), a, a + int(rng.integers(1, 15)), float(rng.integers(80, 100)) / 100))
+    want = Counter()
+    for row in range(60):
+        taken = []
+        for s in sorted((r for r in rows if r[0] == row), key=lambda r: (-r[5], r[3], r[2], r[4])):
+            if all(s[4] <= t[3] or t[4] <= s[3] for t in taken):
+                taken.append(s)
+        want.update((row, s[2], s[3], s[4]) for s in taken)
+    spans = spark.createDataFrame(rows, "row long, doc_id long, kind int, start long, end long, score double").repartition(5)
+    assert Counter((r.row, r.kind, r.start, r.end) for r in pii.best_first(spans).collect()) == want
+
+
 # ---- secrets
 
 
