@@ -196,10 +196,42 @@ def plain_tiles(doc, item, least):
 @given(WORDS, WORDS)
 def test_tiles_equal_brute_force(doc, item):
     d, i = (np.array([xxhash.xxh64_intdigest(w) for w in x], np.uint64) for x in (doc, item))
-    rows = decontam.Items([(1, " ".join(item))], 3)
-    at, _, place = rows.hits(d)
-    got = decontam.tile(d, i, np.stack([at, place], axis=1), 3)
-    assert got == plain_tiles(doc, item, 3)
+    parts = list(decontam.Items([("1", " ".join(item))], 3).matches(d, np.array([len(d)])))
+    found = np.concatenate([*(np.stack(part[2:], axis=1) for part in parts), np.empty((0, 3), np.int64)])
+    hits = {(p + t, q + t) for p, q, n in found.tolist() for t in range(n - 2)}
+    assert hits == {(p, q) for p in range(len(d) - 2) for q in range(len(i) - 2) if (d[p : p + 3] == i[q : q + 3]).all()}
+    assert decontam.tile(found, 3) == plain_tiles(doc, item, 3)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(WORDS, min_size=1, max_size=5), st.lists(WORDS, min_size=1, max_size=3))
+def test_matches_of_several_documents_and_items(docs, items):
+    ends = np.cumsum([len(d) for d in docs])
+    values = np.array([xxhash.xxh64_intdigest(w) for d in docs for w in d], np.uint64)
+    block = decontam.Items([(str(k), " ".join(x)) for k, x in enumerate(items)], 2)
+    got = Counter()
+    for doc, item, at, place, run in block.matches(values, ends):
+        got.update(zip(doc.tolist(), item.tolist(), (at - (ends - [len(d) for d in docs])[doc]).tolist(), place.tolist(), run.tolist(), strict=True))
+    want = Counter()
+    for a, doc in enumerate(docs):
+        for b, item in enumerate(items):
+            for p in range(len(doc)):
+                for q in range(len(item)):
+                    if p and q and doc[p - 1] == item[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n]:
+                        n += 1
+                    if n >= 2:
+                        want[a, b, p, q, n] += 1
+    assert got == want
+
+
+def test_equal_words_cost_an_entry_a_diagonal(spark):
+    docs = spark.createDataFrame([(1, "same " * 500_000), (2, "same other " * 50_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "same " * 1000), (6, "other same " * 300)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_tiles, r.longest_tile) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 5): (1.0, 1, 1000), (2, 6): (1.0, 1, 600)}
 
 
 def test_contamination_catches_reordered_passages(spark, edge_docs, empty_docs):
