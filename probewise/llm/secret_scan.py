@@ -123,8 +123,10 @@ def candidates(text: str) -> list[Candidate]:
             if rule == "assigned":
                 if value.startswith("//"):
                     continue
-                value = value.rstrip("!?.:*#$%&|\\")
-                b = a + len(value)
+                quote = text[a - 1]
+                if not (quote in "\"'`" and text[b : b + 1] == quote):  # within quotes all of it is the value
+                    value = value.rstrip("!?.:*#$%&|\\")
+                    b = a + len(value)
                 if len(value) < 8:
                     continue
             if rule == "token":
@@ -159,7 +161,7 @@ def _covered(value: str, dictionary: frozenset[str]) -> float:
 
 
 def features(c: Candidate, path: str, known: Corpus) -> list[float]:
-    v, n = c.value[:4096], min(len(c.value), 4096)
+    v, n = c.value, len(c.value)
     counts = np.bincount(np.frombuffer(v.encode("latin-1", "replace"), np.uint8))
     p = counts[counts > 0] / n
     digits, uppers = sum(ch.isdigit() for ch in v) / n, sum(ch.isupper() for ch in v) / n
@@ -353,7 +355,8 @@ def scan(docs: DataFrame, model: Model, least: float = LEAST, doc_id: str = "doc
 
 def redact(docs: DataFrame, model: Model, mask: str = "[SECRET]", least: float = LEAST, text: str = "text", path: str = "source", size: str = "n_chars") -> DataFrame:
     """The same rows with every secret in ``text`` replaced by ``mask`` and ``size``, where it is a column
-    and the text changed, counted anew. All other columns and texts stay as they are."""
+    and the text changed, counted anew. All other columns and texts stay as they are: null and empty texts
+    have no secret, repeated rows are masked alike, very long texts whole, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, has = docs.columns.index(text), {c: docs.columns.index(c) for c in (path, size) if c in docs.columns}
 

@@ -466,6 +466,18 @@ def test_secrets(spark, edge_docs, empty_docs):
         assert r.value_sha256 in {hashlib.sha256(v.encode()).hexdigest() for v in spans}
 
 
+def test_quoted_values_are_whole():
+    for quote in "\"'`":
+        for value in ("hunter2secret!", "Tr0ub4dor&3$$", "x" * 9 + "???"):
+            text = f"password = {quote}{value}{quote} and on"
+            assert [text[c.start : c.end] for c in secret_scan.candidates(text)] == [value]
+    text = "password = hunter2secret! It went on"
+    assert [c.value for c in secret_scan.candidates(text)] == ["hunter2secret"]
+    known = secret_scan.Corpus(np.zeros((28, 28)), frozenset({"word"}))
+    half = secret_scan.features(secret_scan.Candidate(0, 20000, "word" * 2500 + "7" * 10000, "", "", "token"), "", known)
+    assert (half[2], half[7]) == (0.5, 0.5)
+
+
 def test_secrets_of_any_length_and_form(spark):
     rng = np.random.default_rng(8)
     some = lambda n: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), n))
