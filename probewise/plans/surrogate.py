@@ -398,6 +398,65 @@ def decorrelated_pair(spark, sf_dir):
     return ranked.select("row_id", "first", "second", (near & F.col("second").isNotNull()).alias("candidate"))
 
 
+def wide(spark, sf_dir, hs=()):
+    """Rows and cloud over all seven order columns, the table and its columns; gradients of the scorer's own."""
+    t = T.order_features(spark, sf_dir)
+    names = T.ORDER_FEATURES
+    stats = C.column_stats(t, names)
+    rows = ORDER_STAIRS.score(C.zscored(t, stats, names))
+    for h in hs:
+        rows = S.gradient_columns(rows, stats, ORDER_STAIRS, h, f"{grad_name(h)}_")
+    draws = ORDER_STAIRS.score(CL.cloud(spark, stats, names))
+    return rows, CL.share_cloud(draws, names, CL.DRAWS, (42,)), t, names
+
+
+def _ranked(values, names):
+    """The names of values that are not zero, by falling absolute value, equals in column order."""
+    entries = F.array(*[F.struct((-F.abs(v)).alias("s"), F.lit(i).alias("i"), F.lit(f).alias("f"))
+                        for i, (v, f) in enumerate(zip(values, names))])
+    return F.transform(F.array_sort(F.filter(entries, lambda e: e["s"] != 0)), lambda e: e["f"])
+
+
+def second_axis(spark, sf_dir):
+    """Of all seven columns: the leading one, the best-ranked one loosely correlated with it and its rank.
+
+    ``top2_r`` is the absolute correlation of ranks 1 and 2; ``strict`` asks that pair to be loose,
+    ``candidate`` any pair with the first. Null where fewer columns move or a column is constant.
+    """
+    rows, shared, t, names = wide(spark, sf_dir)
+    pairs = C.pair_moments(t.where(C.train_rows()), names)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    table = both.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("~", "a", "b"), "r"))).alias("m"))
+    e = C.attach(S.explain(rows, shared, len(names), keep=["label"]), table, "corr")
+    e = e.withColumn("ranked", _ranked(_coefs(names), names)).withColumn("first", F.get("ranked", F.lit(0)))
+    r = lambda f: F.abs(F.element_at(F.col("corr.m"), F.concat_ws("~", "first", f)))
+    loose = F.filter(F.slice("ranked", 2, len(names)), lambda f: r(f) < 0.6)
+    e = e.withColumn("second", F.get(loose, F.lit(0)))
+    e = e.withColumn("top2_r", F.when(F.size("ranked") > 1, r(F.get("ranked", F.lit(1)))))
+    near = ((F.col("p") >= 0.5).cast("int") == F.col("label")) & (F.abs(F.col("p") - 0.5) < 0.15)
+    return e.select(
+        "row_id", "first", "second", F.array_position("ranked", F.col("second")).alias("second_rank"),
+        r6("top2_r").alias("top2_r"), (near & (F.col("top2_r") < 0.6)).alias("strict"),
+        (near & F.col("second").isNotNull()).alias("candidate"))
+
+
+def top3_agreement(spark, sf_dir):
+    """Per step h, over rows where the model moves: how many of the columns that move it most, three at
+    most, are among the explanation's first three of seven, and the share of rows where all of them are."""
+    hs = [0.1, 0.3, 1.0]
+    rows, shared, _, names = wide(spark, sf_dir, hs)
+    grads = {h: [f"{grad_name(h)}_{f}" for f in OF] for h in hs}
+    e = S.explain(rows, shared, len(names), keep=[n for g in grads.values() for n in g])
+    per_h = F.array(*[F.struct(F.lit(h).alias("h"), F.slice(_ranked([F.col(n) for n in grads[h]], OF), 1, 3).alias("moved"))
+                      for h in hs])
+    told = F.slice(_ranked(_coefs(names), names), 1, 3)
+    long = e.select(told.alias("told"), F.inline(per_h)).where(F.size("moved") > 0)
+    hit = F.size(F.array_intersect("told", "moved"))
+    return long.groupBy("h").agg(
+        tally(F.lit(True)).alias("n"), r6(F.avg(hit / F.size("moved"))).alias("top3"),
+        r6(share(hit == F.size("moved"))).alias("all_found"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -405,6 +464,6 @@ QUERIES = {
         kernel_radius, highest_weights, surrogate_fit, surrogate_r2, explain_row, explain_all,
         level_gap, explain_stability, fd_gradient, direction, direction_agreement, coef_vs_slope,
         kernel_deletion, topk_overlap, effects, contributions, fidelity_vs_confidence,
-        mechanism_checks, spanning_sample, extrapolation, decorrelated_pair,
+        mechanism_checks, spanning_sample, extrapolation, decorrelated_pair, second_axis, top3_agreement,
     )
 }

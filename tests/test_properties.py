@@ -18,6 +18,7 @@ from probewise.operators import envelope as E
 from probewise.operators import profiles as P
 from probewise.operators import slices as SL
 from probewise.operators import surrogate as S
+from probewise.plans import surrogate as plans
 from probewise.plans.basics import auc_and_accuracy
 from probewise.plans.scorers import DOC_STAIRS, ExpressionScorer, MLScorer, PandasScorer
 from probewise.sources import tables as T
@@ -503,3 +504,28 @@ def test_shuffled_records_of_a_sweep_do_not_depend_on_its_points(spark):
     few, many = (D.nearest_along(rows, space, D.Sweep(["a", "b"], "a", 0.0, 1.0, n), True).toPandas().set_index("row_id") for n in (20, 19 * 40 + 1))
     for i in range(300):
         assert np.allclose(few.d[i], np.array(many.d[i])[::40], atol=1e-9)
+
+
+def test_second_axis_and_top3_equal_plain_ranking(spark):
+    hs = [0.1, 0.3, 1.0]
+    rows, cloud, t, names = plans.wide(spark, SF, hs)
+    grads = [f"{plans.grad_name(h)}_{f}" for h in hs for f in plans.OF]
+    told = S.explain(rows, cloud, len(names), keep=["label", *grads]).toPandas()
+    corr = t.where("NOT is_test").select(*names).toPandas().corr().abs()
+    order = lambda values, of: [f for v, _, f in sorted((-abs(v), i, f) for i, (v, f) in enumerate(zip(values, of))) if v]
+    want, hits = {}, {h: [] for h in hs}
+    for r in told.to_dict("records"):
+        ranked = order(r["coef"], names)
+        loose = [f for f in ranked[1:] if corr.loc[ranked[0], f] < 0.6]
+        near = (r["p"] >= 0.5) == r["label"] and abs(r["p"] - 0.5) < 0.15
+        top2 = corr.loc[ranked[0], ranked[1]]
+        want[r["row_id"]] = (ranked[0], loose[0] if loose else None, ranked.index(loose[0]) + 1 if loose else None, near and top2 < 0.6, near and bool(loose))
+        for h in hs:
+            moved = order([r[f"{plans.grad_name(h)}_{f}"] for f in plans.OF], plans.OF)[:3]
+            if moved:
+                hits[h].append(len(set(moved) & set(ranked[:3])) / len(moved))
+    got = {r.row_id: (r.first, r.second, r.second_rank, r.strict, r.candidate) for r in plans.second_axis(spark, SF).collect()}
+    assert got == want
+    for r in plans.top3_agreement(spark, SF).collect():
+        assert r.n == len(hits[r.h]) and r.top3 == pytest.approx(np.mean(hits[r.h]), abs=1e-6)
+        assert r.all_found == pytest.approx(np.mean(np.array(hits[r.h]) == 1), abs=1e-6)
