@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -12,16 +13,21 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.operators.trees import Trees, TreeScorer, read_nodes
+from probewise.operators.forest import ForestFit
+from probewise.operators.trees import SCALE, Trees, TreeScorer, forest_nodes, read_nodes
 from probewise.plans.scorers import ExpressionScorer, MLScorer
 
 # fixed values: size and leaf limit of the forest, size and depth of the boosted model
-FOREST_TREES, FOREST_MIN_LEAF, SEEDS, FOLDS = 300, 3, 12, 10
+FOREST_TREES, FOREST_MIN_LEAF, FOREST_DEPTH, SEEDS, FOLDS = 300, 3, 30, 12, 10
 # split candidates per column: Spark's splitter bins columns, exact splits try every value
 FOREST_BINS = 256
+#: Training rows up to which Spark ML's own forest is fitted. It sums a histogram for every node over all
+#: tasks, so its time grows with the nodes; above, ``ForestFit`` grows the same kind of forest from cells.
+SPARK_FOREST_ROWS = 1000
 GBT_TREES, GBT_DEPTH = 100, 3
 
 
@@ -29,7 +35,7 @@ def forest(features: list[str], seed: int = 42, trees: int = FOREST_TREES) -> Pi
     """Deep trees with a leaf limit; Spark's own default stops at depth 5 and 20 trees."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     trees = RandomForestClassifier(
-        numTrees=trees, minInstancesPerNode=FOREST_MIN_LEAF, maxDepth=30, maxBins=FOREST_BINS, seed=seed
+        numTrees=trees, minInstancesPerNode=FOREST_MIN_LEAF, maxDepth=FOREST_DEPTH, maxBins=FOREST_BINS, seed=seed
     )
     return Pipeline(stages=[assembler, trees])
 
@@ -60,7 +66,7 @@ def fit_all(jobs: list[tuple[Pipeline, DataFrame]]) -> list:
 
 #: Node tables of this application's fits, under the rows and parameters they came from.
 _NODES: dict[tuple, pd.DataFrame] = {}
-_NODES_KEPT = 64
+_NODES_KEPT, _ROWS_KEPT = 64, 4_000_000
 
 
 def _rows_of(train: DataFrame) -> tuple:
@@ -78,6 +84,14 @@ def _fitted_nodes(est: Pipeline, train: DataFrame) -> pd.DataFrame:
     return read_nodes(trees._fit_java(train), train.sparkSession)
 
 
+def _grown_nodes(features: list[str], seeds: list[int], train: DataFrame, n: int) -> list[pd.DataFrame]:
+    """Nodes of forests with these seeds, all on the same cells; rows that Spark ML's assembler refuses are refused."""
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(train)
+    rows = rows.select("label", vector_to_array("features").alias("features"))
+    fit = ForestFit(rows, n, len(features), FOREST_TREES, FOREST_MIN_LEAF, FOREST_DEPTH, FOREST_BINS)
+    return [forest_nodes(fit.nodes(seed)) for seed in seeds]
+
+
 def fit_nodes(jobs: list[tuple[str, Pipeline, DataFrame]]) -> list[pd.DataFrame]:
     """The node tables of several tree ensembles (parameters as text, estimator, training rows); one that
     was fitted before in this application, on equal rows with equal parameters, is not fitted again."""
@@ -92,15 +106,47 @@ def fit_nodes(jobs: list[tuple[str, Pipeline, DataFrame]]) -> list[pd.DataFrame]
         with ThreadPool(min(len(new), 8)) as pool:
             _NODES.update(zip(new, pool.starmap(_fitted_nodes, new.values()), strict=True))
     found = [_NODES[k] for k in keys]
-    while len(_NODES) > _NODES_KEPT:
-        _NODES.pop(next(iter(_NODES)))
+    _forget()
     return found
 
 
+def _forget() -> None:
+    """Drop the oldest fits beyond ``_NODES_KEPT`` tables or ``_ROWS_KEPT`` nodes in all."""
+    while len(_NODES) > _NODES_KEPT or len(_NODES) > 1 and sum(map(len, _NODES.values())) > _ROWS_KEPT:
+        _NODES.pop(next(iter(_NODES)))
+
+
+def fit_forests(trains: list[DataFrame], features: list[str], seeds: list[int]) -> list[pd.DataFrame]:
+    """The node table of one forest for each pair of training rows and seed."""
+    rows = {id(t): _rows_of(t) for t in {id(t): t for t in trains}.values()}
+    name = lambda s: f"forest {features} {FOREST_TREES} {s}"
+    found: dict[int, pd.DataFrame] = {}
+    small = [k for k, t in enumerate(trains) if rows[id(t)][0] <= SPARK_FOREST_ROWS]
+    if small:
+        jobs = [(name(seeds[k]), forest(features, seeds[k]), trains[k]) for k in small]
+        found.update(zip(small, fit_nodes(jobs), strict=True))
+    app = trains[0].sparkSession.sparkContext.applicationId
+    key = lambda k: (app, *rows[id(trains[k])], name(seeds[k]))
+    large: dict[int, list[int]] = {}
+    for k, t in enumerate(trains):
+        if k not in found:
+            if key(k) in _NODES:
+                found[k] = _NODES[key(k)]
+            else:
+                large.setdefault(id(t), []).append(k)
+    # every table's fit has work for all tasks, but short steps between; a few overlap
+    with ThreadPool(min(len(large), 4) or 1) as pool:
+        made = pool.map(lambda ks: _grown_nodes(features, [seeds[k] for k in ks], trains[ks[0]], rows[id(trains[ks[0]])][0]), large.values())
+    for ks, nodes in zip(large.values(), made, strict=True):
+        found.update(zip(ks, nodes, strict=True))
+        _NODES.update({key(k): found[k] for k in ks})
+    _forget()
+    return [found[k] for k in range(len(trains))]
+
+
 def forests(trains: list[DataFrame], features: list[str], seeds: list[int]) -> Trees:
     """One forest for each pair of training rows and seed, as one set of models."""
-    jobs = [(f"forest {features} {FOREST_TREES} {s}", forest(features, s), t) for t, s in zip(trains, seeds, strict=True)]
-    return Trees(fit_nodes(jobs))
+    return Trees(fit_forests(trains, features, seeds))
 
 
 def tree_scorer(train: DataFrame, features: list[str], seeds: list[int] | None = None) -> TreeScorer:
@@ -114,9 +160,21 @@ def boosted_scorer(train: DataFrame, features: list[str]) -> ExpressionScorer:
     return Trees(fit_nodes([(f"boosted {features} {GBT_TREES}", boosted(features), train)])).expression(features)
 
 
-def importances(model, features: list[str], spark) -> DataFrame:
-    """One row per feature; ranks break ties by feature position."""
-    values = model.stages[-1].featureImportances.toArray()
+def importances(nodes: pd.DataFrame, features: list[str], spark) -> DataFrame:
+    """One row per feature: the gini gain of its nodes times their weight, a share of each tree's and then of
+    all; ranks break ties by feature position."""
+    mass = nodes["weight"].to_numpy()
+    p = nodes["value"].to_numpy() / SCALE
+    impure = mass * 2.0 * p * (1.0 - p)
+    first = np.searchsorted(nodes["tree"], nodes["tree"])
+    on = np.flatnonzero(nodes["feature"] >= 0)
+    left, right = (first[on] + nodes[c].to_numpy()[on] for c in ("left", "right"))
+    gained = np.zeros((nodes["tree"].max() + 1, len(features)))
+    # a leaf's vote is that of its rows, and so is an inner node's
+    np.add.at(gained, (nodes["tree"].to_numpy()[on], nodes["feature"].to_numpy()[on]), impure[on] - impure[left] - impure[right])
+    whole = gained.sum(1, keepdims=True)
+    values = np.divide(gained, whole, out=np.zeros_like(gained), where=whole > 0).sum(0)
+    values = values / (values.sum() or 1.0)
     order = sorted(range(len(features)), key=lambda i: (-values[i], i))
     rows = [(features[i], float(values[i]), r + 1) for r, i in enumerate(order)]
     return spark.createDataFrame(rows, "feature string, importance double, rank int")

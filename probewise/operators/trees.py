@@ -25,32 +25,40 @@ from probewise.functions.materialise import shared_folder
 from probewise.plans.scorers import ExpressionScorer, RowScorer
 
 SCALE = float(1 << 40)
-#: Boxes that a block of rows may open at once, and bytes of its grid of sums.
-BOXES, GRID_BYTES = 1 << 21, 64 << 20
+#: Boxes that are followed at once (more wait their turn), and bytes of a block's grid of sums.
+BOXES, GRID_BYTES = 1 << 18, 64 << 20
 
 
 def read_nodes(model, spark) -> pd.DataFrame:
     """One row per node of a fitted ensemble, Spark ML's or its Java side alone: tree, id, feature (-1 at leaves), threshold, left, right,
-    value (in 2^-40) and the boosted flag. A forest's leaf votes with its share of class 1."""
+    value (in 2^-40), weight (of the training rows) and the boosted flag. A forest's leaf votes with its share of class 1."""
     path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
     java = model._java_obj if isinstance(model, JavaWrapper) else model
     java.save(path)
     stored = spark.read.parquet(f"{path}/data")
     boosted = java.getClass().getSimpleName().startswith("GBT")
     node, stats = F.col("nodeData"), F.col("nodeData.impurityStats")
-    vote = node["prediction"] if boosted else F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    weight = F.get(stats, F.lit(0)) if boosted else F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    vote = node["prediction"] if boosted else F.get(stats, F.lit(1)) / weight
     found = stored.select(
         F.col("treeID").alias("tree"), node["id"].alias("id"),
         F.when(node["leftChild"] < 0, -1).otherwise(node["split"]["featureIndex"]).alias("feature"),
         F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        node["leftChild"].alias("left"), node["rightChild"].alias("right"), vote.alias("vote"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), vote.alias("vote"), weight.alias("weight"),
     ).toPandas()
-    weight = np.array(java.treeWeights() if boosted else [1.0] * java.getNumTrees())
-    found["value"] = np.round(found["vote"] * weight[found["tree"]] * SCALE).astype("int64")
+    of_tree = np.array(java.treeWeights() if boosted else [1.0] * java.getNumTrees())
+    found["value"] = np.round(found["vote"] * of_tree[found["tree"]] * SCALE).astype("int64")
     found["boosted"] = boosted
     return found.drop(columns="vote").sort_values(["tree", "id"], ignore_index=True)
 
 
+def forest_nodes(grown: pd.DataFrame) -> pd.DataFrame:
+    """The same table from a forest grown on cells, whose nodes hold ``n0`` and ``n1`` drawn rows."""
+    weight = (grown["n0"] + grown["n1"]).to_numpy(float)
+    vote = np.divide(grown["n1"].to_numpy(float), weight, out=np.zeros(len(grown)), where=weight > 0)
+    return grown.drop(columns=["n0", "n1"]).assign(value=np.round(vote * SCALE).astype(np.int64), weight=weight, boosted=False)
+
+
 class Trees:
     """Tree ensembles over the same columns, one or several models with a number each."""
 
@@ -70,14 +78,14 @@ class Trees:
             raise ValueError("nodes of a tree are numbered from 0 without gaps")
         self.feature = every["feature"].to_numpy(np.int32)
         self.threshold = every["threshold"].to_numpy(float)
-        self.left = every["left"].to_numpy(np.int64) + offset
-        self.right = every["right"].to_numpy(np.int64) + offset
+        self.left = (every["left"].to_numpy() + offset).astype(np.int32)
+        self.right = (every["right"].to_numpy() + offset).astype(np.int32)
         self.value = every["value"].to_numpy(np.int64)
         self.model = np.array(model)
         self.models = len(nodes)
         self.counts = np.bincount(self.model)
         # thresholds of a column in order, and each node's place among its column's
-        self.cuts, self.place = {}, np.zeros(len(every), np.int64)
+        self.cuts, self.place = {}, np.zeros(len(every), np.int32)
         for f in np.unique(self.feature[self.feature >= 0]):
             on = self.feature == f
             self.cuts[int(f)], self.place[on] = np.unique(self.threshold[on], return_inverse=True)
@@ -107,7 +115,14 @@ class Trees:
         rows, t = len(x), len(self.roots)
         row, node, model = np.repeat(np.arange(rows), t), np.tile(self.roots, rows), np.tile(self.model, rows)
         box = [(np.zeros(len(row), np.int64), np.full(len(row), n)) for n in sizes]
-        while len(node):
+        later = []
+        while len(node) or later:
+            if not len(node):
+                row, node, model, box = later.pop()
+            while len(node) > BOXES:
+                half = len(node) // 2
+                later.append((row[half:], node[half:], model[half:], [(a[half:], b[half:]) for a, b in box]))
+                row, node, model, box = row[:half], node[:half], model[:half], [(a[:half], b[:half]) for a, b in box]
             f = self.feature[node]
             leaf = f < 0
             if leaf.any():
@@ -137,7 +152,7 @@ class Trees:
         return np.array([np.searchsorted(row, at, "right") for row in z], np.int64).reshape(len(z), len(at))
 
     def _blocks(self, rows: int, bytes_a_row: int) -> Iterator[slice]:
-        step = max(1, min(BOXES // len(self.feature), GRID_BYTES // bytes_a_row))
+        step = max(1, min(BOXES // len(self.roots), GRID_BYTES // bytes_a_row))
         for a in range(0, rows, step):
             yield slice(a, min(rows, a + step))
 

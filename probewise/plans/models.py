@@ -72,8 +72,8 @@ def rf_metrics(spark, sf_dir):
 
 def importance_topk(spark, sf_dir):
     t = _docs(spark, sf_dir)
-    model = _fit(t, lambda _: M.forest(DOCS)).model
-    return M.importances(model, DOCS, spark).where(F.col("rank") <= 2)
+    nodes = M.fit_forests([_train(t)], DOCS, [42])[0]
+    return M.importances(nodes, DOCS, spark).where(F.col("rank") <= 2)
 
 
 def oof_scores(spark, sf_dir):
