@@ -308,7 +308,8 @@ class ForestFit:
         lower = cells.mapInPandas(dealt, "tree int, top int, bins binary, w binary").groupBy("tree", "top").applyInPandas(
             finished, f"tree int, top int, {spec}")
         parts: dict[int, dict[int, pd.DataFrame]] = {t: {} for t in range(trees)}
-        for r in lower.toLocalIterator(prefetchPartitions=True):
+        # the model itself, which is on the driver as Spark ML's own are
+        for r in lower.collect():
             parts[r.tree][r.top] = pd.DataFrame({c: np.frombuffer(r[c], d) for c, d in _PACKED.items()})
         made = [self._whole(tops.trees[t], parts[t]).assign(tree=np.int32(t)) for t in range(trees)]
         every = pd.concat(made, ignore_index=True)
