@@ -17,6 +17,11 @@ def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Mean of values that stand for ``weight`` rows each, nulls left out."""
+    return F.sum(value * weight) / F.sum(F.when(value.isNotNull(), weight))
+
+
 def tally(condition: Column) -> Column:
     return F.sum(condition.cast("long"))
 

@@ -78,11 +78,12 @@ def average_ranks(df: DataFrame, value: str, keys=(), out: str = "rank") -> Data
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, qs: list[float], keys=(), out: str = "q"
+    df: DataFrame, value: str, qs: list[float], keys=(), out: str = "q", weight: str | None = None
 ) -> DataFrame:
-    """One row per key: array ``out`` of linearly interpolated quantiles, and ``n_rows``."""
+    """One row per key: array ``out`` of linearly interpolated quantiles, and ``n_rows``. ``weight`` names
+    the number of rows that a row stands for."""
     keys = list(keys)
-    measures = {"n": F.lit(1).cast("long")}
+    measures = {"n": F.lit(1).cast("long") if weight is None else F.col(weight)}
     placed, offsets = _place(df, value, keys, measures)
     position = [F.lit(float(q)) * (F.col("n_total") - 1) for q in qs]
     wanted = [f(h) for h in position for f in (F.floor, F.ceil)]
@@ -111,8 +112,8 @@ def exact_quantiles(
     return picked.select(*keys, "n_rows", F.array(*values).alias(out))
 
 
-def exact_median(df: DataFrame, value: str, keys=(), out: str = "median") -> DataFrame:
-    return exact_quantiles(df, value, [0.5], keys).select(
+def exact_median(df: DataFrame, value: str, keys=(), out: str = "median", weight: str | None = None) -> DataFrame:
+    return exact_quantiles(df, value, [0.5], keys, weight=weight).select(
         *keys, "n_rows", F.col("q")[0].alias(out)
     )
 

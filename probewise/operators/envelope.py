@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probewise.functions.numeric import ratio
 from probewise.functions.ranks import exact_quantiles
+from probewise.operators.profiles import point_sql, wide_sql
 
 
 def ratio_bounds(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -36,6 +37,38 @@ def outside_keep_zero(z: Column, partner: Column, lo: Column, hi: Column) -> Col
     return F.coalesce(outside(z, partner, lo, hi), F.lit(False))
 
 
+def count_outside(sweeps: DataFrame, n: int, partner: str, low: str, high: str, out: str = "n_out") -> DataFrame:
+    """The sweeps with the number of their ``n`` grid points whose ratio to ``partner`` leaves the band, null
+    for a zero partner.
+
+    Along a grid the ratio rises, or falls for a negative partner, so it passes either end of the band once.
+    Where it does follows by arithmetic and is set right by the points beside it; grids too narrow for that
+    are counted point by point.
+    """
+    last = n - 1
+    divisor = f"nullif({partner}, 0e0)"
+
+    def place(bound: str) -> str:
+        at = f"({bound} * {partner} - lo) / nullif((hi - lo) / {last}, 0e0)"
+        return f"cast(ceil(least(greatest({at}, 0e0), {n}e0)) as int)"
+
+    def first(guess: str, test: str) -> str:
+        """The first index whose ratio passes the test, ``n`` if none."""
+        at = lambda i: f"({point_sql(f'({i})', n)}) / {divisor} {test}"
+        return (f"({guess} + CASE WHEN {guess} > 0 AND {at(f'{guess} - 1')} THEN -1"
+                f" WHEN {guess} < {n} AND NOT {at(guess)} THEN 1 ELSE 0 END)")
+
+    ratio_at = f"({point_sql('k', n)}) / {divisor}"
+    rising = f"{first('_at_low', f'>= {low}')} + {n} - {first('_at_high', f'> {high}')}"
+    falling = f"{first('_at_high', f'<= {high}')} + {n} - {first('_at_low', f'< {low}')}"
+    one_by_one = f"size(filter(sequence(0, {last}), k -> {ratio_at} < {low} OR {ratio_at} > {high}))"
+    found = sweeps.withColumns({"_at_low": F.expr(place(low)), "_at_high": F.expr(place(high))})
+    return found.withColumn(out, F.expr(
+        f"CASE WHEN {divisor} IS NULL OR {low} IS NULL OR lo IS NULL OR hi IS NULL THEN NULL"
+        f" WHEN NOT {wide_sql()} THEN {one_by_one} WHEN {partner} > 0 THEN {rising} ELSE {falling} END"
+    ).cast("long")).drop("_at_low", "_at_high")
+
+
 def partner_pairs(partners: DataFrame) -> list[tuple[str, str]]:
     """Feature and partner names for building columns: one pair per feature."""
     return [(r.feature, r.partner) for r in partners.orderBy("feature").collect()]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probewise.functions.numeric import spread
+from probewise.functions.numeric import spread, weighted_mean
 from probewise.operators.columns import attach
 
 MOVES = 1e-9
@@ -68,13 +68,72 @@ def sweep_rows(
     return attach(narrow, stats).select(*rows.columns, F.inline(F.array(*entries)))
 
 
-def grid_points(sweeps: DataFrame, n: int | str) -> DataFrame:
-    """Explode the grid index (``n`` points, or a column of that name) and add z."""
+def grid_points(sweeps: DataFrame, n: int | str, at: Column | None = None) -> DataFrame:
+    """Explode the grid index (``n`` points, or a column of that name) and add z. ``at`` lists the indices
+    wanted where not all are."""
     top = F.lit(n - 1) if isinstance(n, int) else F.col(n) - 1
-    indexed = sweeps.withColumn("grid_idx", F.explode(F.sequence(F.lit(0), top)))
+    # lists of indices are never empty; the outer form spares working them out once more to see that
+    each = F.explode(F.sequence(F.lit(0), top)) if at is None else F.explode_outer(at)
+    indexed = sweeps.withColumn("grid_idx", each)
     return indexed.withColumn("z", F.expr(point_sql("grid_idx", n)))
 
 
+def wide_sql(lo: str = "lo", hi: str = "hi") -> str:
+    """Is a grid wide enough that an index found by arithmetic is at most one off?"""
+    return f"coalesce({hi} - {lo} > 1e-6 * greatest(abs({lo}), abs({hi})), false)"
+
+
+def piece_starts(edges: str, n: int | str, lo: str = "lo", hi: str = "hi") -> Column:
+    """Grid indices, ascending, at which a curve may take a new value that only steps at the values in the
+    array column ``edges`` (z > edge); 0 is the first.
+
+    An index follows from the place of its edge and is set right by the grid values beside it. A grid too
+    narrow for that gives all its indices.
+    """
+    last = _top(n)
+    z = lambda i: point_sql(f"({i})", n, lo, hi)
+    guess = f"least(greatest(cast(floor((e - {lo}) / (({hi} - {lo}) / {last})) as int) + 1, 1), {last})"
+    found = (
+        f"transform(transform(filter({edges}, e -> e >= {lo} AND e < {hi}), e -> struct(e AS e, {guess} AS i)),"
+        f" s -> s.i + CASE WHEN {z('s.i')} <= s.e THEN 1 WHEN {z('s.i - 1')} > s.e THEN -1 ELSE 0 END)"
+    )
+    return F.expr(
+        f"CASE WHEN {last} > 0 AND {wide_sql(lo, hi)} THEN array_sort(array_distinct(concat(array(0), {found})))"
+        f" ELSE sequence(0, {last}) END"
+    )
+
+
+def with_ends(starts: str) -> Column:
+    """The first and the last index of every piece but the last one, whose last index is left out."""
+    return F.expr(f"array_distinct(concat({starts}, filter(transform({starts}, s -> s - 1), s -> s >= 0)))")
+
+
+def steps_only(scorer, features: list[str]) -> bool:
+    """Are all steps of the scorer along these features known?"""
+    edges = getattr(scorer, "edges", {})
+    return bool(edges) and all(f in edges or f not in scorer.features for f in features)
+
+
+def edges_of(scorer, features: list[str]) -> Column:
+    """The edges of the swept feature (column ``feature``)."""
+    none = F.array().cast("array<double>")
+    if len(features) == 1:
+        return F.array(*scorer.edge_columns(features[0])) if features[0] in scorer.features else none
+    picked = [F.when(F.col("feature") == f, F.array(*scorer.edge_columns(f))) for f in features if f in scorer.features]
+    return F.coalesce(*picked, none)
+
+
+def alike(rows: DataFrame, scorer, swept: list[str]) -> DataFrame:
+    """Rows that the scorer cannot tell apart once ``swept`` is overwritten, as one row each: ``cell``, the
+    scorer's other features, ``weight`` (rows) and ``curves`` (row ids)."""
+    others = [f for f in scorer.features if f not in swept]
+    cell = F.struct(*[scorer.seen_column(f).alias(f) for f in others]).alias("cell")
+    # rows are dealt by row_id already, so the first grouping adds no shuffle
+    each = rows.groupBy("row_id", cell).agg(*[F.min(f).alias(f) for f in others], F.count(F.lit(1)).alias("weight"))
+    return each.groupBy("cell").agg(
+        *[F.min(f).alias(f) for f in others], F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("curves"))
+
+
 def cp_profiles(
     rows: DataFrame,
     stats: DataFrame,
@@ -95,14 +154,21 @@ def with_next(points: DataFrame, n: int | str) -> DataFrame:
 
 def profile_summary(
     sweeps: DataFrame, scorer, features: list[str], n: int | str = 200,
-    keys=("row_id", "feature"), extra=(), big: float = 0.01,
+    keys=("row_id", "feature"), extra=(), big: float = 0.01, fixed=(),
 ) -> DataFrame:
     """One row per curve: swing, crossing of 0.5, number of steps above ``big``, the largest
-    step with the edges it runs between, and any ``extra`` aggregates of the points.
+    step with the edges it runs between, any ``extra`` aggregates of the points, and any ``fixed`` ones of
+    columns that all points of a curve share.
 
-    Rows are partitioned by ``row_id`` before the explosion, so the grouping adds no shuffle.
+    Rows are partitioned by ``row_id`` before the explosion, so the grouping adds no shuffle. Of a scorer that
+    only steps, the points beside its edges are scored: between them nothing changes.
     """
-    points = with_next(grid_points(sweeps, n), n)
+    at = None
+    if steps_only(scorer, features) and not extra:
+        sweeps = sweeps.withColumn("_edges", edges_of(scorer, features))
+        sweeps = sweeps.withColumn("_starts", piece_starts("_edges", n)).drop("_edges")
+        at = with_ends("_starts")
+    points = with_next(grid_points(sweeps, n, at), n)
     points = scorer.score_at(points, "z", features, "p")
     points = scorer.score_at(points, "z_next", features, "p_next")
     step = F.abs(F.col("p_next") - F.col("p"))
@@ -124,6 +190,7 @@ def profile_summary(
         F.max("lo").alias("_lo"),
         F.max("hi").alias("_hi"),
         *extra,
+        *fixed,
     )
     step_idx = F.col("_points") - 1 - F.col("_code") % F.col("_points")
     curves = curves.withColumn("step_idx", step_idx.cast("long"))
@@ -144,7 +211,7 @@ def exact_summary(sweeps: DataFrame, scorer, feature: str) -> DataFrame:
     The pieces between the edges inside a sweep are scored once each, in an array of the row. Of equal
     steps the first counts; a curve without an edge has no step: largest 0, step_left null.
     """
-    edges = F.array(*[F.lit(float(e)) for e in scorer.edges[feature]])
+    edges = F.array(*scorer.edge_columns(feature))
     inside = F.filter(edges, lambda e: (e >= F.col("lo")) & (e < F.col("hi")))
     found = sweeps.withColumn("_edges", inside)
     # a piece ends at its edge, which still belongs to it; the last one ends with the sweep
@@ -181,21 +248,29 @@ def slope_points(sweeps: DataFrame, scorer, features: list[str], n: int | str) -
     return points.withColumn("slope", slope)
 
 
-def bundle_summary(points: DataFrame, keys=("feature",)) -> DataFrame:
+def bundle_summary(points: DataFrame, keys=("feature",), weight: str | None = None) -> DataFrame:
     """One pass over a bundle with slopes to one row per grid point.
 
     Up and down movers are counted apart, so who moves against the average is known once
-    the average slope is, without a second pass.
+    the average slope is, without a second pass. ``weight`` names the number of rows that a point stands for;
+    such points are few, and their spread is taken around the average.
     """
     slope = F.col("slope")
+    if weight is None:
+        of, mean, spread_of = F.lit(1).cast("long"), F.avg, F.stddev_pop(slope)
+    else:
+        of, mean = F.col(weight), lambda c: weighted_mean(F.col(c) if isinstance(c, str) else c, F.col(weight))
+        points = points.withColumn("_mean", F.sum(slope * of).over(Window.partitionBy(*keys, "grid_idx"))
+                                   / F.sum(F.when(slope.isNotNull(), of)).over(Window.partitionBy(*keys, "grid_idx")))
+        spread_of = F.sqrt(mean((slope - F.col("_mean")) * (slope - F.col("_mean"))))
     per_point = points.groupBy(*keys, "grid_idx").agg(
         F.min("z").alias("z"),
-        F.count(F.lit(1)).alias("n"),
-        F.avg("p").alias("pdp"),
-        F.avg(slope).alias("mean_slope"),
-        F.stddev_pop(slope).alias("sd_slope"),
-        F.sum((slope > MOVES).cast("long")).alias("up"),
-        F.sum((slope < -MOVES).cast("long")).alias("down"),
+        F.sum(of).alias("n"),
+        mean("p").alias("pdp"),
+        mean(slope).alias("mean_slope"),
+        spread_of.alias("sd_slope"),
+        F.sum((slope > MOVES).cast("long") * of).alias("up"),
+        F.sum((slope < -MOVES).cast("long") * of).alias("down"),
     )
     moving = F.col("up") + F.col("down")
     against = (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probewise.functions.materialise import materialise
-from probewise.functions.numeric import r6, share, spread, tally
+from probewise.functions.numeric import r6, share, tally, weighted_mean
 from probewise.functions.ranks import exact_median, exact_quantiles, t_statistic
 from probewise.functions.student import p_value
 from probewise.operators import columns as C
@@ -217,13 +217,16 @@ def ice_grid_robustness(spark, sf_dir):
                            for n in (40, 120, 400)])))
     trimmed = trimmed_bounds(t, stats, "qty").withColumn("n", F.lit(120))
     grids = full.unionByName(trimmed).agg(F.collect_list(F.struct("*")).alias("grids"))
-    rows = C.attach(spread(t, "row_id"), grids, "g").select(*t.columns, F.inline("g.grids"))
+    # the grids are the same for all rows, so rows that the scorer cannot tell apart share their curve
+    cells = materialise(P.alike(t, ORDER_STAIRS, ["qty"]))
+    rows = C.attach(cells, grids, "g").select(*cells.columns, F.inline("g.grids"))
     points = P.slope_points(rows, ORDER_STAIRS, ["qty"], "n")
-    b = P.bundle_summary(points, ["grid_name"])
-    ranges = materialise(
-        points.groupBy("row_id", "grid_name").agg((F.max("p") - F.min("p")).alias("range")))
-    flat = ranges.groupBy("grid_name").agg(share(F.col("range") < P.FLAT).alias("flat"))
-    median = exact_median(ranges, "range", ["grid_name"])
+    b = P.bundle_summary(points, ["grid_name"], "weight")
+    ranges = materialise(points.groupBy("cell", "grid_name").agg(
+        (F.max("p") - F.min("p")).alias("range"), F.max("curves").alias("curves")))
+    is_flat = (F.col("range") < P.FLAT).cast("double")
+    flat = ranges.groupBy("grid_name").agg(weighted_mean(is_flat, F.col("curves")).alias("flat"))
+    median = exact_median(ranges, "range", ["grid_name"], weight="curves")
     table = flat.join(median, "grid_name").join(P.steepest(b, ["grid_name"]), "grid_name")
     return table.select("grid_name", *[r6(c).alias(c) for c in ("flat", "median", "against_at_steepest")])
 
@@ -244,12 +247,16 @@ def interaction_curves(spark, sf_dir, strengths: list[float]) -> DataFrame:
     """The bundle of a scorer whose effect is flipped to a set degree, per strength."""
     t = T.order_features(spark, sf_dir, ["qty", "gross"])
     stats = C.column_stats(t, ["qty", "gross"])
-    rows = P.sweep_rows(t, stats, ["qty"]).withColumn(
+    scorer = interaction_scorer("strength")
+    # the grid is the same for all rows, so rows that the scorer cannot tell apart share their curve
+    cells = materialise(P.alike(t, scorer, ["qty"]))
+    rows = C.attach(cells, stats).withColumns({"lo": F.col("st.qty_min"), "hi": F.col("st.qty_max")}).withColumn(
         "strength", F.explode(F.array(*[F.lit(a) for a in strengths])))
-    points = P.slope_points(rows, interaction_scorer("strength"), ["qty"], N)
-    b = P.bundle_summary(points, ["strength"])
-    ranges = points.groupBy("row_id", "strength").agg((F.max("p") - F.min("p")).alias("range"))
-    median = exact_median(ranges, "range", ["strength"])
+    points = P.slope_points(rows, scorer, ["qty"], N)
+    b = P.bundle_summary(points, ["strength"], "weight")
+    ranges = points.groupBy("cell", "strength").agg(
+        (F.max("p") - F.min("p")).alias("range"), F.max("curves").alias("curves"))
+    median = exact_median(ranges, "range", ["strength"], weight="curves")
     swing = b.groupBy("strength").agg((F.max("pdp") - F.min("pdp")).alias("pdp_swing"),
                                       F.max("against_share").alias("max_against"))
     table = swing.join(median, "strength").join(P.steepest(b, ["strength"]), "strength")

@@ -204,8 +204,10 @@ def cp_feature_summary(spark, sf_dir):
     sweeps = P.sweep_rows(rows, stats, names, span=2.5).withColumns({
         "partner_value": E.partner_value(pairs), "_rlo": E.by_feature(pairs, "band", "lo"),
         "_rhi": E.by_feature(pairs, "band", "hi")})
-    out = E.outside_keep_zero(F.col("z"), F.col("partner_value"), F.col("_rlo"), F.col("_rhi"))
-    s = P.profile_summary(sweeps, ORDER_STAIRS, names, 200, extra=[share(out).alias("impossible")])
+    # with a zero partner every point counts as possible
+    sweeps = E.count_outside(sweeps, 200, "partner_value", "_rlo", "_rhi")
+    impossible = F.avg(F.coalesce("n_out", F.lit(0)) / 200).alias("impossible")
+    s = P.profile_summary(sweeps, ORDER_STAIRS, names, 200, fixed=[impossible])
     return s.select("row_id", "feature", r6("impossible").alias("impossible"),
                     r6("swing").alias("swing"))
 

@@ -18,12 +18,27 @@ from pyspark.sql.types import DoubleType
 
 
 class ExpressionScorer:
-    """``edges`` names, for a scorer that only steps, the values of a feature at which it does (z > edge)."""
+    """``edges`` names, for a scorer that only steps, the values of a feature at which it does (z > edge),
+    as numbers or SQL text; ``seen`` is SQL for what a scorer reads of a feature where that is less than its value."""
 
-    def __init__(self, template: str, features: list[str], edges: dict[str, list[float]] | None = None):
+    def __init__(
+        self, template: str, features: list[str], edges: dict[str, list[float | str]] | None = None,
+        seen: dict[str, str] | None = None,
+    ):
         self.template = template
         self.features = features
         self.edges = edges or {}
+        self.seen = seen or {}
+
+    def edge_columns(self, feature: str) -> list[Column]:
+        return [F.expr(e) if isinstance(e, str) else F.lit(float(e)) for e in self.edges[feature]]
+
+    def seen_column(self, feature: str) -> Column:
+        """Equal for values of the feature that the scorer cannot tell apart."""
+        if feature in self.seen:
+            return F.expr(self.seen[feature])
+        passed = [F.when(F.col(feature) > e, 1).otherwise(0) for e in self.edge_columns(feature)]
+        return sum(passed, F.lit(0))
 
     def sql(self, replace: dict[str, str] | None = None) -> str:
         return self.template.format(**{f: f for f in self.features} | (replace or {}))
@@ -138,11 +153,15 @@ def stair_edges(stairs: list[tuple]) -> dict[str, list[float]]:
     return {f: [round(start + gap * i, 6) for i in range(count)] for f, start, gap, count, _ in stairs}
 
 
+_ORDER_STAIRS = [("qty", 15.5, 19.7, 12, 0.032), ("gross", 60000.25, 81000.0, 6, -0.038)]
+_ORDER_EDGES = stair_edges(_ORDER_STAIRS)
+
 ORDER_STAIRS = ExpressionScorer(
-    staircase(0.40, [("qty", 15.5, 19.7, 12, 0.032), ("gross", 60000.25, 81000.0, 6, -0.038)])
+    staircase(0.40, _ORDER_STAIRS)
     + " + (CASE WHEN {avg_disc} > 0.0525e0 AND {qty} > 110.25e0 THEN (-0.13e0) ELSE 0e0 END)"
     + " + (CASE WHEN {avg_disc} > 0.0305e0 THEN 0.05e0 ELSE 0e0 END)",
     ["qty", "gross", "avg_disc"],
+    _ORDER_EDGES | {"qty": sorted([*_ORDER_EDGES["qty"], 110.25]), "avg_disc": [0.0305, 0.0525]},
 )
 
 ORDER_LOGIT = ExpressionScorer(
@@ -169,8 +188,9 @@ DOC_LOGIT = ExpressionScorer(
 
 def doc_stairs_shifted(seed: str) -> ExpressionScorer:
     """The document staircase with every edge moved by ``seed``: stands for a refit."""
-    text = staircase(0.38, _DOC_STAIRS, shift=f" + 1.71e0 * {seed}")
-    return ExpressionScorer(text, ["n_words", "n_chars"])
+    shift = f" + 1.71e0 * {seed}"
+    edges = {f: [f"{number(e)}{shift}" for e in at] for f, at in stair_edges(_DOC_STAIRS).items()}
+    return ExpressionScorer(staircase(0.38, _DOC_STAIRS, shift=shift), ["n_words", "n_chars"], edges)
 
 
 def interaction_scorer(strength: str) -> ExpressionScorer:
@@ -179,4 +199,4 @@ def interaction_scorer(strength: str) -> ExpressionScorer:
         "1e0 / (1e0 + exp(-2e0 * (({qty} - 103e0) / 57e0)"
         f" * ((1e0 - {strength}) + {strength} * sign({{gross}} - 200000.5e0))))"
     )
-    return ExpressionScorer(text, ["qty", "gross"])
+    return ExpressionScorer(text, ["qty", "gross"], seen={"gross": "sign(gross - 200000.5e0)"})

@@ -32,9 +32,11 @@ def _share_per_row(spark, sf_dir, band_of):
     t = T.order_features(spark, sf_dir, ["qty", "list_value"])
     stats = C.column_stats(t, ["qty"])
     rows = C.attach(t, band_of(t), "band")
-    points = P.grid_points(P.sweep_rows(rows, stats, ["qty"], span=2.5), 200)
-    out = E.outside_keep_zero(F.col("z"), F.col("list_value"), F.col("band.qty_lo"), F.col("band.qty_hi"))
-    return points.groupBy("row_id").agg(tally(out).alias("n_impossible"), share(out).alias("impossible"))
+    sweeps = E.count_outside(P.sweep_rows(rows, stats, ["qty"], span=2.5), 200, "list_value", "band.qty_lo", "band.qty_hi")
+    # with a zero partner every point counts as possible
+    sweeps = sweeps.withColumn("n_out", F.coalesce("n_out", F.lit(0)))
+    return sweeps.groupBy("row_id").agg(
+        F.sum("n_out").alias("n_impossible"), (F.sum("n_out") / (F.count(F.lit(1)) * 200)).alias("impossible"))
 
 
 def impossible_share(spark, sf_dir):
@@ -77,11 +79,11 @@ def _all_features(spark, sf_dir, names, span) -> DataFrame:
     sweeps = P.sweep_rows(rows, stats, names, span=span).withColumns({
         "partner_value": E.partner_value(pairs), "_lo": E.by_feature(pairs, "band", "lo"),
         "_hi": E.by_feature(pairs, "band", "hi")})
-    points = P.grid_points(sweeps, 200 if span else 120)
+    n = 200 if span else 120
+    sweeps = E.count_outside(sweeps, n, "partner_value", "_lo", "_hi")
     # rows with a zero partner give NULL and drop out of the average; the feature stays
-    out = E.outside(F.col("z"), F.col("partner_value"), F.col("_lo"), F.col("_hi"))
-    shares = points.groupBy("feature").agg(
-        share(out).alias("impossible"), F.max("_lo").alias("lo"), F.max("_hi").alias("hi"))
+    shares = sweeps.groupBy("feature").agg(
+        (F.sum("n_out") / (F.count("n_out") * n)).alias("impossible"), F.max("_lo").alias("lo"), F.max("_hi").alias("hi"))
     wide = F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")).otherwise(F.lit(float("inf")))
     return shares.join(partners, "feature").withColumns({"abs_r": F.abs("r"), "band": wide})
 
