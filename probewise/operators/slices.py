@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from probewise.functions.numeric import spread
 from probewise.operators.columns import attach
-from probewise.operators.profiles import point_sql, span_bounds
+from probewise.operators.profiles import piece_starts, point_sql, span_bounds
 
 WINDOW = 1.5
 
@@ -18,12 +18,40 @@ def windowed(rows: DataFrame, stats: DataFrame, fx: str, fy: str, window: float
     for axis, f in (("x", fx), ("y", fy)):
         lo, hi = span_bounds(f, window)
         bounds |= {f"lo_{axis}": lo, f"hi_{axis}": hi, f"std_{axis}": F.col(f"st.{f}_std")}
-    return attach(spread(rows, "row_id"), stats).withColumns(bounds).drop("st")
+    # a generator of one row is evaluated once; as plain columns the bounds would be copied into all that use them
+    one = F.inline(F.array(F.struct(*[c.alias(name) for name, c in bounds.items()])))
+    return attach(spread(rows, "row_id"), stats).select(*rows.columns, one)
 
 
-def cells(windows: DataFrame, nx: int, ny: int) -> DataFrame:
-    grid = windows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
-    grid = grid.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
+def pieces(windows: DataFrame, scorer, axes: dict[str, tuple[str, int]]) -> DataFrame:
+    """``starts_x``, ``starts_y`` for the axes given as (feature, grid size): the first indices of the pieces
+    into which the edges of a scorer that only steps cut the axis. On a product of pieces it is constant."""
+    cut = {f"_edges_{a}": F.array(*scorer.edge_columns(f)) for a, (f, _) in axes.items()}
+    starts = {f"starts_{a}": piece_starts(f"_edges_{a}", n, f"lo_{a}", f"hi_{a}") for a, (_, n) in axes.items()}
+    return windows.withColumns(cut).withColumns(starts).drop(*cut)
+
+
+def runs(starts: str, n: int) -> Column:
+    """(at, many) of each piece: its first index and its length."""
+    ends = f"concat(slice({starts}, 2, size({starts})), array({n}))"
+    return F.expr(f"zip_with({starts}, {ends}, (s, e) -> struct(s AS at, e - s AS many))")
+
+
+def contour_indices(axis: str, own: str, n: int) -> Column:
+    """Indices of an axis that a cell of the contour nearest to the row can have: both ends of a piece, where the
+    surface steps or a stretch of contour ends, and those around the row's own value ``own``."""
+    lo, hi, starts = f"lo_{axis}", f"hi_{axis}", f"starts_{axis}"
+    at = f"cast(floor(least(greatest(({own} - {lo}) / nullif(({hi} - {lo}) / {n - 1}, 0e0), 0e0), {n}e0)) as int)"
+    near = f"transform(sequence(-1, 2), d -> least(greatest({at} + d, 0), {n - 1}))"
+    return F.expr(
+        f"filter(array_distinct(concat({starts}, transform({starts}, s -> s - 1), {near}, array({n - 1}))), i -> i >= 0)")
+
+
+def cells(windows: DataFrame, nx: int, ny: int, at_x: Column | None = None, at_y: Column | None = None) -> DataFrame:
+    """The cells of every window, or those at the indices listed for an axis."""
+    grid = windows
+    for index, n, at in (("i", nx, at_x), ("j", ny, at_y)):
+        grid = grid.withColumn(index, F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if at is None else F.explode_outer(at))
     return grid.withColumns(
         {
             "zx": F.expr(point_sql("i", nx, "lo_x", "hi_x")),
