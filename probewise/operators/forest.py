@@ -13,7 +13,9 @@ the same class are merged. What is random depends on seed, tree, node and cell o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -82,6 +84,15 @@ def _bags(frame: pd.DataFrame, seed: int, trees: int) -> np.ndarray:
     return out
 
 
+def _narrow(bag: np.ndarray) -> bytes:
+    """A bag in the least bytes a number that hold it."""
+    return bag.astype(np.min_scalar_type(int(bag.max(initial=0)))).tobytes()
+
+
+def _wide(bag: bytes, cells: int) -> np.ndarray:
+    return np.frombuffer(bag, f"u{len(bag) // (2 * cells)}").reshape(-1, 2).astype(np.int64)
+
+
 def _batches(frames: Iterator[pd.DataFrame], seed: int, trees: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bin numbers and bags of a few cells at a time."""
     for pdf in frames:
@@ -278,52 +289,61 @@ class ForestFit:
             todo = sorted(todo_next)
         return tops
 
-    def nodes(self, seed: int) -> pd.DataFrame:
-        """The forest of one seed: a row per node with tree, id, feature, threshold, left, right, n0, n1."""
-        tops = self._upper(seed)
+    def packed(self, seeds: Sequence[int]) -> DataFrame:
+        """(seed, tree, n, nodes): every grown tree of these seeds with its number of nodes, written once. No tree
+        comes to the driver."""
+        with ThreadPool(min(len(seeds), 4)) as pool:
+            tops = dict(zip(seeds, pool.map(self._upper, seeds), strict=True))
         shared, trees, columns = self.spark.sparkContext.broadcast(tops), self.trees, self.columns
-        m, min_leaf, max_depth = self.m, self.min_leaf, self.max_depth
+        m, min_leaf, max_depth, whole = self.m, self.min_leaf, self.max_depth, self._whole
 
         def dealt(frames):
-            for bins, bags in _batches(frames, seed, trees):
-                for a in range(0, trees, TREES_AT_ONCE):
-                    out = []
-                    for t in range(a, min(a + TREES_AT_ONCE, trees)):
-                        drawn = np.flatnonzero(bags[:, t].any(1))
-                        at = shared.value.reach(t, bins[drawn])
-                        for v in np.unique(at):
-                            on = drawn[at == v]
-                            out.append((t, int(v), bins[on].tobytes(), bags[on, t].astype(np.int32).tobytes()))
-                    yield pd.DataFrame(out, columns=["tree", "top", "bins", "w"])
+            for pdf in frames:
+                for seed in seeds:
+                    top = shared.value[seed]
+                    for bins, bags in _batches([pdf], seed, trees):
+                        for a in range(0, trees, TREES_AT_ONCE):
+                            out = []
+                            for t in range(a, min(a + TREES_AT_ONCE, trees)):
+                                drawn = np.flatnonzero(bags[:, t].any(1))
+                                at = top.reach(t, bins[drawn])
+                                for v in np.unique(at):
+                                    on = drawn[at == v]
+                                    out.append((seed, t, int(v), bins[on].tobytes(), _narrow(bags[on, t])))
+                            yield pd.DataFrame(out, columns=["seed", "tree", "top", "bins", "w"])
 
         def finished(frame: pd.DataFrame) -> pd.DataFrame:
-            t, v = int(frame["tree"].iloc[0]), int(frame["top"].iloc[0])
+            seed, t, v = (int(frame[c].iloc[0]) for c in ("seed", "tree", "top"))
             bins = np.frombuffer(b"".join(frame["bins"]), np.uint8).reshape(-1, columns)
-            w = np.frombuffer(b"".join(frame["w"]), np.int32).reshape(-1, 2).astype(np.int64)
-            made = grow(bins, w, [seed, t, v, 1], shared.value.depth[t][v], m, min_leaf, max_depth).pruned()
-            return pd.DataFrame([{"tree": t, "top": v} | {c: made[c].to_numpy(d).tobytes() for c, d in _PACKED.items()}])
+            w = np.concatenate([_wide(w, len(b) // columns) for w, b in zip(frame["w"], frame["bins"], strict=True)])
+            made = grow(bins, w, [seed, t, v, 1], shared.value[seed].depth[t][v], m, min_leaf, max_depth).pruned()
+            return pd.DataFrame({"seed": [seed], "tree": [t], "top": [v], "nodes": [pack(made)]})
+
+        def joined(frame: pd.DataFrame) -> pd.DataFrame:
+            seed, t = int(frame["seed"].iloc[0]), int(frame["tree"].iloc[0])
+            parts = {int(v): unpack(b) for v, b in zip(frame["top"], frame["nodes"]) if v >= 0}
+            made = whole(shared.value[seed].trees[t], parts)
+            return pd.DataFrame({"seed": [seed], "tree": [t], "n": [len(made)], "nodes": [pack(made)]})
 
-        spec = ", ".join(f"{c} binary" for c in _PACKED)
         cells = self.cells.repartition(self.parts)
-        lower = cells.mapInPandas(dealt, "tree int, top int, bins binary, w binary").groupBy("tree", "top").applyInPandas(
-            finished, f"tree int, top int, {spec}")
-        parts: dict[int, dict[int, pd.DataFrame]] = {t: {} for t in range(trees)}
-        # the model itself, which is on the driver as Spark ML's own are
-        for r in lower.collect():
-            parts[r.tree][r.top] = pd.DataFrame({c: np.frombuffer(r[c], d) for c, d in _PACKED.items()})
-        made = [self._whole(tops.trees[t], parts[t]).assign(tree=np.int32(t)) for t in range(trees)]
-        every = pd.concat(made, ignore_index=True)
-        threshold = np.zeros(len(every))
-        for k, cut in enumerate(self.cuts):
-            on = np.flatnonzero(every["feature"].to_numpy() == k)
-            threshold[on] = cut[every["bin"].to_numpy()[on]]
-        return every.drop(columns="bin").assign(threshold=threshold)
+        lower = cells.mapInPandas(dealt, "seed long, tree int, top int, bins binary, w binary").groupBy("seed", "tree", "top").applyInPandas(
+            finished, "seed long, tree int, top int, nodes binary")
+        # a bag may, rarely, be empty, and its tree is there nevertheless
+        every = self.spark.range(len(seeds) * trees).select(
+            F.element_at(F.array(*[F.lit(int(s)).cast("long") for s in seeds]), (F.floor(F.col("id") / trees) + 1).cast("int")).alias("seed"),
+            (F.col("id") % trees).cast("int").alias("tree"), F.lit(-1).alias("top"), F.lit(None).cast("binary").alias("nodes"))
+        return materialise(lower.unionByName(every).groupBy("seed", "tree").applyInPandas(joined, "seed long, tree int, n long, nodes binary"))
+
+    def nodes(self, seed: int, packed: DataFrame | None = None) -> pd.DataFrame:
+        """The forest of one seed on the driver: a row per node with tree, id, feature, threshold, left, right, n0, n1."""
+        found = (self.packed([seed]) if packed is None else packed.where(F.col("seed") == seed)).orderBy("tree")
+        return on_driver(found, self.cuts)
 
     @staticmethod
     def _whole(top: Grown, parts: dict[int, pd.DataFrame]) -> pd.DataFrame:
         """Lower parts set in the places of the upper part's leaves, then leaves of one class merged once more."""
         if len(top.column) == 1:
-            # a bag may, rarely, be empty: a leaf of nothing
+            # an empty bag is a leaf of nothing
             return parts[0] if parts else top.pruned().astype(_PACKED)[["id", *[c for c in _PACKED if c != "id"]]]
         base = len(top.column)
         tree = Grown(np.zeros(2, np.int64))
@@ -349,5 +369,29 @@ class ForestFit:
         return tree.pruned().astype(_PACKED)
 
 
-#: How a task sends a grown tree back.
+#: How a grown tree is kept.
 _PACKED = {"id": np.int32, "feature": np.int32, "bin": np.int16, "left": np.int32, "right": np.int32, "n0": np.int64, "n1": np.int64}
+_PACKED_BYTES = sum(np.dtype(d).itemsize for d in _PACKED.values())
+
+
+def pack(nodes: pd.DataFrame) -> bytes:
+    return zlib.compress(b"".join(nodes[c].to_numpy(d).tobytes() for c, d in _PACKED.items()), 1)
+
+
+def unpack(packed: bytes) -> pd.DataFrame:
+    raw = zlib.decompress(packed)
+    n, at, found = len(raw) // _PACKED_BYTES, 0, {}
+    for c, d in _PACKED.items():
+        found[c] = np.frombuffer(raw, d, n, at)
+        at += n * np.dtype(d).itemsize
+    return pd.DataFrame(found)
+
+
+def on_driver(packed: DataFrame, cuts: Sequence[np.ndarray]) -> pd.DataFrame:
+    """Packed trees in their order as one node table, thresholds in place of bins."""
+    every = pd.concat([unpack(r.nodes).assign(tree=np.int32(r.tree)) for r in packed.select("tree", "nodes").collect()], ignore_index=True)
+    threshold = np.zeros(len(every))
+    for k, cut in enumerate(cuts):
+        on = np.flatnonzero(every["feature"].to_numpy() == k)
+        threshold[on] = cut[every["bin"].to_numpy()[on]]
+    return every.drop(columns="bin").assign(threshold=threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewise.operators.forest import ForestFit
+from probewise.operators.forest import ForestFit, on_driver
+from probewise.operators.stored import StoredScorer, StoredTrees, packed_nodes
 from probewise.operators.trees import SCALE, Trees, TreeScorer, forest_nodes, read_nodes
 from probewise.plans.scorers import ExpressionScorer, MLScorer
 
@@ -84,12 +86,21 @@ def _fitted_nodes(est: Pipeline, train: DataFrame) -> pd.DataFrame:
     return read_nodes(trees._fit_java(train), train.sparkSession)
 
 
-def _grown_nodes(features: list[str], seeds: list[int], train: DataFrame, n: int) -> list[pd.DataFrame]:
-    """Nodes of forests with these seeds, all on the same cells; rows that Spark ML's assembler refuses are refused."""
+#: Packed trees of this application's larger fits: cuts, a table (seed, tree, n, nodes) and the nodes of each seed.
+_STORED: dict[tuple, tuple[list[np.ndarray], DataFrame, int]] = {}
+#: Nodes of all models of a scorer up to which they are sent to the tasks as arrays; beyond, they stay a table.
+NODES_ON_DRIVER = 1_000_000
+
+
+def _grown(features: list[str], seeds: list[int], train: DataFrame, n: int) -> dict[int, tuple[list[np.ndarray], DataFrame, int]]:
+    """Forests with these seeds, all on the same cells; rows that Spark ML's assembler refuses are refused."""
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(train)
     rows = rows.select("label", vector_to_array("features").alias("features"))
     fit = ForestFit(rows, n, len(features), FOREST_TREES, FOREST_MIN_LEAF, FOREST_DEPTH, FOREST_BINS)
-    return [forest_nodes(fit.nodes(seed)) for seed in seeds]
+    packed = fit.packed(seeds)
+    # a row a seed
+    nodes = {r.seed: r.nodes for r in packed.groupBy("seed").agg(F.sum("n").alias("nodes")).collect()}
+    return {s: (fit.cuts, packed, nodes[s]) for s in seeds}
 
 
 def fit_nodes(jobs: list[tuple[str, Pipeline, DataFrame]]) -> list[pd.DataFrame]:
@@ -116,43 +127,79 @@ def _forget() -> None:
         _NODES.pop(next(iter(_NODES)))
 
 
+def _forest_name(features: list[str], seed: int) -> str:
+    return f"forest {features} {FOREST_TREES} {seed}"
+
+
+def _stored(trains: list[DataFrame], features: list[str], seeds: list[int], rows: dict[int, tuple]) -> dict[int, tuple[list[np.ndarray], DataFrame, int]]:
+    """By place: the stored fit of each pair of training rows and seed that is too large for Spark ML's forest."""
+    app = trains[0].sparkSession.sparkContext.applicationId
+    key = lambda k: (app, *rows[id(trains[k])], _forest_name(features, seeds[k]))
+    wanted = [k for k, t in enumerate(trains) if rows[id(t)][0] > SPARK_FOREST_ROWS]
+    new: dict[int, list[int]] = {}
+    for k in wanted:
+        if key(k) not in _STORED:
+            new.setdefault(id(trains[k]), []).append(k)
+    # every table's fit has work for all tasks, but short steps between; a few overlap
+    with ThreadPool(min(len(new), 4) or 1) as pool:
+        made = pool.map(lambda ks: _grown(features, list(dict.fromkeys(seeds[k] for k in ks)), trains[ks[0]], rows[id(trains[ks[0]])][0]), new.values())
+    for ks, fits in zip(new.values(), made, strict=True):
+        _STORED.update({key(k): fits[seeds[k]] for k in ks})
+    found = {k: _STORED[key(k)] for k in wanted}
+    while len(_STORED) > _NODES_KEPT:
+        _STORED.pop(next(iter(_STORED)))
+    return found
+
+
 def fit_forests(trains: list[DataFrame], features: list[str], seeds: list[int]) -> list[pd.DataFrame]:
-    """The node table of one forest for each pair of training rows and seed."""
+    """The node table of one forest for each pair of training rows and seed, on the driver."""
     rows = {id(t): _rows_of(t) for t in {id(t): t for t in trains}.values()}
-    name = lambda s: f"forest {features} {FOREST_TREES} {s}"
-    found: dict[int, pd.DataFrame] = {}
-    small = [k for k, t in enumerate(trains) if rows[id(t)][0] <= SPARK_FOREST_ROWS]
+    return _on_driver(trains, features, seeds, _stored(trains, features, seeds, rows))
+
+
+def _on_driver(trains: list[DataFrame], features: list[str], seeds: list[int], stored: dict[int, tuple]) -> list[pd.DataFrame]:
+    found = {k: forest_nodes(on_driver(t.where(F.col("seed") == seeds[k]).orderBy("tree"), cuts)) for k, (cuts, t, _) in stored.items()}
+    small = [k for k in range(len(trains)) if k not in found]
     if small:
-        jobs = [(name(seeds[k]), forest(features, seeds[k]), trains[k]) for k in small]
+        jobs = [(_forest_name(features, seeds[k]), forest(features, seeds[k]), trains[k]) for k in small]
         found.update(zip(small, fit_nodes(jobs), strict=True))
-    app = trains[0].sparkSession.sparkContext.applicationId
-    key = lambda k: (app, *rows[id(trains[k])], name(seeds[k]))
-    large: dict[int, list[int]] = {}
-    for k, t in enumerate(trains):
-        if k not in found:
-            if key(k) in _NODES:
-                found[k] = _NODES[key(k)]
-            else:
-                large.setdefault(id(t), []).append(k)
-    # every table's fit has work for all tasks, but short steps between; a few overlap
-    with ThreadPool(min(len(large), 4) or 1) as pool:
-        made = pool.map(lambda ks: _grown_nodes(features, [seeds[k] for k in ks], trains[ks[0]], rows[id(trains[ks[0]])][0]), large.values())
-    for ks, nodes in zip(large.values(), made, strict=True):
-        found.update(zip(ks, nodes, strict=True))
-        _NODES.update({key(k): found[k] for k in ks})
-    _forget()
     return [found[k] for k in range(len(trains))]
 
 
-def forests(trains: list[DataFrame], features: list[str], seeds: list[int]) -> Trees:
-    """One forest for each pair of training rows and seed, as one set of models."""
-    return Trees(fit_forests(trains, features, seeds))
+def forests(trains: list[DataFrame], features: list[str], seeds: list[int]) -> Trees | StoredTrees:
+    """One forest for each pair of training rows and seed, as one set of models: arrays on the driver, or a table
+    where they have more than ``NODES_ON_DRIVER`` nodes."""
+    rows = {id(t): _rows_of(t) for t in {id(t): t for t in trains}.values()}
+    stored = _stored(trains, features, seeds, rows)
+    if sum(n for _, _, n in stored.values()) <= NODES_ON_DRIVER:
+        return Trees(_on_driver(trains, features, seeds, stored))
+    tables: dict[int, tuple[DataFrame, list[int]]] = {}
+    for k, (_, t, _) in stored.items():
+        tables.setdefault(id(t), (t, []))[1].append(k)
+    parts = []
+    for t, ks in tables.values():
+        place = [F.struct(F.lit(int(seeds[k])).cast("long").alias("seed"), F.lit(k).alias("model")) for k in ks]
+        places = t.select("seed", "tree", "nodes", F.filter(F.array(*place), lambda p: p["seed"] == F.col("seed")).alias("at"))
+        parts.append(places.select(F.explode("at.model").alias("model"), "tree", "nodes"))
+    cuts, counts = {k: c for k, (c, _, _) in stored.items()}, [FOREST_TREES] * len(trains)
+    small = [k for k in range(len(trains)) if k not in stored]
+    if small:
+        jobs = [(_forest_name(features, seeds[k]), forest(features, seeds[k]), trains[k]) for k in small]
+        for k, nodes in zip(small, fit_nodes(jobs), strict=True):
+            cuts[k], trees = packed_nodes(nodes, len(features))
+            counts[k] = len(trees)
+            parts.append(trains[0].sparkSession.createDataFrame([(k, i, b) for i, b in enumerate(trees)], "model int, tree int, nodes binary"))
+    return StoredTrees(reduce(DataFrame.unionByName, parts), [cuts[k] for k in range(len(trains))], counts)
+
+
+def scorer_of(spark, trees: Trees | StoredTrees, features: list[str]) -> TreeScorer | StoredScorer:
+    return StoredScorer(trees, features) if isinstance(trees, StoredTrees) else TreeScorer(spark, trees, features)
 
 
-def tree_scorer(train: DataFrame, features: list[str], seeds: list[int] | None = None) -> TreeScorer:
+def tree_scorer(train: DataFrame, features: list[str], seeds: list[int] | None = None) -> TreeScorer | StoredScorer:
     """The forest of seed 42, or those of ``seeds``, fitted to ``train``."""
     seeds = seeds or [42]
-    return TreeScorer(train.sparkSession, forests([train] * len(seeds), features, seeds), features)
+    return scorer_of(train.sparkSession, forests([train] * len(seeds), features, seeds), features)
 
 
 def boosted_scorer(train: DataFrame, features: list[str]) -> ExpressionScorer:
@@ -183,4 +230,4 @@ def importances(nodes: pd.DataFrame, features: list[str], spark) -> DataFrame:
 def out_of_fold(df: DataFrame, features: list[str], folds: int = FOLDS) -> DataFrame:
     """Every row scored by the forest that did not see its fold (column ``fold``), in one pass."""
     trees = forests([df.where(F.col("fold") != k) for k in range(folds)], features, [42] * folds)
-    return TreeScorer(df.sparkSession, trees, features).score(df, model=F.col("fold"))
+    return scorer_of(df.sparkSession, trees, features).score(df, model=F.col("fold"))

@@ -247,6 +247,21 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), flat)
 
 
+#: Over the models: median, least and greatest swing and place (left end) of the largest step; median and greatest
+#: deviation over the points.
+SPREAD = ["swing_median", "swing_min", "swing_max", "step_median", "step_min", "step_max", "sd_median", "sd_max"]
+
+
+def seed_spread(p: np.ndarray, grid: np.ndarray) -> pa.StructArray:
+    """How curves of several models, rows x models x points, differ."""
+    swing, sd = p.max(2) - p.min(2), p.std(1)
+    # to 1e-12, below which differences are rounding, so that the first of equal steps is taken
+    step = np.take_along_axis(grid, np.round(np.abs(np.diff(p, axis=2)), 12).argmax(2), 1)
+    made = [f(v, 1) for v in (swing, step) for f in (np.median, np.min, np.max)]
+    made += [np.median(sd, 1), sd.max(1)]
+    return pa.StructArray.from_arrays([pa.array(v) for v in made], SPREAD)
+
+
 class TreeScorer(RowScorer):
     """One or several fitted tree ensembles, sent to the tasks once as arrays."""
 
@@ -268,13 +283,13 @@ class TreeScorer(RowScorer):
 
         return df.withColumn(out, scored(F.lit(0) if model is None else model, *self._own()))
 
-    def curves(self, df: DataFrame, feature: Column, z: Column) -> Column:
-        """Array of P along ``z``, an ascending array, in the column that ``feature`` names; the curves of
-        several models one after another. Rows of one frame share the length of ``z``."""
+    def curves(self, df: DataFrame, feature: str, z: str, out: str, swept: Sequence[str]) -> DataFrame:
+        """``out``: array of P along ``z``, an ascending array, in the column that ``feature`` names, one of
+        ``swept``; the curves of several models one after another. Rows of one frame share the length of ``z``."""
         shared, names = self.shared, self.features
 
         @F.arrow_udf("array<double>")
-        def swept(feature: pa.Array, z: pa.Array, *columns: pa.Array) -> pa.Array:
+        def along(feature: pa.Array, z: pa.Array, *columns: pa.Array) -> pa.Array:
             trees, x, grid = shared.value, _matrix(columns), _grids(z)
             out = np.empty((len(x), trees.models * grid.shape[1]))
             wanted = np.array(feature.to_pylist(), object)
@@ -283,29 +298,21 @@ class TreeScorer(RowScorer):
                 out[on] = trees.curves(x[on], names.index(f), grid[on]).reshape(len(on), -1)
             return _lists(out)
 
-        return swept(feature, z, *self._own())
+        return df.withColumn(out, along(F.col(feature), F.col(z), *self._own()))
 
-    def seed_spread(self, z: Column, feature: str) -> Column:
-        """How curves of several models along ``z`` differ: median, least and greatest swing and place
-        (left end) of the largest step over the models; median and greatest deviation over the points."""
+    def seed_spread(self, df: DataFrame, z: str, feature: str, out: str) -> DataFrame:
+        """``out``: how curves of several models along ``z`` differ, the fields of ``SPREAD``."""
         shared, column = self.shared, self.features.index(feature)
-        names = ["swing_median", "swing_min", "swing_max", "step_median", "step_min", "step_max", "sd_median", "sd_max"]
 
-        @F.arrow_udf(", ".join(f"{n} double" for n in names))
+        @F.arrow_udf(", ".join(f"{n} double" for n in SPREAD))
         def spread(z: pa.Array, *columns: pa.Array) -> pa.Array:
             grid = _grids(z)
-            p = shared.value.curves(_matrix(columns), column, grid)
-            swing, sd = p.max(2) - p.min(2), p.std(1)
-            # to 1e-12, below which differences are rounding, so that the first of equal steps is taken
-            step = np.take_along_axis(grid, np.round(np.abs(np.diff(p, axis=2)), 12).argmax(2), 1)
-            made = [f(v, 1) for v in (swing, step) for f in (np.median, np.min, np.max)]
-            made += [np.median(sd, 1), sd.max(1)]
-            return pa.StructArray.from_arrays([pa.array(v) for v in made], names)
-
-        return spread(z, *self._own())
-
-    def boundary_distances(self, fx: str, fy: str, zx: Column, zy: Column, std_x: Column, std_y: Column) -> Column:
-        """Distance in std from each row to the nearest cell beside which P crosses 0.5, one value a
+            return seed_spread(shared.value.curves(_matrix(columns), column, grid), grid)
+
+        return df.withColumn(out, spread(F.col(z), *self._own()))
+
+    def boundary_distances(self, df: DataFrame, fx: str, fy: str, zx: str, zy: str, std_x: str, std_y: str, out: str) -> DataFrame:
+        """``out``: distance in std from each row to the nearest cell beside which P crosses 0.5, one value a
         model, null where it crosses nowhere in the window."""
         shared, at = self.shared, (self.features.index(fx), self.features.index(fy))
 
@@ -325,4 +332,4 @@ class TreeScorer(RowScorer):
                 far[part] = np.where(np.isinf(d), np.nan, np.sqrt(d))
             return _lists(far)
 
-        return nearest(zx, zy, std_x, std_y, *self._own())
+        return df.withColumn(out, nearest(*[F.col(c) for c in (zx, zy, std_x, std_y)], *self._own()))

@@ -19,7 +19,6 @@ from probewise.operators import models as M
 from probewise.operators import profiles as P
 from probewise.operators import slices as SL
 from probewise.operators import surrogate as S
-from probewise.operators.trees import TreeScorer
 from probewise.plans.basics import auc_and_accuracy
 from probewise.plans.scorers import MLScorer
 from probewise.plans.surrogate import confidence_span
@@ -91,12 +90,16 @@ def oof_accuracy_by_band(spark, sf_dir):
     ).select("band", "n", "accuracy", F.col("all.auc").alias("auc"))
 
 
-def _curve_points(sweeps: DataFrame, scorer, n: int, keep: list[str]) -> DataFrame:
-    """(keep, model, grid_idx, z, p, slope) of the scorer's curves along sweeps. Slopes are central
-    inside and one-sided at the ends, taken between neighbours of the same array."""
+def _curves(sweeps: DataFrame, scorer, n: int, keep: list[str], swept: list[str]) -> DataFrame:
+    """(keep, lo, hi, _p): the scorer's curves along sweeps of ``swept``, an array a sweep."""
     z = F.expr(f"transform(sequence(0, {n - 1}), i -> {P.point_sql('i', n)})")
-    curves = sweeps.withColumn("_z", z)
-    curves = curves.withColumn("_p", scorer.curves(curves, F.col("feature"), F.col("_z")))
+    return scorer.curves(sweeps.withColumn("_z", z), "feature", "_z", "_p", swept).select(*keep, "lo", "hi", "_p")
+
+
+def _curve_points(curves: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """(keep, model, grid_idx, z, p, slope) of curves. Slopes are central
+    inside and one-sided at the ends, taken between neighbours of the same array."""
+    curves = curves.withColumn("_z", F.expr(f"transform(sequence(0, {n - 1}), i -> {P.point_sql('i', n)})"))
     models = F.sequence(F.lit(0), (F.size("_p") / n).cast("int") - 1)
     curves = curves.select(*keep, "_z", "_p", F.explode(models).alias("model"))
     p = lambda i: F.get("_p", F.col("model") * n + i)
@@ -112,7 +115,8 @@ def ice_forest(spark, sf_dir):
     t = _docs(spark, sf_dir)
     scorer, stats = M.tree_scorer(_train(t), DOCS), C.column_stats(t, DOCS)
     sweeps = P.sweep_rows(t.where("is_test"), stats, ["n_words", "n_chars"])
-    b = P.bundle_summary(_curve_points(sweeps, scorer, 120, ["row_id", "feature"]))
+    keep = ["row_id", "feature"]
+    b = P.bundle_summary(_curve_points(_curves(sweeps, scorer, 120, keep, ["n_words", "n_chars"]), 120, keep))
     return b.select("feature", "grid_idx", r6("pdp").alias("pdp"), "moving", "against",
                     r6("against_share").alias("against_share"))
 
@@ -124,7 +128,7 @@ def cp_seed_forest(spark, sf_dir):
     scorer = M.tree_scorer(_train(t), DOCS, list(range(M.SEEDS)))
     sweeps = P.sweep_rows(t.where("is_test"), stats, ["n_chars"], span=2.5)
     z = F.expr(f"transform(sequence(0, 199), i -> {P.point_sql('i', 200)})")
-    found = sweeps.withColumn("_z", z).withColumn("w", scorer.seed_spread(F.col("_z"), "n_chars"))
+    found = scorer.seed_spread(sweeps.withColumn("_z", z), "_z", "n_chars", "w")
     return found.select("row_id", *[r6(F.col(f"w.{c}"), 3 if "step" in c else 6).alias(c) for c in (
         "swing_median", "swing_min", "swing_max", "step_median", "step_min", "step_max", "sd_median", "sd_max")])
 
@@ -137,8 +141,9 @@ def boundary_seeds(spark, sf_dir, nx=220, ny=200):
     w = SL.windowed(t.where("is_test"), stats, "n_words", "n_chars")
     grid = lambda n, axis: F.expr(
         f"transform(sequence(0, {n - 1}), i -> {P.point_sql('i', n, f'lo_{axis}', f'hi_{axis}')})")
-    d = scorer.boundary_distances("n_words", "n_chars", grid(nx, "x"), grid(ny, "y"), F.col("std_x"), F.col("std_y"))
-    w = w.select("row_id", F.array_sort(F.filter(d, lambda v: v.isNotNull())).alias("d"))
+    w = w.select("row_id", *DOCS, "std_x", "std_y", grid(nx, "x").alias("zx"), grid(ny, "y").alias("zy"))
+    w = scorer.boundary_distances(w, "n_words", "n_chars", "zx", "zy", "std_x", "std_y", "d")
+    w = w.select("row_id", F.array_sort(F.filter("d", lambda v: v.isNotNull())).alias("d"))
     n = F.size("d")
     # twelve values at most: the two in the middle, or the same one twice
     low, high = ((n - 1) / 2).cast("int"), (n / 2).cast("int")
@@ -163,12 +168,13 @@ def interaction_tables(spark, sf_dir):
 def interaction_forest(spark, sf_dir):
     """Forests fitted to labels with the interaction dialled from 0 to 1, through the same probe."""
     tables, trees, stats = interaction_tables(spark, sf_dir)
+    # a row a sweep is kept; its points are made where they are summed up
     curves = reduce(DataFrame.unionByName, [
-        _curve_points(P.sweep_rows(d.where("is_test"), stats, ["n_words"]), TreeScorer(spark, trees.only(k), DOCS), 120, ["row_id"])
-        .select("row_id", "grid_idx", "z", "p", "slope", F.lit(a).alias("strength"))
+        materialise(_curves(P.sweep_rows(d.where("is_test"), stats, ["n_words"]), M.scorer_of(spark, trees.only(k), DOCS), 120, ["row_id"], ["n_words"])
+                    .withColumn("strength", F.lit(a)))
         for k, (a, d) in enumerate(zip(STRENGTHS, tables))
     ])
-    curves = materialise(curves)
+    curves = _curve_points(curves, 120, ["row_id", "strength"])
     b = P.bundle_summary(curves, ["strength"])
     ranges = curves.groupBy("row_id", "strength").agg((F.max("p") - F.min("p")).alias("range"))
     swing = b.groupBy("strength").agg((F.max("pdp") - F.min("pdp")).alias("pdp_swing"))
