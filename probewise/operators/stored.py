@@ -133,14 +133,13 @@ def _bins(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
 class Planes:
     """The planes of some models for one bin of the still column, and how they are looked up."""
 
-    def __init__(self, cuts: Sequence[np.ndarray], still: int, counts: Sequence[int], sums: dict[int, np.ndarray]):
-        self.cuts, self.still = cuts, still
+    def __init__(self, cuts: Sequence[np.ndarray], still: int, p: np.ndarray):
+        self.cuts, self.still, self.p = cuts, still, p
         self.others = [c for c in range(len(cuts)) if c != still]
         self.stride, step = {}, 1
         for c in reversed(self.others):
             self.stride[c] = step
             step *= len(cuts[c]) + 1
-        self.p = np.stack([sums[k] / (counts[k] * SCALE) for k in range(len(counts))])
 
     def curves(self, x: np.ndarray, column: int, z: np.ndarray) -> np.ndarray:
         """P along one swept column: rows x models x points."""
@@ -223,63 +222,76 @@ class StoredScorer(RowScorer):
         scored = found.groupBy("_model", "_code").agg(F.sum("sums").alias("_sums")).select("_model", "_code", (F.col("_sums") / total).alias("_p"))
         return own.drop(out).join(scored, ["_model", "_code"]).select(*[c for c in df.columns if c != out], F.col("_p").alias(out))
 
-    def _still(self, swept: Sequence[str]) -> int | None:
-        """A column that no sweep moves and by which planes are dealt, if all models are one lattice small enough."""
+    def _still(self, swept: Sequence[str], one: bool = False) -> int | None:
+        """A column that no sweep moves and by which planes are dealt, if there is one and lattices are small enough;
+        all models that a row meets have one lattice."""
         cuts = self.trees.cuts
         still = [c for c, f in enumerate(self.features) if f not in swept]
-        alike = all(len(a) == len(b) and (a == b).all() for k in cuts for a, b in zip(k, cuts[0], strict=True))
-        small = np.prod([float(len(c) + 1) for c in cuts[0]]) <= LATTICE_CELLS
+        alike = one or all(len(a) == len(b) and (a == b).all() for k in cuts for a, b in zip(k, cuts[0], strict=True))
+        small = all(np.prod([float(len(c) + 1) for c in k]) <= LATTICE_CELLS for k in cuts)
         return max(still, key=lambda c: len(cuts[0][c])) if still and alike and small else None
 
-    def _beside_planes(self, df: DataFrame, still: int, compute, made: str) -> DataFrame:
-        """``df`` with the columns ``made`` that ``compute(planes, table)`` returns for the rows of one bin of the still column."""
-        cuts, counts, packed = self.trees.cuts[0], self.trees.counts, self.trees.packed
-        sizes, order = [len(c) + 1 for c in cuts], [still, *[c for c in range(len(cuts)) if c != still]]
+    def _beside_planes(self, df: DataFrame, still: int, compute, made: str, model: str | None = None) -> DataFrame:
+        """``df`` with the columns ``made`` that ``compute(planes, table)`` returns for the rows of one bin of the still
+        column, under all models or the one that the column ``model`` names."""
+        cuts, counts, packed = self.trees.cuts, self.trees.counts, self.trees.packed
+        sizes, order = [[len(c) + 1 for c in k] for k in cuts], [still, *[c for c in range(len(self.features)) if c != still]]
 
         @F.arrow_udf("int")
-        def placed(value: pa.Array) -> pa.Array:
-            return pa.array(np.searchsorted(cuts[still], _matrix([value])[:, 0], "left").astype(np.int32))
+        def placed(model: pa.Array, value: pa.Array) -> pa.Array:
+            wanted, x = model.to_numpy(zero_copy_only=False).astype(int), _matrix([value])[:, 0]
+            found = np.zeros(len(x), np.int32)
+            for k in np.unique(wanted):
+                on = np.flatnonzero(wanted == k)
+                found[on] = np.searchsorted(cuts[k][still], x[on], "left")
+            return pa.array(found)
 
         def planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Trees come a model after another, read as they are added up."""
             trees = ((m, packed) for batch in batches for m, packed in zip(batch["model"].to_pylist(), batch["nodes"].to_pylist(), strict=True))
             for model, own in groupby(trees, lambda t: t[0]):
-                sums = lattice((Leaves(t[1]) for t in own), sizes, order)
-                for a in range(0, sizes[still], 16):
-                    some = range(a, min(a + 16, sizes[still]))
+                sums = lattice((Leaves(t[1]) for t in own), sizes[model], order)
+                for a in range(0, len(sums), 16):
+                    some = range(a, min(a + 16, len(sums)))
                     yield pa.RecordBatch.from_pydict({
                         "model": pa.array([model] * len(some), pa.int32()), "_at": pa.array(some, pa.int32()),
                         "sums": pa.array([sums[k].tobytes() for k in some], pa.binary())})
 
         trees = packed.repartitionById(len(counts), F.col("model")).sortWithinPartitions("model").select("model", "nodes")
         held = trees.mapInArrow(planes, "model int, _at int, sums binary")
-        own = df.withColumn("_at", placed(self._own()[still]))
+        # without a model's number a row meets them all, which have the cuts of the first
+        held = held.withColumn("_m", F.lit(0) if model is None else F.col("model"))
+        own = df.withColumn("_m", F.lit(0) if model is None else F.col(model).cast("int"))
+        own = own.withColumn("_at", placed(F.col("_m"), self._own()[still]))
         # a row a bin
-        load = own.groupBy("_at").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_TASK).cast("int").alias("_chunks"))
+        load = own.groupBy("_m", "_at").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_TASK).cast("int").alias("_chunks"))
         plain = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
-        own = own.join(F.broadcast(load), "_at").withColumn("_chunk", F.pmod(F.xxhash64(*plain), "_chunks").cast("int")).drop("_chunks")
-        held = held.join(F.broadcast(load), "_at").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        own = own.join(F.broadcast(load), ["_m", "_at"]).withColumn("_chunk", F.pmod(F.xxhash64(*plain), "_chunks").cast("int")).drop("_chunks")
+        held = held.join(F.broadcast(load), ["_m", "_at"]).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
         fields = StructType([*df.schema.fields, *StructType.fromDDL(made).fields])
         kept, added, empty = df.columns, StructType.fromDDL(made).fieldNames(), list(to_arrow_schema(StructType.fromDDL(made)))
 
         def met(left: pa.Table, right: pa.Table) -> pa.Table:
             left = left.combine_chunks()
-            plane = lambda v: whole_plane(np.frombuffer(v.as_buffer(), np.int64), [sizes[c] for c in order[1:]])
-            sums = {k: plane(v) for k, v in zip(right["model"].to_pylist(), right["sums"], strict=True)}
-            # planes come only to bins and chunks that some row is dealt to, or nearly: a chunk may be empty
-            found = compute(Planes(cuts, still, counts, sums), left) if len(left) else [pa.array([], f.type) for f in empty]
+            # a chunk may be empty
+            found = [pa.array([], f.type) for f in empty]
+            if len(left):
+                models, m = right["model"].to_pylist(), left["_m"][0].as_py()
+                plane = lambda v: whole_plane(np.frombuffer(v.as_buffer(), np.int64), [sizes[m][c] for c in order[1:]])
+                p = {k: plane(v) / (counts[k] * SCALE) for k, v in zip(models, right["sums"], strict=True)}
+                found = compute(Planes(cuts[m], still, np.stack([p[k] for k in sorted(p)])), left)
             return pa.table([*[left[c] for c in kept], *found], names=[*kept, *added])
 
-        held = held.select(F.col("_at").alias("_a"), F.col("_chunk").alias("_c"), "model", "sums")
-        return own.groupBy("_at", "_chunk").cogroup(held.groupBy("_a", "_c")).applyInArrow(met, fields)
+        held = held.select(F.col("_m").alias("_n"), F.col("_at").alias("_a"), F.col("_chunk").alias("_c"), "model", "sums")
+        return own.groupBy("_m", "_at", "_chunk").cogroup(held.groupBy("_n", "_a", "_c")).applyInArrow(met, fields)
 
     def _near(self, df: DataFrame) -> TreeScorer:
         return TreeScorer(df.sparkSession, self.trees.on_driver(), self.features)
 
-    def curves(self, df: DataFrame, feature: str, z: str, out: str, swept: Sequence[str]) -> DataFrame:
-        still, names = self._still(swept), self.features
+    def curves(self, df: DataFrame, feature: str, z: str, out: str, swept: Sequence[str], model: str | None = None) -> DataFrame:
+        still, names = self._still(swept, model is not None), self.features
         if still is None:
-            return self._near(df).curves(df, feature, z, out, swept)
+            return self._near(df).curves(df, feature, z, out, swept, model)
 
         def compute(planes: Planes, table: pa.Table) -> list:
             grid, rows = _grids(_column(table, z)), _rows(table, names)
@@ -290,7 +302,7 @@ class StoredScorer(RowScorer):
                 found[on] = planes.curves(rows[on], names.index(f), grid[on]).reshape(len(on), -1)
             return [_lists(found)]
 
-        return self._beside_planes(df, still, compute, f"`{out}` array<double>")
+        return self._beside_planes(df, still, compute, f"`{out}` array<double>", model)
 
     def seed_spread(self, df: DataFrame, z: str, feature: str, out: str) -> DataFrame:
         still, column, names = self._still([feature]), self.features.index(feature), self.features

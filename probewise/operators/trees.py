@@ -283,22 +283,27 @@ class TreeScorer(RowScorer):
 
         return df.withColumn(out, scored(F.lit(0) if model is None else model, *self._own()))
 
-    def curves(self, df: DataFrame, feature: str, z: str, out: str, swept: Sequence[str]) -> DataFrame:
+    def curves(self, df: DataFrame, feature: str, z: str, out: str, swept: Sequence[str], model: str | None = None) -> DataFrame:
         """``out``: array of P along ``z``, an ascending array, in the column that ``feature`` names, one of
-        ``swept``; the curves of several models one after another. Rows of one frame share the length of ``z``."""
+        ``swept``; the curves of several models one after another, or that of the one whose number the column ``model``
+        holds. Rows of one frame share the length of ``z``."""
         shared, names = self.shared, self.features
 
         @F.arrow_udf("array<double>")
-        def along(feature: pa.Array, z: pa.Array, *columns: pa.Array) -> pa.Array:
-            trees, x, grid = shared.value, _matrix(columns), _grids(z)
-            out = np.empty((len(x), trees.models * grid.shape[1]))
-            wanted = np.array(feature.to_pylist(), object)
-            for f in sorted(set(wanted)):
-                on = np.flatnonzero(wanted == f)
-                out[on] = trees.curves(x[on], names.index(f), grid[on]).reshape(len(on), -1)
-            return _lists(out)
-
-        return df.withColumn(out, along(F.col(feature), F.col(z), *self._own()))
+        def along(feature: pa.Array, z: pa.Array, model: pa.Array, *columns: pa.Array) -> pa.Array:
+            x, grid = _matrix(columns), _grids(z)
+            wanted, one = np.array(feature.to_pylist(), object), model.to_numpy(zero_copy_only=False).astype(int)
+            out = None
+            for k in np.unique(one):
+                trees = shared.value if k < 0 else shared.value.only(k)
+                if out is None:
+                    out = np.empty((len(x), trees.models * grid.shape[1]))
+                for f in sorted(set(wanted)):
+                    on = np.flatnonzero((wanted == f) & (one == k))
+                    out[on] = trees.curves(x[on], names.index(f), grid[on]).reshape(len(on), -1)
+            return _lists(np.empty((0, 0)) if out is None else out)
+
+        return df.withColumn(out, along(F.col(feature), F.col(z), F.lit(-1) if model is None else F.col(model), *self._own()))
 
     def seed_spread(self, df: DataFrame, z: str, feature: str, out: str) -> DataFrame:
         """``out``: how curves of several models along ``z`` differ, the fields of ``SPREAD``."""

@@ -90,10 +90,10 @@ def oof_accuracy_by_band(spark, sf_dir):
     ).select("band", "n", "accuracy", F.col("all.auc").alias("auc"))
 
 
-def _curves(sweeps: DataFrame, scorer, n: int, keep: list[str], swept: list[str]) -> DataFrame:
+def _curves(sweeps: DataFrame, scorer, n: int, keep: list[str], swept: list[str], model: str | None = None) -> DataFrame:
     """(keep, lo, hi, _p): the scorer's curves along sweeps of ``swept``, an array a sweep."""
     z = F.expr(f"transform(sequence(0, {n - 1}), i -> {P.point_sql('i', n)})")
-    return scorer.curves(sweeps.withColumn("_z", z), "feature", "_z", "_p", swept).select(*keep, "lo", "hi", "_p")
+    return scorer.curves(sweeps.withColumn("_z", z), "feature", "_z", "_p", swept, model).select(*keep, "lo", "hi", "_p")
 
 
 def _curve_points(curves: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -168,12 +168,11 @@ def interaction_tables(spark, sf_dir):
 def interaction_forest(spark, sf_dir):
     """Forests fitted to labels with the interaction dialled from 0 to 1, through the same probe."""
     tables, trees, stats = interaction_tables(spark, sf_dir)
+    held_out = reduce(DataFrame.unionByName, [
+        d.where("is_test").withColumns({"strength": F.lit(a), "nr": F.lit(k)}) for k, (a, d) in enumerate(zip(STRENGTHS, tables))])
+    sweeps = P.sweep_rows(held_out, stats, ["n_words"])
     # a row a sweep is kept; its points are made where they are summed up
-    curves = reduce(DataFrame.unionByName, [
-        materialise(_curves(P.sweep_rows(d.where("is_test"), stats, ["n_words"]), M.scorer_of(spark, trees.only(k), DOCS), 120, ["row_id"], ["n_words"])
-                    .withColumn("strength", F.lit(a)))
-        for k, (a, d) in enumerate(zip(STRENGTHS, tables))
-    ])
+    curves = materialise(_curves(sweeps, M.scorer_of(spark, trees, DOCS), 120, ["row_id", "strength"], ["n_words"], "nr"))
     curves = _curve_points(curves, 120, ["row_id", "strength"])
     b = P.bundle_summary(curves, ["strength"])
     ranges = curves.groupBy("row_id", "strength").agg((F.max("p") - F.min("p")).alias("range"))

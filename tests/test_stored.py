@@ -92,6 +92,7 @@ def test_models_of_several_tables(spark, monkeypatch):
     df = df.withColumn("feature", F.lit("a"))
     for k in range(3):
         same(*[M.scorer_of(spark, t.only(k), COLUMNS).curves(df, "feature", "za", "p", ["a"]) for t in (near, far)])
+    same(*[M.scorer_of(spark, t, COLUMNS).curves(df, "feature", "za", "p", ["a"], "m") for t in (near, far)])
     # cuts that differ have no lattice in common
     same(*[M.scorer_of(spark, t, COLUMNS).curves(df, "feature", "za", "p", ["a"]) for t in (near, far)])
 
